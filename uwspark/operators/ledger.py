@@ -54,7 +54,7 @@ def running_balance(
         *keys, "blk", (F.coalesce("_pa", "opening_balance") + F.col("_ps")).alias("_carry")
     )
     return (
-        rows.join(ends, [*keys, "blk"])
+        rows.join(ends.hint("merge"), [*keys, "blk"])
         .withColumn(out, F.coalesce("_a", "_carry") + F.col("_s"))
         .drop("_g", "_a", "_s", "_carry")
     )
@@ -75,7 +75,7 @@ def last_known(
     return (
         txns.withColumn("_b", F.last(value, ignorenulls=True).over(past))
         .withColumn("_u", F.last(value, ignorenulls=True).over(incl))
-        .join(ends, [*keys, "blk"])
+        .join(ends.hint("merge"), [*keys, "blk"])
         .withColumn(before, F.coalesce("_b", "_in"))
         .withColumn(upto, F.coalesce("_u", "_in"))
         .drop("_b", "_u", "_in")

@@ -5,6 +5,10 @@ whole account in one place.  Ordered work is done per (account, block) where a
 block is a fixed-length run of the statement order; only one summary row per
 block is carried across blocks.  Exact percentiles come from a histogram of the
 value counts instead of a per-group buffer.
+
+Joins that bring a summary back to rows ask for a merge join: the rows are
+already partitioned and sorted on the join keys by the window before it, so only
+the summary moves, whatever its estimated size.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BLOCK_ROWS = 1 << 18
+HOT_ROWS = 1 << 22
 ALL = "_all"
 
 
@@ -22,6 +27,24 @@ def with_block(df: DataFrame, seq: str = "seq", rows: int | None = None) -> Data
     return df.withColumn("blk", F.floor(F.col(seq) / F.lit(rows or BLOCK_ROWS)).cast("bigint"))
 
 
+def spread_hot(
+    df: DataFrame, keys: Sequence[str], coarse: dict[str, Column], hot_rows: int | None = None
+) -> DataFrame:
+    """Add the coarse order columns, -1 for every key that is small enough to sort whole.
+
+    The list of hot keys has at most (all rows / hot_rows) entries, so it is broadcast.
+    """
+    limit = hot_rows or HOT_ROWS
+    hot = (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+        .select(*keys, F.lit(True).alias("_hot"))
+    )
+    out = df.join(F.broadcast(hot), list(keys), "left")
+    for name, expr in coarse.items():
+        out = out.withColumn(name, F.when(F.col("_hot"), expr).otherwise(-1).cast("bigint"))
+    return out.drop("_hot")
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -51,7 +74,7 @@ def number_rows(
     inner = W.partitionBy(*keys, *coarse).orderBy(*order)
     return (
         df.withColumn("_rn", F.row_number().over(inner))
-        .join(starts, keys + coarse)
+        .join(starts.hint("merge"), keys + coarse)
         .withColumn(out, (F.col("_start") + F.col("_rn") - 1).cast("bigint"))
         .drop("_rn", "_start")
     )
@@ -61,7 +84,7 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "i
     """Join a per-key table to rows through (keys, blk), so a hot key stays spread."""
     keys = list(keys)
     blocks = rows.select(*keys, "blk").distinct()
-    return rows.join(blocks.join(table, keys), [*keys, "blk"], how)
+    return rows.join(blocks.join(table, keys).hint("merge"), [*keys, "blk"], how)
 
 
 # --------------------------------------------------------------------------- percentiles
@@ -262,6 +285,6 @@ def later_partner(
     ok = F.coalesce(accept(below, F.col("amt")), F.lit(False)) | F.coalesce(
         accept(above, F.col("amt")), F.lit(False)
     )
-    return scanned.join(blocks, [*group, "blk"]).where(ok).select(*keys, "seq")
+    return scanned.join(blocks.hint("merge"), [*group, "blk"]).where(ok).select(*keys, "seq")
 
 

@@ -182,3 +182,135 @@ FROM (SELECT *, CAST(greatest(300.0, least(900.0, round_even(card, 0))) AS BIGIN
 
 block("x_vector", vector_sql("x_totals", "account_id"))
 block("x_score", scored_sql("x_vector"))
+
+# ------------------------------------------------------------------ rule context
+
+block("x_pos", "SELECT * FROM x_ledger WHERE amount > 0")
+block(
+    "x_monthly",
+    """
+SELECT account_id, month, coalesce(sum(amount) FILTER (txn_type = 'CREDIT'), 0.0) AS inflow,
+  coalesce(sum(amount) FILTER (txn_type <> 'CREDIT'), 0.0) AS outflow, count(*) AS rows,
+  arg_max(running, seq) AS end_balance
+FROM x_pos GROUP BY ALL""",
+)
+block(
+    "x_shape",
+    """
+SELECT account_id, count(*) AS n_months, avg(inflow) AS inflow_mean,
+  CASE WHEN count(*) >= 2 THEN coalesce(stddev_pop(inflow) / nullif(avg(inflow), 0), 0.0) ELSE 0.0 END AS inflow_cv,
+  CAST(count(*) FILTER (inflow <= 1.0) AS BIGINT) AS zero_inflow_months,
+  CAST(count(*) FILTER (outflow > inflow) AS BIGINT) AS deficit_months,
+  CASE WHEN count(*) >= 4 THEN coalesce((avg(inflow) FILTER (k > n // 2) - avg(inflow) FILTER (k <= n // 2))
+     / nullif(avg(inflow) FILTER (k <= n // 2), 0), 0.0) END AS growth,
+  count(*) FILTER (end_balance IS NOT NULL) >= 3 AND count(*) FILTER (prev < end_balance) = 0 AS balance_declining,
+  min(rows) <= 1 AS dormant, min(inflow) > 0 AND min(outflow) > 0 AS active_every_month,
+  count(*) >= 3 AND max(rows) > 3 * avg(rows) AS activity_spike
+FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY month) AS k,
+        count(*) OVER (PARTITION BY account_id) AS n,
+        lag(end_balance) OVER (PARTITION BY account_id ORDER BY month) AS prev FROM x_monthly)
+GROUP BY account_id""",
+)
+block(
+    "x_party",
+    """
+SELECT account_id, txn_type, CASE WHEN sig <> '' THEN sig ELSE substring(narration, 1, 16) END AS party,
+  sum(amount) AS amt, count(*) AS cnt FROM x_pos GROUP BY ALL""",
+)
+block(
+    "x_conc",
+    """
+SELECT account_id, CAST(count(*) FILTER (txn_type = 'CREDIT') AS BIGINT) AS unique_payees,
+  CAST(count(*) FILTER (txn_type = 'CREDIT' AND cnt >= 2) AS BIGINT) AS repeat_payees,
+  coalesce(sum(amt) FILTER (txn_type = 'CREDIT' AND rk <= 1), 0.0) AS top1,
+  coalesce(sum(amt) FILTER (txn_type = 'CREDIT' AND rk <= 3), 0.0) AS top3,
+  coalesce(sum(amt) FILTER (txn_type = 'CREDIT' AND rk <= 5), 0.0) AS top5,
+  coalesce(sum(amt) FILTER (txn_type = 'DEBIT' AND rk <= 1), 0.0) AS top_supplier
+FROM (SELECT *, row_number() OVER (PARTITION BY account_id, txn_type ORDER BY amt DESC, party) AS rk FROM x_party)
+GROUP BY account_id""",
+)
+block(
+    "x_inout",
+    """
+SELECT account_id, seq FROM x_pos c JOIN x_vector v USING (account_id)
+WHERE c.txn_type = 'CREDIT' AND v.avg_monthly_inflow > 0 AND c.amount >= 0.5 * v.avg_monthly_inflow
+  AND EXISTS (SELECT 1 FROM x_pos d WHERE d.account_id = c.account_id AND d.txn_type = 'DEBIT'
+     AND d.txn_date BETWEEN c.txn_date AND c.txn_date + 2 AND (d.txn_date > c.txn_date OR d.seq > c.seq)
+     AND d.amount >= 0.8 * c.amount)""",
+)
+block(
+    "x_rapid",
+    """
+SELECT account_id, seq FROM x_pos c
+WHERE EXISTS (SELECT 1 FROM x_pos d WHERE d.account_id = c.account_id AND d.sig = c.sig
+     AND d.txn_date BETWEEN c.txn_date AND c.txn_date + 2 AND (d.txn_date > c.txn_date OR d.seq > c.seq)
+     AND abs(d.amount - c.amount) < 1.0)""",
+)
+
+
+def _tag_sums() -> str:
+    spec = [
+        ("emi", "DEBIT", "is_emi"), ("gst", "DEBIT", "is_gst"), ("rent", "DEBIT", "is_rent"),
+        ("util", "DEBIT", "is_utility"), ("salary", "CREDIT", "is_salary"), ("upi", "CREDIT", "is_upi"),
+        ("cash_in", "CREDIT", "is_cash"), ("cash_out", "DEBIT", "is_cash"), ("tax", "DEBIT", "is_tax"),
+    ]
+    return ",\n".join(
+        f"CAST(count(*) FILTER (amount > 0 AND txn_type = '{t}' AND {f}) AS BIGINT) AS {n}_n, "
+        f"coalesce(sum(amount) FILTER (amount > 0 AND txn_type = '{t}' AND {f}), 0.0) AS {n}_amt"
+        for n, t, f in spec
+    )
+
+
+block(
+    "x_counters",
+    f"""
+SELECT account_id, CAST(count(*) FILTER (amount > 0) AS BIGINT) AS n_txns,
+  CAST(count(*) FILTER (amount > 0 AND txn_type = 'CREDIT') AS BIGINT) AS n_credits,
+  coalesce(sum(amount) FILTER (amount > 0 AND txn_type = 'CREDIT'), 0.0) AS total_credit,
+  coalesce(sum(amount) FILTER (amount > 0 AND txn_type = 'DEBIT'), 0.0) AS total_debit,
+  coalesce(max(amount) FILTER (amount > 0 AND txn_type = 'CREDIT'), 0.0) AS largest_credit,
+  CAST(count(*) FILTER (running < 0) AS BIGINT) AS neg_points,
+  CAST(count(*) FILTER (running >= 0 AND running < 2000) AS BIGINT) AS low_bal_points,
+  avg(running) AS avg_bal, min(running) AS min_bal,
+  {_tag_sums()},
+  CAST(count(*) FILTER (amount > 0 AND is_reversal) AS BIGINT) AS reversal_count,
+  CAST(count(*) FILTER (amount > 0 AND is_bounce) AS BIGINT) AS bounce_count,
+  CAST(count(*) FILTER (txn_type = 'CREDIT' AND amount >= 50000 AND amount % 50000 = 0) AS BIGINT) AS round_credits,
+  CAST(count(*) FILTER (txn_type = 'CREDIT' AND is_cash AND (amount >= 40000 AND amount < 50000
+     OR amount >= 90000 AND amount < 100000 OR amount >= 190000 AND amount < 200000)) AS BIGINT) AS structuring_credits,
+  count(DISTINCT sig) FILTER (amount > 0 AND txn_type = 'DEBIT' AND is_emi AND sig <> '') AS emi_lenders,
+  count(DISTINCT month) FILTER (amount > 0 AND txn_type = 'DEBIT' AND is_emi) AS emi_months
+FROM x_ledger GROUP BY account_id""",
+)
+block(
+    "x_context0",
+    f"""
+SELECT s.account_id, statement_months, avg_monthly_inflow, avg_monthly_debit, dscr_ratio, cash_withdrawal_ratio,
+  foir_ratio, income_stability, score, pd, grade, CAST(NULL AS DOUBLE) AS account_age_days,
+  n_txns, n_credits, total_credit, total_debit, largest_credit, neg_points, low_bal_points,
+  k.avg_bal, k.min_bal, emi_n AS emi_txn_count, gst_n AS gst_count, tax_n AS tax_count, rent_n AS rent_count, util_n AS util_count,
+  salary_n AS salary_in_count, upi_n AS upi_credit_count, upi_amt AS upi_credit_amt, cash_in_amt AS cash_deposit_amt,
+  cash_out_n AS cash_wd_count, reversal_count, bounce_count, round_credits, structuring_credits, emi_lenders, emi_months,
+  n_months, inflow_mean, inflow_cv, zero_inflow_months, deficit_months, growth, balance_declining, dormant,
+  active_every_month, activity_spike, unique_payees, repeat_payees,
+  CAST(coalesce(io, 0) AS BIGINT) AS same_day_inout, CAST(coalesce(rd, 0) AS BIGINT) AS rapid_dup,
+  emi_amt / statement_months AS monthly_emi, gst_amt / statement_months AS monthly_gst, rent_amt / statement_months AS monthly_rent,
+  emi_amt / statement_months + rent_amt / statement_months + util_amt / statement_months AS fixed_burden,
+  {div0('largest_credit', 'avg_monthly_inflow')} AS largest_credit_pct,
+  {div0('top1', 'total_credit')} AS top1_share, {div0('top3', 'total_credit')} AS top3_share,
+  {div0('top5', 'total_credit')} AS top5_share, {div0('top_supplier', 'total_debit')} AS top_supplier_share,
+  {div0('coalesce(io, 0)', 'n_credits')} AS same_day_ratio, {div0('cash_in_amt', 'total_credit')} AS cash_deposit_ratio,
+  {div0('total_debit', 'total_credit')} AS expense_ratio, n_txns / statement_months AS tx_per_month,
+  {div0('salary_amt', 'total_credit')} AS salary_share
+FROM x_score s JOIN x_counters k USING (account_id) LEFT JOIN x_shape USING (account_id) LEFT JOIN x_conc USING (account_id)
+LEFT JOIN (SELECT account_id, count(*) AS io FROM x_inout GROUP BY 1) USING (account_id)
+LEFT JOIN (SELECT account_id, count(*) AS rd FROM x_rapid GROUP BY 1) USING (account_id)""",
+)
+block(
+    "x_context",
+    f"""
+SELECT *, {div0('monthly_emi', 'avg_monthly_inflow')} AS emi_burden, {div0('monthly_rent', 'avg_monthly_inflow')} AS rent_burden,
+  {div0('fixed_burden', 'avg_monthly_inflow')} AS fixed_burden_ratio, {div0('avg_monthly_inflow', 'fixed_burden')} AS coverage,
+  salary_in_count >= greatest(2, n_months - 1) OR (salary_in_count >= 1 AND salary_share >= 0.55) AS is_salaried
+FROM x_context0""",
+)

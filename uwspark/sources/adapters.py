@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.scale import number_rows, with_block
+from ..operators.scale import number_rows, spread_hot, with_block
 
 # Narrations by part number modulo 16 (fixed values, in order).
 NARRATIONS = [
@@ -34,13 +34,13 @@ def bank_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("account_id"),
         F.to_date("l_shipdate").alias("txn_date"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount", "l_tax", "l_linestatus",
-        F.floor(F.col("l_orderkey") / 65536).cast("bigint").alias("okb"),
     )
+    runs = {"_day": F.unix_date("txn_date"), "_slice": F.floor(F.col("l_orderkey") / 65536)}
     numbered = number_rows(
-        lines,
+        spread_hot(lines, ["account_id"], runs),
         ["account_id"],
-        ["txn_date", "okb"],
-        ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"],
+        list(runs),
+        ["txn_date", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"],
     )
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     templates = F.array(*[F.lit(t) for t in NARRATIONS])
@@ -71,14 +71,16 @@ def upi_txn(spark: SparkSession, sf_dir: str, shift_months: bool = False) -> Dat
         "event_id",
         "ts",
         F.to_date("ts").alias("txn_date"),
-        F.hour("ts").alias("hr"),
         "event_type",
         F.col("value").alias("amount"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
     if shift_months:
         ev = ev.withColumn("txn_date", F.add_months("txn_date", (F.col("event_id") % 6).cast("int")))
-    ev = number_rows(ev, ["account_id"], ["txn_date", "hr"], ["ts", "event_id"])
+    runs = {"_day": F.unix_date(F.to_date("ts")), "_slice": F.hour("ts") * 60 + F.minute("ts")}
+    ev = number_rows(
+        spread_hot(ev, ["account_id"], runs), ["account_id"], list(runs), ["ts", "event_id"]
+    )
     credit = F.col("event_type").isin("signup", "click")
     even = F.col("k") % 2 == 0
     cycle = F.array(*[F.lit(m) for m in MCC_CYCLE])
