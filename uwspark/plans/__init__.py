@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bank"]
+MODULES = ["bank", "rules"]
 
 
 def load_all() -> None:

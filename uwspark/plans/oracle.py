@@ -314,3 +314,28 @@ SELECT *, {div0('monthly_emi', 'avg_monthly_inflow')} AS emi_burden, {div0('mont
   salary_in_count >= greatest(2, n_months - 1) OR (salary_in_count >= 1 AND salary_share >= 0.55) AS is_salaried
 FROM x_context0""",
 )
+
+# ------------------------------------------------------------------ rules
+
+
+def rules_sql(source: str, rules, key: str = "account_id") -> str:
+    """Long table (key, rule_id, serious, gate, status) from the catalogue conditions."""
+    items = ",\n".join(
+        f"{{'rule_id': '{r.id}', 'serious': {str(r.serious).lower()}, 'gate': {str(r.gate).lower()}, 'status': {r.status_sql()}}}"
+        for r in rules
+    )
+    return f"SELECT {key}, unnest([{items}], recursive := true) FROM {source}"
+
+
+def tally_sql(source: str, key: str = "account_id", family=()) -> str:
+    fam = f"rule_id IN ({quoted(family)})" if family else "false"
+    return f"""
+SELECT {key}, CAST(count(*) FILTER (status = 'PASS') AS BIGINT) AS passed, CAST(count(*) FILTER (status = 'FAIL') AS BIGINT) AS failed,
+  CAST(count(*) FILTER (status = 'SKIP') AS BIGINT) AS skipped,
+  CAST(count(*) FILTER (status = 'FAIL' AND serious AND NOT {fam}) + least(1, count(*) FILTER (status = 'FAIL' AND serious AND {fam})) AS BIGINT) AS serious_fails,
+  coalesce(bool_or(gate AND status <> 'PASS'), false) AS gate_failed
+FROM {source} GROUP BY {key}"""
+
+
+LADDER = """CASE WHEN gate_failed OR serious_fails >= 2 THEN 'REJECTED' WHEN serious_fails = 1 THEN 'CONDITIONAL APPROVAL'
+  WHEN failed > 0 THEN 'APPROVED WITH NOTES' ELSE 'APPROVED' END"""
