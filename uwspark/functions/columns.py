@@ -12,7 +12,9 @@ def c(x: str | Column) -> Column:
 
 
 def half_even(x: str | Column, digits: int = 0) -> Column:
-    return F.bround(c(x).cast("double"), digits)
+    """Round half to even.  Scaling and `rint` stay in whole-stage code, unlike decimal rounding."""
+    v = c(x).cast("double")
+    return F.rint(v) if digits == 0 else F.rint(v * float(10**digits)) / float(10**digits)
 
 
 def ratio(num: str | Column, den: str | Column) -> Column:

@@ -36,7 +36,7 @@ def by_type(txns: DataFrame) -> DataFrame:
         .groupBy("account_id", "utility_type").agg(F.count(F.lit(1)).alias("months_paid"))
     )
     g = bills.groupBy("account_id", "utility_type").agg(
-        F.count(F.lit(1)).alias("payment_count"), F.sum("amount").alias("paid")
+        F.count(F.lit(1)).alias("payment_count"), half_even(F.sum("amount"), 2).alias("paid")
     )
     j = (
         g.join(months, ["account_id", "utility_type"], "left").join(span, "account_id", "left")
@@ -65,7 +65,7 @@ def analysis(types: DataFrame) -> DataFrame:
         F.sum("months_paid").alias("mp"),
         F.sum("expected_months").alias("me"),
         F.sum("missed_months").alias("missed_payment_count"),
-        F.sum("_paid").alias("paid"),
+        half_even(F.sum("_paid"), 2).alias("paid"),
         count_if(F.col("recurring")).alias("recurring_types"),
         *[F.max(F.col("utility_type") == k).alias(f"has_{k.lower()}") for k in KINDS],
     )

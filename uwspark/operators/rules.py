@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rulebook
-from ..functions.columns import count_if
+from ..functions.columns import count_if, half_even
 from ..functions.rulebook import Rule
 
 
@@ -216,7 +216,7 @@ def payload(scored: DataFrame, statements: DataFrame) -> DataFrame:
         F.struct(
             F.col("score").alias("credit_score"),
             F.col("grade").alias("risk_grade"),
-            F.bround(F.col("pd") / 100, 4).alias("probability_of_default"),
+            half_even(F.col("pd") / 100, 4).alias("probability_of_default"),
         ).alias("model_metadata"),
         F.struct(*names).alias("feature_vector"),
         "factors",

@@ -38,12 +38,12 @@ def analysis(txns: DataFrame) -> DataFrame:
         count_if(_p2m()).alias("p2m_count"),
         count_if(F.col("status") == "SUCCESS").alias("ok"),
         count_if(F.col("status") == "FAILED").alias("failed_count"),
-        F.sum("amount").alias("amt"),
+        half_even(F.sum("amount"), 2).alias("amt"),
         money_sum(_p2m() & is_debit()).alias("merchant"),
         money_sum(_p2m() & is_debit() & weekend).alias("weekend"),
         money_sum(_p2m() & is_debit() & risky_mcc()).alias("risky"),
-        money_sum(_p2p() & is_debit()).alias("lent"),
-        money_sum(_p2p() & is_credit()).alias("borrowed"),
+        half_even(money_sum(_p2p() & is_debit()), 2).alias("lent"),
+        half_even(money_sum(_p2p() & is_credit()), 2).alias("borrowed"),
     )
     days = (
         t.groupBy("account_id", "month", "txn_date").agg(F.count(F.lit(1)).alias("x"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bank", "rules"]
+MODULES = ["bank", "rules", "sources"]
 
 
 def load_all() -> None:

@@ -339,3 +339,243 @@ FROM {source} GROUP BY {key}"""
 
 LADDER = """CASE WHEN gate_failed OR serious_fails >= 2 THEN 'REJECTED' WHEN serious_fails = 1 THEN 'CONDITIONAL APPROVAL'
   WHEN failed > 0 THEN 'APPROVED WITH NOTES' ELSE 'APPROVED' END"""
+
+# ------------------------------------------------------------------ payments
+
+_UPI = """
+SELECT user_id AS account_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, {date} AS txn_date,
+  CASE WHEN event_type IN ('signup', 'click') THEN 'CREDIT' ELSE 'DEBIT' END AS txn_type, value AS amount,
+  CASE WHEN event_type IN ('signup', 'click') THEN 'p' || (k % 15) || '@upi' END AS payer_vpa,
+  CASE WHEN event_type NOT IN ('signup', 'click') THEN 'm' || (k % 20) || '@upi' END AS payee_vpa,
+  CASE WHEN k % 2 = 0 THEN 'P2M' ELSE 'P2P' END AS mode,
+  CASE WHEN k % 2 = 0 THEN [{cycle}][(k // 2) % 6 + 1] END AS mcc,
+  CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"""
+block("x_upi", _UPI.format(date="CAST(ts AS DATE)", cycle=quoted(adapters.MCC_CYCLE)))
+block(
+    "x_upi6",
+    _UPI.format(
+        date="CAST(CAST(ts AS DATE) + to_months(CAST(event_id % 6 AS INTEGER)) AS DATE)", cycle=quoted(adapters.MCC_CYCLE)
+    ),
+)
+block(
+    "x_upi_base",
+    f"""
+SELECT account_id, true AS available, count(DISTINCT strftime(txn_date, '%Y-%m')) AS span_months, count(*) AS total_transactions,
+  CAST(count(*) FILTER (mode = 'P2P') AS BIGINT) AS p2p_count, CAST(count(*) FILTER (mode = 'P2M') AS BIGINT) AS p2m_count,
+  count(*) FILTER (status = 'SUCCESS') AS ok, CAST(count(*) FILTER (status = 'FAILED') AS BIGINT) AS failed_count,
+  count(DISTINCT payee_vpa) FILTER (txn_type = 'DEBIT') AS unique_payees,
+  count(DISTINCT payer_vpa) FILTER (txn_type = 'CREDIT') AS unique_payers,
+  datediff('day', min(txn_date), max(txn_date)) + 1 AS days, round_even(sum(amount), 2) AS amt,
+  coalesce(sum(amount) FILTER (mode = 'P2M' AND txn_type = 'DEBIT'), 0.0) AS merchant,
+  coalesce(sum(amount) FILTER (mode = 'P2M' AND txn_type = 'DEBIT' AND isodow(txn_date) >= 6), 0.0) AS weekend,
+  coalesce(sum(amount) FILTER (mode = 'P2M' AND txn_type = 'DEBIT' AND mcc IN ({quoted(fixed.HIGH_RISK_MCC)})), 0.0) AS risky,
+  round_even(coalesce(sum(amount) FILTER (mode = 'P2P' AND txn_type = 'DEBIT'), 0.0), 2) AS lent,
+  round_even(coalesce(sum(amount) FILTER (mode = 'P2P' AND txn_type = 'CREDIT'), 0.0), 2) AS borrowed
+FROM x_upi6 GROUP BY account_id""",
+)
+block(
+    "x_upi_peak",
+    """
+SELECT account_id, max(x) AS peak, avg(x) AS day_mean FROM (SELECT account_id, txn_date, count(*) AS x FROM x_upi6 GROUP BY ALL)
+GROUP BY account_id""",
+)
+block(
+    "x_upi_recurring",
+    """
+SELECT account_id, count(*) AS r FROM (SELECT account_id, payee_vpa FROM x_upi6 WHERE txn_type = 'DEBIT'
+  GROUP BY ALL HAVING count(DISTINCT strftime(txn_date, '%Y-%m')) >= 2) GROUP BY account_id""",
+)
+block(
+    "x_upi_analysis",
+    f"""
+SELECT account_id, available, span_months, total_transactions, p2p_count, p2m_count,
+  round_even(p2p_count / total_transactions, 4) AS p2p_ratio, round_even(p2m_count / total_transactions, 4) AS p2m_ratio,
+  round_even(ok / total_transactions, 4) AS success_ratio, round_even(failed_count / total_transactions, 4) AS failed_ratio,
+  failed_count, unique_payees, unique_payers, CAST(coalesce(r, 0) AS BIGINT) AS recurring_payee_count,
+  round_even(total_transactions / days, 3) AS daily_avg_transactions, peak AS peak_day_transaction_count,
+  round_even({div0('weekend', 'merchant')} * 100, 1) AS weekend_spend_pct, round_even(amt / total_transactions, 2) AS avg_ticket_size,
+  round_even({div0('risky', 'merchant')} * 100, 1) AS high_risk_mcc_spend_pct,
+  round_even(lent / span_months, 2) AS p2p_debit_velocity, round_even(borrowed / span_months, 2) AS p2p_credit_velocity
+FROM x_upi_base JOIN x_upi_peak USING (account_id) LEFT JOIN x_upi_recurring USING (account_id)""",
+)
+block(
+    "x_pass",
+    """
+SELECT account_id, seq FROM x_upi6 c WHERE txn_type = 'CREDIT' AND amount > 0
+ AND EXISTS (SELECT 1 FROM x_upi6 d WHERE d.account_id = c.account_id AND d.txn_type = 'DEBIT'
+   AND d.txn_date BETWEEN c.txn_date AND c.txn_date + 2 AND (d.txn_date > c.txn_date OR d.seq > c.seq)
+   AND abs(d.amount - c.amount) / c.amount < 0.15)""",
+)
+block(
+    "x_upi_metrics",
+    """
+SELECT account_id, CAST(coalesce(rapid, 0) AS DOUBLE) AS rapid_pass_through_count,
+  round_even(risky / CASE WHEN merchant <> 0 THEN merchant ELSE 1 END * 100, 1) AS high_risk_mcc_spend_pct,
+  CAST(structuring AS DOUBLE) AS structuring_count,
+  round_even(coalesce(top, 0) / CASE WHEN lent <> 0 THEN lent ELSE 1 END * 100, 1) AS single_counterparty_dominance_pct,
+  round_even(peak / day_mean, 2) AS sudden_spike_ratio, round_even(failed_count / total_transactions, 4) AS failed_ratio,
+  round_even(round_n / total_transactions, 4) AS round_amount_ratio
+FROM x_upi_base JOIN x_upi_peak USING (account_id)
+JOIN (SELECT account_id, count(*) FILTER (amount <> 0 AND amount % 500 = 0) AS round_n,
+   count(*) FILTER (mode = 'P2P' AND txn_type = 'DEBIT' AND (amount >= 1800 AND amount < 2000 OR amount >= 9000 AND amount < 10000
+      OR amount >= 45000 AND amount < 50000)) AS structuring FROM x_upi6 GROUP BY 1) USING (account_id)
+LEFT JOIN (SELECT account_id, max(x) AS top FROM (SELECT account_id, payee_vpa, sum(amount) AS x FROM x_upi6
+   WHERE mode = 'P2P' AND txn_type = 'DEBIT' GROUP BY ALL) GROUP BY 1) USING (account_id)
+LEFT JOIN (SELECT account_id, count(*) AS rapid FROM x_pass GROUP BY 1) USING (account_id)""",
+)
+
+# ------------------------------------------------------------------ utility bills
+
+block(
+    "x_bills",
+    f"SELECT *, strftime(txn_date, '%Y-%m') AS month FROM (SELECT *, {utility()} AS utility_type FROM x_bank WHERE txn_type = 'DEBIT' AND amount IS NOT NULL) WHERE utility_type IS NOT NULL",
+)
+block(
+    "x_bill_types",
+    """
+SELECT account_id, utility_type, payment_count, months_paid,
+  CAST(greatest(0, (CASE WHEN months_paid >= 2 THEN span ELSE months_paid END) - months_paid) AS BIGINT) AS missed_months,
+  round_even(paid / payment_count, 2) AS average_bill_amount, round_even(paid, 2) AS total_paid, months_paid >= 2 AS recurring,
+  CAST(CASE WHEN months_paid >= 2 THEN span ELSE months_paid END AS BIGINT) AS expected_months, span AS span_months, paid
+FROM (SELECT account_id, utility_type, count(*) AS payment_count, count(DISTINCT month) AS months_paid, round_even(sum(amount), 2) AS paid
+   FROM x_bills GROUP BY ALL)
+JOIN (SELECT account_id, count(DISTINCT strftime(txn_date, '%Y-%m')) AS span FROM x_bank GROUP BY 1) USING (account_id)""",
+)
+_KINDS = [*fixed.UTILITY_PATTERNS, "OTHER_BBPS"]
+block(
+    "x_bill_analysis",
+    f"""
+SELECT *, round_even(greatest(0.0, least(100.0, on_time_payment_ratio * 100 - greatest(0, missed_payment_count - 1) * 5)), 1) AS punctuality_index
+FROM (SELECT account_id, true AS available, max(span_months) AS span_months, count(*) AS utility_accounts,
+  CAST(sum(payment_count) AS BIGINT) AS payments_last_12m,
+  CASE WHEN sum(expected_months) <> 0 THEN round_even(sum(months_paid) / sum(expected_months), 4) ELSE 1.0 END AS on_time_payment_ratio,
+  CAST(sum(missed_months) AS BIGINT) AS missed_payment_count, round_even(round_even(sum(paid), 2) / sum(payment_count), 2) AS average_bill_amount,
+  CAST(count(*) FILTER (recurring) AS BIGINT) AS recurring_types,
+  {', '.join(f"bool_or(utility_type = '{k}') AS has_{k.lower()}" for k in _KINDS)}
+FROM x_bill_types GROUP BY account_id)""",
+)
+block(
+    "x_bill_repeats",
+    """
+SELECT account_id, sum(n - 1) AS dup, sum(near) AS rapid FROM
+ (SELECT account_id, utility_type, a, count(*) AS n, count(*) FILTER (datediff('day', prev, txn_date) < 5) AS near FROM
+   (SELECT *, lag(txn_date) OVER (PARTITION BY account_id, utility_type, a ORDER BY txn_date, seq) AS prev
+    FROM (SELECT *, round_even(amount, 0) AS a FROM x_bills)) GROUP BY ALL) GROUP BY account_id""",
+)
+block(
+    "x_bill_metrics",
+    """
+SELECT account_id, CAST(coalesce(dup, 0) AS DOUBLE) AS duplicate_payment_count, CAST(coalesce(rapid, 0) AS DOUBLE) AS rapid_repeat_count,
+  round_even(coalesce(spike, 0), 2) AS bill_spike_ratio, round_even(coalesce(best / nullif(total, 0), 0) * 100, 1) AS single_utility_dominance_pct,
+  round_even(round_n / n, 3) AS round_amount_ratio, round_even(other_n / n, 3) AS vague_narration_ratio,
+  CAST(missed_payment_count AS DOUBLE) AS missed_payment_count
+FROM (SELECT b.account_id, count(*) AS n, count(*) FILTER (amount > 0 AND amount % 500 = 0) AS round_n,
+    count(*) FILTER (b.utility_type = 'OTHER_BBPS') AS other_n, max(amount / nullif(average_bill_amount, 0)) AS spike
+  FROM x_bills b JOIN x_bill_types t ON t.account_id = b.account_id AND t.utility_type = b.utility_type GROUP BY 1)
+JOIN (SELECT account_id, sum(total_paid) AS total, max(total_paid) AS best FROM x_bill_types GROUP BY 1) USING (account_id)
+JOIN x_bill_analysis USING (account_id) LEFT JOIN x_bill_repeats USING (account_id)""",
+)
+
+# ------------------------------------------------------------------ tax returns
+
+block(
+    "x_gst_lines",
+    """
+SELECT 'GST' || lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS gstin, strftime(l_shipdate, '%Y-%m') AS period,
+  CAST(date_trunc('month', l_shipdate) AS DATE) AS ms, l_extendedprice * (1 - l_discount) AS net, l_tax, l_discount, l_returnflag, l_partkey,
+  o_custkey, c_mktsegment <> 'HOUSEHOLD' AS b2b, c_nationkey <> s_nationkey AND l_returnflag = 'A' AS export
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey""",
+)
+block(
+    "x_gst_period",
+    """
+SELECT gstin, period, min(ms) AS ms, count(*) AS n, count(*) FILTER (l_returnflag <> 'R') AS kept, round_even(sum(net), 4) AS taxable,
+  round_even(coalesce(sum(net) FILTER (b2b), 0.0), 4) AS b2b, round_even(coalesce(sum(net) FILTER (NOT b2b), 0.0), 4) AS b2c, round_even(coalesce(sum(net) FILTER (export), 0.0), 4) AS export,
+  CAST(count(*) FILTER (b2b) AS DOUBLE) AS b2b_n, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS buyers,
+  round_even(coalesce(sum(net) FILTER (l_returnflag <> 'R'), 0.0), 4) AS outward, round_even(sum(net * l_tax), 4) AS igst,
+  round_even(sum(net * l_tax * l_discount * 10), 4) AS itc, round_even(coalesce(sum(net * l_tax * l_discount * 10) FILTER (l_returnflag = 'R'), 0.0), 4) AS itc_rev,
+  round_even(sum(net * l_tax * 0.5), 4) AS itc_avail, count(DISTINCT l_partkey) AS parts,
+  CAST(min(ms) + to_months(1) AS DATE) + 19 AS due
+FROM x_gst_lines GROUP BY gstin, period""",
+)
+block(
+    "x_gst_top",
+    "SELECT gstin, period, round_even(max(x), 4) AS top FROM (SELECT gstin, period, o_custkey, sum(net) AS x FROM x_gst_lines GROUP BY ALL) GROUP BY ALL",
+)
+block(
+    "x_gst_p",
+    """
+SELECT p.*, top, CASE WHEN kept > 0 THEN n % 7 - 3 END AS days_late,
+  CASE WHEN kept > 0 AND outward > 0 THEN outward ELSE taxable END AS turnover
+FROM x_gst_period p JOIN x_gst_top USING (gstin, period)""",
+)
+block(
+    "x_gst_series",
+    """
+SELECT *, lag(turnover, 1) OVER w AS l1, lag(turnover, 3) OVER w AS l3, lag(turnover, 12) OVER w AS l12,
+  row_number() OVER (PARTITION BY gstin ORDER BY period DESC) AS k, count(*) OVER (PARTITION BY gstin) AS m
+FROM x_gst_p WHERE turnover > 0 WINDOW w AS (PARTITION BY gstin ORDER BY period)""",
+)
+block(
+    "x_gst_shape",
+    """
+SELECT gstin, max(turnover) FILTER (k = 1) AS monthly, sum(turnover) FILTER (k <= 3) AS quarterly,
+  CASE WHEN count(*) >= 12 THEN sum(turnover) FILTER (k <= 12) ELSE avg(turnover) * 12 END AS annualised,
+  round_even(coalesce(max((turnover - l1) / l1 * 100) FILTER (k = 1), 0.0), 4) AS mom,
+  round_even(coalesce(max((turnover - l3) / l3 * 100) FILTER (k = 1), 0.0), 4) AS qoq,
+  round_even(coalesce(max((turnover - l12) / l12 * 100) FILTER (k = 1), 0.0), 4) AS yoy,
+  CAST(least(4, min(k) FILTER (l1 IS NULL OR turnover >= l1) - 1) AS BIGINT) AS declining
+FROM x_gst_series GROUP BY gstin""",
+)
+block(
+    "x_gst_profile",
+    """
+SELECT gstin, 'ACTIVE' AS gst_status, CASE WHEN late > 0 AND ontime = 0 THEN 'LATE' ELSE 'FILED' END AS return_status,
+  round_even(coalesce(delay, 0.0), 1) AS filing_delay_days, round_even(g1_sales, 2) AS gstr1_sales_value,
+  round_even(igst, 2) AS gstr3b_net_tax_liability, round_even(b2b, 2) AS b2b_sales_amount, round_even(b2c, 2) AS b2c_sales_amount,
+  round_even(100 * b2b / (b2b + b2c), 2) AS b2b_sales_percentage, round_even(export, 2) AS export_sales_amount,
+  round_even(itc_avail, 2) AS itc_available_amount, round_even(itc, 2) AS itc_claimed_amount, round_even(itc_rev, 2) AS itc_reversed_amount,
+  round_even(greatest(0.0, itc - itc_rev), 2) AS net_itc_amount, CAST(buyers AS BIGINT) AS unique_buyer_count,
+  CAST(b2b_n AS BIGINT) AS unique_b2b_buyer_count, top_pct AS top_buyer_sales_percentage,
+  CASE WHEN top_pct >= 45 THEN 'HIGH' WHEN top_pct >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS buyer_concentration_level,
+  round_even(monthly, 2) AS monthly_turnover, round_even(quarterly, 2) AS quarterly_turnover,
+  mom AS turnover_growth_mom, qoq AS turnover_growth_qoq, yoy AS turnover_growth_yoy,
+  round_even(abs(least(0.0, yoy)), 2) AS turnover_decline_percentage, declining AS consecutive_declining_quarters,
+  CASE WHEN filed > 0 THEN round_even(100 * ontime / filed, 2) ELSE 50.0 END AS filing_regularity_percentage,
+  CAST(greatest(0, n_periods - filed) AS BIGINT) AS missed_return_count, CAST(late AS BIGINT) AS late_return_count,
+  mismatch AS gstr1_vs_gstr3b_mismatch_pct,
+  round_even(datediff('day', CAST(first_period || '-01' AS DATE), DATE '2002-01-01') / 365.25, 2) AS business_vintage_years,
+  round_even(annualised, 2) AS annualised_gst_turnover, round_even(annualised / 2.0, 2) AS proposed_loan_amount,
+  CAST(2.0 AS DOUBLE) AS gst_turnover_to_loan_ratio, round_even(annualised * 0.40, 2) AS maximum_loan_by_gst_rule, CAST(1.0 AS DOUBLE) AS gst_data_completeness_score,
+  n_periods AS periods_covered, parts AS suppliers
+FROM (SELECT gstin, count(*) AS n_periods, min(period) AS first_period, count(*) FILTER (kept > 0) AS filed,
+    count(*) FILTER (days_late > 0) AS late, count(*) FILTER (days_late <= 0) AS ontime, avg(greatest(0, days_late)) FILTER (days_late IS NOT NULL) AS delay,
+    avg(taxable) AS g1_sales, avg(b2b) AS b2b, avg(b2c) AS b2c, avg(export) AS export,
+    arg_max(igst, period) FILTER (kept > 0) AS igst, arg_max(itc, period) FILTER (kept > 0) AS itc, arg_max(itc_rev, period) FILTER (kept > 0) AS itc_rev,
+    arg_max(itc_avail, period) AS itc_avail, arg_max(buyers, period) AS buyers, arg_max(b2b_n, period) AS b2b_n, arg_max(top, period) AS top,
+    arg_max(parts, period) AS parts,
+    round_even(coalesce(avg(abs(taxable - outward) / outward * 100) FILTER (kept > 0 AND outward > 0), 0.0), 2) AS mismatch
+  FROM x_gst_p GROUP BY gstin)
+JOIN x_gst_shape USING (gstin)
+JOIN (SELECT gstin, least(95.0, greatest(0.0, round_even(100 * arg_max(top, period) / max(monthly), 2))) AS top_pct
+      FROM x_gst_p JOIN x_gst_shape USING (gstin) GROUP BY gstin) USING (gstin)""",
+)
+block(
+    "x_gst_metrics",
+    f"""
+SELECT gstin, gstr1_vs_gstr3b_mismatch_pct, CAST(missed_return_count AS DOUBLE) AS missed_return_count,
+  CAST(late_return_count AS DOUBLE) AS late_return_count, {div0('itc_claimed_amount', 'itc_available_amount')} AS itc_claim_ratio,
+  turnover_decline_percentage, CAST(consecutive_declining_quarters AS DOUBLE) AS consecutive_declining_quarters,
+  turnover_growth_yoy, top_buyer_sales_percentage
+FROM x_gst_profile""",
+)
+block(
+    "x_gst_heads",
+    """
+SELECT *, CASE WHEN head_score >= 75 THEN 'LOW' WHEN head_score >= 55 THEN 'MEDIUM' ELSE 'HIGH' END AS head_risk,
+  maximum_loan_by_gst_rule AS head_loan, filing_regularity_percentage AS head_filing
+FROM (SELECT *, 100.0 - CASE WHEN gst_status <> 'ACTIVE' THEN 40.0 ELSE 0.0 END - CASE WHEN filing_regularity_percentage < 80 THEN 20.0 ELSE 0.0 END
+   - CASE WHEN missed_return_count > 0 THEN 20.0 ELSE 0.0 END - CASE WHEN turnover_decline_percentage > 25 THEN 20.0 ELSE 0.0 END AS head_score
+  FROM x_gst_profile)""",
+)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.columns import half_even
 from ..operators.scale import number_rows, spread_hot, with_block
 
 # Narrations by part number modulo 16 (fixed values, in order).
@@ -131,12 +132,12 @@ def gst_return(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def total(value, cond=None):
         picked = value if cond is None else F.when(cond, value)
-        return F.coalesce(F.sum(picked), F.lit(0.0))
+        return half_even(F.coalesce(F.sum(picked), F.lit(0.0)), 4)
 
     keys = ["gstin", "period"]
     by_buyer = base.groupBy(*keys, "o_custkey").agg(F.sum("net").alias("spent"))
     top = by_buyer.groupBy(*keys).agg(
-        F.max("spent").alias("top_buyer_value"), F.count(F.lit(1)).alias("unique_buyer_count")
+        half_even(F.max("spent"), 4).alias("top_buyer_value"), F.count(F.lit(1)).alias("unique_buyer_count")
     )
     parts = base.select(*keys, "l_partkey").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("parts"))
     wide = (
