@@ -31,49 +31,50 @@ def money_sum(cond: Column, amount: str | Column = "amount") -> Column:
 
 
 def count_if(cond: Column) -> Column:
-    return F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("bigint")
+    return F.count_if(cond)
 
 
-def signature(narration: str | Column) -> Column:
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def signature(narration: str = "narration") -> Column:
     """First three significant words of a narration."""
-    words = F.regexp_extract_all(F.upper(c(narration)), F.lit("([A-Z]{3,})"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in fixed.SIGNATURE_STOPWORDS])
-    kept = F.filter(words, lambda w: ~F.array_contains(stop, w))
-    return F.array_join(F.slice(kept, 1, 3), " ")
+    stop = ", ".join(sql_text(w) for w in fixed.SIGNATURE_STOPWORDS)
+    return F.expr(
+        f"array_join(slice(filter(regexp_extract_all(upper({narration}), '([A-Z]{{3,}})', 1), "
+        f"w -> w not in ({stop})), 1, 3), ' ')"
+    )
 
 
 def counterparty(sig: str | Column, narration: str | Column) -> Column:
     return F.when(c(sig) != "", c(sig)).otherwise(F.substring(c(narration), 1, 16))
 
 
-def narration_tags(narration: str | Column) -> dict[str, Column]:
-    return {name: c(narration).rlike(p) for name, p in fixed.TAG_PATTERNS.items()}
+def narration_tags(narration: str = "narration") -> dict[str, Column]:
+    return {name: F.expr(f"{narration} rlike {sql_text(p)}") for name, p in fixed.TAG_PATTERNS.items()}
 
 
-def utility_type(narration: str | Column) -> Column:
-    out = None
-    for kind, pattern in fixed.UTILITY_PATTERNS.items():
-        hit = c(narration).rlike(pattern)
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out.when(c(narration).rlike(fixed.BBPS_HINT), "OTHER_BBPS")
+def utility_type(narration: str = "narration") -> Column:
+    arms = [f"when {narration} rlike {sql_text(p)} then '{k}'" for k, p in fixed.UTILITY_PATTERNS.items()]
+    arms.append(f"when {narration} rlike {sql_text(fixed.BBPS_HINT)} then 'OTHER_BBPS'")
+    return F.expr(f"case {' '.join(arms)} end")
 
 
-def narration_amount(narration: str | Column) -> Column:
+def narration_amount(narration: str = "narration") -> Column:
     """Amount printed inside a narration, null when absent or not positive."""
     text = F.regexp_extract(F.coalesce(c(narration), F.lit("")), fixed.NARRATION_AMOUNT, 1)
     value = F.replace(text, F.lit(","), F.lit("")).try_cast("double")
     return F.when(value > 0, value)
 
 
-def _mentions(narration: str | Column, words: list[str]) -> Column:
-    low = F.lower(F.coalesce(c(narration), F.lit("")))
-    out = F.lit(False)
-    for w in words:
-        out = out | low.contains(w)
-    return out
+def _mentions(narration: str, words: list[str]) -> Column:
+    text = f"lower(coalesce({narration}, ''))"
+    return F.expr(" or ".join(f"contains({text}, {sql_text(w)})" for w in words))
 
 
-def guessed_type(narration: str | Column) -> Column:
+def guessed_type(narration: str = "narration") -> Column:
     return F.when(_mentions(narration, fixed.DEBIT_HINTS), "DEBIT").when(
         _mentions(narration, fixed.CREDIT_HINTS), "CREDIT"
     )

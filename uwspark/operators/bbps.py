@@ -15,7 +15,7 @@ def utility_rows(txns: DataFrame) -> DataFrame:
     """Debits that look like a bill payment, with their utility type."""
     return (
         txns.where(is_debit() & F.col("amount").isNotNull())
-        .withColumn("utility_type", utility_type(F.coalesce("narration", F.lit(""))))
+        .withColumn("utility_type", utility_type("narration"))
         .where("utility_type is not null")
     )
 

@@ -116,42 +116,43 @@ def rapid_duplicates(led: DataFrame) -> DataFrame:
 
 def counters(led: DataFrame) -> DataFrame:
     """All tag counts and sums of an account in one pass; EMI lenders and months apart."""
-    pos = F.coalesce(F.col("amount") > 0, F.lit(False))
-    cr, db = pos & is_credit(), pos & is_debit()
-    amt = F.col("amount")
-    run = F.col("running")
+    cr, db = "amount > 0 and txn_type = 'CREDIT'", "amount > 0 and txn_type = 'DEBIT'"
+    counts = {
+        "n_txns": "amount > 0",
+        "n_credits": cr,
+        "neg_points": "running < 0",
+        "low_bal_points": "running >= 0 and running < 2000",
+        "emi_txn_count": f"{db} and is_emi",
+        "gst_count": f"{db} and is_gst",
+        "tax_count": f"{db} and is_tax",
+        "rent_count": f"{db} and is_rent",
+        "util_count": f"{db} and is_utility",
+        "salary_in_count": f"{cr} and is_salary",
+        "upi_credit_count": f"{cr} and is_upi",
+        "cash_wd_count": f"{db} and is_cash",
+        "reversal_count": "amount > 0 and is_reversal",
+        "bounce_count": "amount > 0 and is_bounce",
+        "round_credits": f"{cr} and amount >= 50000 and amount % 50000 = 0",
+        "structuring_credits": f"{cr} and is_cash and (amount >= 40000 and amount < 50000 "
+        "or amount >= 90000 and amount < 100000 or amount >= 190000 and amount < 200000)",
+    }
+    sums = {
+        "total_credit": cr,
+        "total_debit": db,
+        "emi_amt": f"{db} and is_emi",
+        "gst_amt": f"{db} and is_gst",
+        "rent_amt": f"{db} and is_rent",
+        "util_amt": f"{db} and is_utility",
+        "salary_amt": f"{cr} and is_salary",
+        "upi_credit_amt": f"{cr} and is_upi",
+        "cash_deposit_amt": f"{cr} and is_cash",
+    }
     wide = led.groupBy("account_id").agg(
-        count_if(pos).alias("n_txns"),
-        count_if(cr).alias("n_credits"),
-        money_sum(cr).alias("total_credit"),
-        money_sum(db).alias("total_debit"),
-        F.coalesce(F.max(F.when(cr, amt)), F.lit(0.0)).alias("largest_credit"),
-        count_if(run < 0).alias("neg_points"),
-        count_if((run >= 0) & (run < 2000)).alias("low_bal_points"),
+        *[F.expr(f"count_if({cond})").alias(n) for n, cond in counts.items()],
+        *[F.expr(f"coalesce(sum(amount) filter (where {cond}), 0.0D)").alias(n) for n, cond in sums.items()],
+        F.expr(f"coalesce(max(amount) filter (where {cr}), 0.0D)").alias("largest_credit"),
         F.avg("running").alias("avg_bal"),
         F.min("running").alias("min_bal"),
-        count_if(db & F.col("is_emi")).alias("emi_txn_count"),
-        money_sum(db & F.col("is_emi")).alias("emi_amt"),
-        count_if(db & F.col("is_gst")).alias("gst_count"),
-        money_sum(db & F.col("is_gst")).alias("gst_amt"),
-        count_if(db & F.col("is_tax")).alias("tax_count"),
-        count_if(db & F.col("is_rent")).alias("rent_count"),
-        money_sum(db & F.col("is_rent")).alias("rent_amt"),
-        count_if(db & F.col("is_utility")).alias("util_count"),
-        money_sum(db & F.col("is_utility")).alias("util_amt"),
-        count_if(cr & F.col("is_salary")).alias("salary_in_count"),
-        money_sum(cr & F.col("is_salary")).alias("salary_amt"),
-        count_if(cr & F.col("is_upi")).alias("upi_credit_count"),
-        money_sum(cr & F.col("is_upi")).alias("upi_credit_amt"),
-        money_sum(cr & F.col("is_cash")).alias("cash_deposit_amt"),
-        count_if(db & F.col("is_cash")).alias("cash_wd_count"),
-        count_if(pos & F.col("is_reversal")).alias("reversal_count"),
-        count_if(pos & F.col("is_bounce")).alias("bounce_count"),
-        count_if(cr & (amt >= 50000) & (amt % 50000 == 0)).alias("round_credits"),
-        count_if(
-            is_credit() & F.col("is_cash")
-            & (((amt >= 40000) & (amt < 50000)) | ((amt >= 90000) & (amt < 100000)) | ((amt >= 190000) & (amt < 200000)))
-        ).alias("structuring_credits"),
     )
     emi = positive(led).where(is_debit() & F.col("is_emi"))
     lenders = (

@@ -13,10 +13,8 @@ from . import scale
 
 def long_metrics(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ("account_id",)) -> DataFrame:
     """(keys, metric, value) of the chosen numeric columns."""
-    items = F.array(
-        *[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]
-    )
-    return df.select(*keys, F.inline(items))
+    items = ", ".join(f"named_struct('metric', '{n}', 'value', cast({n} as double))" for n in names)
+    return df.selectExpr(*keys, f"inline(array({items}))")
 
 
 def metric_table(spark: SparkSession, domain: str) -> DataFrame:
@@ -30,12 +28,10 @@ def robust_profile(
 ) -> DataFrame:
     """Median, MAD (population spread, then 1, when it is 0) and tail percentiles per metric."""
     tails = tails or {"p95": 0.95}
-    stats = scale.median_abs_deviation(long, ["metric"], "value")
-    pct = scale.exact_percentiles(scale.value_counts(long, ["metric"], "value"), ["metric"], tails)
+    stats = scale.median_abs_deviation(long, ["metric"], "value", tails)
     nonzero = lambda c: F.when(F.col(c) != 0, F.col(c))
     return (
-        stats.join(pct, "metric")
-        .where(F.col("n") >= min_samples)
+        stats.where(F.col("n") >= min_samples)
         .select(
             "metric",
             "n",
@@ -181,7 +177,7 @@ def psi(
 
 def drift_report(reference: DataFrame, recent: DataFrame) -> DataFrame:
     """PSI, band and means per feature, with the overall status of the worst one."""
-    means = lambda d, out: d.groupBy("metric").agg(half_even(F.avg("value"), 3).alias(out))
+    means = lambda d, out: d.groupBy("metric").agg(half_even(half_even(F.sum("value"), 6) / F.count("value"), 3).alias(out))
     t = (
         psi(reference, recent)
         .join(means(reference, "reference_mean"), "metric", "left")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed
-from ..functions.columns import count_if, half_even, zone
+from ..functions.columns import count_if, half_even, sql_text, zone
 from . import scale
 from .monitor import long_metrics
 
@@ -70,14 +70,11 @@ TYPOLOGIES: dict[str, list[Typology]] = {
 def typologies(metrics: DataFrame, domain: str, key: str = "account_id") -> DataFrame:
     """Long table (key, ord, typology, hard, verdict, evidence)."""
     items = [
-        F.struct(
-            F.lit(i).alias("ord"), F.lit(t.name).alias("typology"), F.lit(t.hard).alias("hard"),
-            F.expr(t.verdict_sql()).alias("verdict"),
-            F.concat(F.format_number(F.expr(t.figure).cast("double"), 2), F.lit(" " + t.unit)).alias("evidence"),
-        )
+        f"named_struct('ord', {i}, 'typology', {sql_text(t.name)}, 'hard', {t.hard}, 'verdict', {t.verdict_sql()}, "
+        f"'evidence', concat(format_number(cast({t.figure} as double), 2), {sql_text(' ' + t.unit)}))"
         for i, t in enumerate(TYPOLOGIES[domain])
     ]
-    return metrics.select(key, F.inline(F.array(*items)))
+    return metrics.selectExpr(key, f"inline(array({', '.join(items)}))")
 
 
 def typology_flags(typ: DataFrame, key: str = "account_id") -> DataFrame:
@@ -150,10 +147,9 @@ def corpus_metrics(metrics: DataFrame, domain: str, key: str = "account_id") ->
     declared = metric_table(metrics.sparkSession, domain)
     long = long_metrics(metrics, list(fixed.PATTERN_METRICS[domain]), [key]).where("value is not null")
     counts = scale.value_counts(long, ["metric"], "value")
-    want = counts.groupBy("metric").agg(F.floor(F.sum("n") / 2).cast("bigint").alias("rank")).withColumn(
-        "tag", F.lit("mid")
+    mid = scale.lookup_ranks(counts, ["metric"], {"mid": lambda n: F.floor(n / 2)}).select(
+        "metric", half_even("v", 3).alias("median")
     )
-    mid = scale.values_at_ranks(counts, ["metric"], want).select("metric", half_even("v", 3).alias("median"))
     # The declared metrics are a handful of rows.
     flagged = (
         counts.join(F.broadcast(declared), "metric")

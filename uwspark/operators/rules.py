@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rulebook
-from ..functions.columns import count_if, half_even
+from ..functions.columns import count_if, half_even, sql_text
 from ..functions.rulebook import Rule
 
 
@@ -15,24 +15,23 @@ def evaluate(ctx: DataFrame, rules: Sequence[Rule], key: str = "account_id") ->
     """Long table (key, ord, rule_id, label, category, serious, status, detail)."""
     items = []
     for i, r in enumerate(rules):
-        status = F.expr(r.status_sql())
-        detail = (
-            F.lit("No evaluator: needs an outside feed or a longer history.")
-            if not r.computable
-            else F.when(status == "SKIP", "Not applicable or too little data.")
-            .when(status == "FAIL", f"Risk condition met: {r.fail}.")
-            .otherwise("Evaluated without concern." if r.fail != "no" else "Informative.")
-        )
-        items.append(
-            F.struct(
-                F.lit(i).alias("ord"), F.lit(r.id).alias("rule_id"), F.lit(r.label).alias("label"),
-                F.lit(r.category).alias("category"), F.lit(r.serious).alias("serious"),
-                F.lit(r.gate).alias("gate"), status.alias("status"), detail.alias("detail"),
+        status = r.status_sql()
+        if not r.computable:
+            detail = "'No evaluator: needs an outside feed or a longer history.'"
+        else:
+            done = "Informative." if r.fail == "no" else "Evaluated without concern."
+            detail = (
+                f"case {status} when 'SKIP' then 'Not applicable or too little data.' "
+                f"when 'FAIL' then {sql_text('Risk condition met: ' + r.fail + '.')} else '{done}' end"
             )
+        items.append(
+            f"named_struct('ord', {i}, 'rule_id', {sql_text(r.id)}, 'label', {sql_text(r.label)}, "
+            f"'category', {sql_text(r.category)}, 'serious', {r.serious}, 'gate', {r.gate}, "
+            f"'status', {status}, 'detail', {detail})"
         )
     # Groups of twenty keep each generated projection small.
-    groups = [F.array(*items[i : i + 20]) for i in range(0, len(items), 20)]
-    return ctx.select(key, F.inline(F.concat(*groups) if len(groups) > 1 else groups[0]))
+    groups = [f"array({', '.join(items[i : i + 20])})" for i in range(0, len(items), 20)]
+    return ctx.selectExpr(key, f"inline(concat({', '.join(groups)}))")
 
 
 def enabled_only(results: DataFrame, toggles: DataFrame, keys: Sequence[str] = ("rule_id",)) -> DataFrame:

@@ -106,80 +106,80 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def _histogram(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    upto = W.partitionBy(*keys).orderBy("b").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        counts.groupBy(*keys, "b")
-        .agg(F.sum("n").alias("bn"))
-        .withColumn("hi", F.sum("bn").over(upto))
-        .withColumn("lo", F.col("hi") - F.col("bn"))
-    )
-
-
-def values_at_ranks(counts: DataFrame, keys: Sequence[str], want: DataFrame) -> DataFrame:
-    """Values at 0-based ranks. `want`: (keys, tag, rank). Result: (keys, tag, rank, v, upto).
+def lookup_ranks(
+    counts: DataFrame,
+    keys: Sequence[str],
+    ranks: dict[str, Callable[[Column], Column]],
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """Values at 0-based ranks: (keys, tag, rank, v, upto, size), `upto` = values <= v.
 
-    `upto` counts the values <= v.  Only the buckets that hold a wanted rank are
-    sorted, so the work per task is bounded by one bucket of distinct values.
+    Each rank is a function of the group size, or of `size` in the table `sizes`
+    (keys, size).  The histogram has a bounded number of buckets per key; only the
+    buckets that hold a wanted rank are sorted, by distinct value.
     """
     keys = list(keys)
     counts = counts.withColumn("b", _bucket("v"))
-    hist = _histogram(counts, keys).select(*keys, "b", "lo", "hi")
-    hit = hist.join(want, keys).where("rank >= lo and rank < hi")
-    w = (
-        W.partitionBy(*keys, "b", "tag").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy(*keys).orderBy("b").rowsBetween(W.unboundedPreceding, 0)
+    hist = counts.groupBy(*keys, "b").agg(F.sum("n").alias("bn")).withColumn("hi", F.sum("bn").over(upto))
+    if sizes is None:
+        hist = hist.withColumn("size", F.sum("bn").over(W.partitionBy(*keys)))
+    else:
+        hist = hist.join(sizes.select(*keys, "size"), keys)
+    spots = F.array(
+        *[
+            F.struct(F.lit(t).alias("tag"), f(F.col("size")).cast("bigint").alias("rank"))
+            for t, f in ranks.items()
+        ]
     )
+    hit = (
+        hist.withColumn("lo", F.col("hi") - F.col("bn"))
+        .select(*keys, "b", "lo", "hi", "size", F.inline(spots))
+        .where("rank >= lo and rank < hi")
+        .drop("hi")
+    )
+    w = W.partitionBy(*keys, "b", "tag").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     return (
-        counts.join(hit.select(*keys, "b", "tag", "rank", "lo"), [*keys, "b"])
+        counts.join(hit, [*keys, "b"])
         .withColumn("upto", F.col("lo") + F.sum("n").over(w))
         .where("rank < upto and rank >= upto - n")
-        .select(*keys, "tag", "rank", "v", "upto")
+        .select(*keys, "tag", "rank", "v", "upto", "size")
     )
 
 
 def exact_percentiles(
-    counts: DataFrame, keys: Sequence[str], probs: dict[str, float], count_as: str | None = None
+    counts: DataFrame, keys: Sequence[str], probs: dict[str, float], sizes: DataFrame | None = None
 ) -> DataFrame:
     """Linear-interpolated percentiles, one column per entry of `probs` (0..1)."""
     keys = list(keys)
-    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_size"))
-    pos = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("_size") - 1)).alias("pos"))
-            for name, p in probs.items()
-        ]
-    )
-    spots = sizes.select(*keys, "_size", F.inline(pos))
-    want = spots.select(
-        *keys,
-        F.explode(
-            F.array_distinct(F.array(F.floor("pos").cast("bigint"), F.ceil("pos").cast("bigint")))
-        ).alias("rank"),
-    ).distinct().withColumn("tag", F.col("rank").cast("string"))
-    found = values_at_ranks(counts, keys, want).select(*keys, "rank", "v")
-    low = found.select(*keys, F.col("rank").alias("_lo"), F.col("v").alias("_lv"))
-    high = found.select(*keys, F.col("rank").alias("_hi"), F.col("v").alias("_hv"))
-    joined = (
-        spots.withColumn("_lo", F.floor("pos").cast("bigint"))
-        .withColumn("_hi", F.ceil("pos").cast("bigint"))
-        .join(low, [*keys, "_lo"])
-        .join(high, [*keys, "_hi"])
-        .withColumn("val", F.col("_lv") + (F.col("_hv") - F.col("_lv")) * (F.col("pos") - F.col("_lo")))
-    )
-    extra = [F.max("_size").alias(count_as)] if count_as else []
-    return joined.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == n, F.col("val"))).alias(n) for n in probs], *extra
-    )
 
-
-def median_abs_deviation(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, med, mad, sd, n) of a long table whose key set is small and fixed."""
+    def at(p: float, edge) -> Callable[[Column], Column]:
+        return lambda size: edge(F.lit(float(p)) * (size - 1))
+
+    ranks = {}
+    for name, p in probs.items():
+        ranks[f"{name}/lo"] = at(p, F.floor)
+        ranks[f"{name}/hi"] = at(p, F.ceil)
+    got = lookup_ranks(counts, keys, ranks, sizes)
+    cols = []
+    for name, p in probs.items():
+        low = F.max(F.when(F.col("tag") == f"{name}/lo", F.col("v")))
+        high = F.max(F.when(F.col("tag") == f"{name}/hi", F.col("v")))
+        pos = F.lit(float(p)) * (F.max("size") - 1)
+        cols.append((low + (high - low) * (pos - F.floor(pos))).alias(name))
+    return got.groupBy(*keys).agg(*cols)
+
+
+def median_abs_deviation(
+    long: DataFrame, keys: Sequence[str], value: str, tails: dict[str, float] | None = None
+) -> DataFrame:
+    """(keys, n, sd, med, mad, tails...) of a long table whose key set is small and fixed."""
     keys = list(keys)
     counts = value_counts(long, keys, value)
-    med = exact_percentiles(counts, keys, {"med": 0.5})
+    pct = exact_percentiles(counts, keys, {"med": 0.5, **(tails or {})})
     # The medians are one row per metric name, a set fixed in code.
     dev = (
-        counts.join(F.broadcast(med), keys)
+        counts.join(F.broadcast(pct.select(*keys, "med")), keys)
         .select(*keys, F.abs(F.col("v") - F.col("med")).alias("v"), "n")
         .groupBy(*keys, "v")
         .agg(F.sum("n").alias("n"))
@@ -188,7 +188,7 @@ def median_abs_deviation(long: DataFrame, keys: Sequence[str], value: str) -> Da
     spread = long.groupBy(*keys).agg(
         F.stddev_pop(value).alias("sd"), F.count(value).cast("bigint").alias("n")
     )
-    return spread.join(med, keys).join(mad, keys)
+    return spread.join(pct, keys).join(mad, keys)
 
 
 # --------------------------------------------------------------------------- partner search

@@ -143,55 +143,17 @@ def amount_fence(rows: DataFrame, keys: list[str]) -> DataFrame:
     percentile is one more rank lookup in the same value counts.
     """
     counts = scale.value_counts(rows, keys, "amount")
-    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("size"))
-    pos = F.lit(0.95) * (F.col("size") - 1)
-    spots = sizes.where("size >= 4").select(
-        *keys, F.floor(pos).cast("bigint").alias("k0"), F.ceil(pos).cast("bigint").alias("k1")
-    )
-    want = spots.select(
-        *keys,
-        F.inline(
-            F.array(
-                F.struct(F.lit("lo").alias("tag"), F.col("k0").alias("rank")),
-                F.struct(F.lit("hi").alias("tag"), F.col("k1").alias("rank")),
-            )
-        ),
-    )
-    cut = (
-        scale.values_at_ranks(counts, keys, want)
+    at95 = lambda edge: lambda size: edge(F.lit(0.95) * (size - 1))
+    pick = lambda tag, c: F.max(F.when(F.col("tag") == tag, F.col(c)))
+    whole = pick("lo", "v") == pick("hi", "v")
+    pool = (
+        scale.lookup_ranks(counts, keys, {"lo": at95(F.floor), "hi": at95(F.ceil)})
+        .where("size >= 4")
         .groupBy(*keys)
-        .agg(
-            F.max(F.when(F.col("tag") == "lo", F.col("v"))).alias("lv"),
-            F.max(F.when(F.col("tag") == "hi", F.col("v"))).alias("hv"),
-            F.max(F.when(F.col("tag") == "lo", F.col("upto"))).alias("lo_upto"),
-            F.max(F.when(F.col("tag") == "hi", F.col("upto"))).alias("hi_upto"),
-        )
-        .join(spots, keys)
-    )
-    whole = (F.col("lv") == F.col("hv")) | (F.col("k0") == F.col("k1"))
-    cut = cut.withColumn("pool", F.when(whole, F.col("hi_upto")).otherwise(F.col("lo_upto")))
-    pos90 = F.lit(0.9) * (F.col("pool") - 1)
-    spots90 = cut.select(*keys, pos90.alias("pos"))
-    want90 = spots90.select(
-        *keys,
-        F.inline(
-            F.array(
-                F.struct(F.lit("lo").alias("tag"), F.floor("pos").cast("bigint").alias("rank")),
-                F.struct(F.lit("hi").alias("tag"), F.ceil("pos").cast("bigint").alias("rank")),
-            )
-        ),
-    )
-    got = (
-        scale.values_at_ranks(counts, keys, want90)
-        .groupBy(*keys)
-        .agg(
-            F.max(F.when(F.col("tag") == "lo", F.col("v"))).alias("lv"),
-            F.max(F.when(F.col("tag") == "hi", F.col("v"))).alias("hv"),
-        )
-        .join(spots90, keys)
+        .agg(F.when(whole, pick("hi", "upto")).otherwise(pick("lo", "upto")).alias("size"))
     )
-    p90 = F.col("lv") + (F.col("hv") - F.col("lv")) * (F.col("pos") - F.floor("pos"))
-    return got.select(*keys, F.greatest(F.lit(50000.0), 4.0 * p90).alias("fence"))
+    p90 = scale.exact_percentiles(counts, keys, {"p90": 0.9}, sizes=pool)
+    return p90.select(*keys, F.greatest(F.lit(50000.0), 4.0 * F.col("p90")).alias("fence"))
 
 
 def recurring_signatures(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -275,9 +237,9 @@ def monthly_view(txns: DataFrame, openings: DataFrame) -> DataFrame:
         F.first("bucket_label").alias("label"),
         F.first("bucket_days").alias("days"),
         F.count(F.lit(1)).alias("volume"),
-        half_even(money_sum(features.is_credit())).alias("inflow"),
-        half_even(money_sum(features.is_debit())).alias("outflow"),
-        F.avg("running").alias("bal_avg"),
+        half_even(half_even(money_sum(features.is_credit()), 2)).alias("inflow"),
+        half_even(half_even(money_sum(features.is_debit()), 2)).alias("outflow"),
+        (half_even(F.sum("running"), 2) / F.count("running")).alias("bal_avg"),
         F.stddev_pop("running").alias("bal_sd"),
         F.min("running").alias("bal_min"),
         F.max("running").alias("bal_max"),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bank", "rules", "sources"]
+MODULES = ["bank", "rules", "sources", "cleaning", "signals"]
 
 
 def load_all() -> None:

@@ -7,17 +7,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.columns import half_even
 from ..operators import features, ledger, scoring
 from ..sources import adapters
-from ..staging import stage
+from ..staging import shared
 from .registry import query
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tagged ledger with running balances, staged once for all its readers."""
-    return stage(ledger.prepare(adapters.bank_txn(spark, sf_dir), adapters.accounts(spark, sf_dir)))
+    return shared(
+        spark, sf_dir, "ledger", lambda: ledger.prepare(staged_txns(spark, sf_dir), adapters.accounts(spark, sf_dir))
+    )
 
 
 def staged_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(adapters.bank_txn(spark, sf_dir))
+    return shared(spark, sf_dir, "bank", lambda: adapters.bank_txn(spark, sf_dir))
 
 
 @query(
@@ -112,8 +114,8 @@ def context_of(spark: SparkSession, sf_dir: str):
     from ..operators import context
 
     led = prepared(spark, sf_dir)
-    scored = stage(scores(led))
-    return led, stage(context.rule_context(led, scored))
+    scored = shared(spark, sf_dir, "scores", lambda: scores(led))
+    return led, shared(spark, sf_dir, "context", lambda: context.rule_context(led, scored))
 
 
 @query(

@@ -579,3 +579,285 @@ FROM (SELECT *, 100.0 - CASE WHEN gst_status <> 'ACTIVE' THEN 40.0 ELSE 0.0 END
    - CASE WHEN missed_return_count > 0 THEN 20.0 ELSE 0.0 END - CASE WHEN turnover_decline_percentage > 25 THEN 20.0 ELSE 0.0 END AS head_score
   FROM x_gst_profile)""",
 )
+
+# ------------------------------------------------------------------ cleaning and session features
+
+
+def _mentions(words) -> str:
+    return "(" + " OR ".join(f"contains(lower(narration), '{w}')" for w in words) + ")"
+
+
+block(
+    "x_recover",
+    f"""
+SELECT *, amount > 0 AS usable_raw, coalesce(amount > 0, false) AS usable,
+  round_even(balance - prev_balance, 2) AS delta,
+  TRY_CAST(replace(regexp_extract(narration, '{fixed.NARRATION_AMOUNT}', 1), ',', '') AS DOUBLE) AS narr,
+  coalesce(txn_type, CASE WHEN {_mentions(fixed.DEBIT_HINTS)} THEN 'DEBIT' WHEN {_mentions(fixed.CREDIT_HINTS)} THEN 'CREDIT' END) AS kind
+FROM x_anchored""",
+)
+block(
+    "x_clean",
+    """
+SELECT account_id, seq, txn_date, narration,
+  CASE WHEN usable THEN 'kept' WHEN by_delta OR by_text THEN 'recovered' ELSE 'dropped' END AS status,
+  CASE WHEN by_delta THEN 'balance change' WHEN by_text THEN 'narration' END AS method,
+  CASE WHEN usable OR by_delta OR by_text THEN NULL WHEN balance IS NOT NULL
+    THEN 'no amount; balance shows no change; no amount in narration'
+    ELSE 'no amount; no balance to infer a delta; no amount in narration' END AS reason,
+  (usable OR by_delta OR by_text) AND balance IS NULL AND prev_balance IS NOT NULL AS imputed,
+  CASE WHEN usable THEN amount WHEN by_delta THEN abs(delta) WHEN by_text THEN narr END AS amount,
+  CASE WHEN by_delta THEN coalesce(txn_type, CASE WHEN delta > 0 THEN 'CREDIT' ELSE 'DEBIT' END)
+       WHEN by_text THEN kind ELSE txn_type END AS txn_type,
+  coalesce(balance, prev_balance) AS balance
+FROM (SELECT *, NOT usable AND NOT by_delta AND coalesce(narr > 0, false) AND kind IS NOT NULL AS by_text
+      FROM (SELECT * , NOT usable AND coalesce(delta <> 0, false) AS by_delta FROM x_recover))""",
+)
+block("x_cleaned", "SELECT * FROM x_clean WHERE status <> 'dropped'")
+block(
+    "x_chunks",
+    """
+SELECT * FROM (SELECT *, CASE WHEN n < 6 THEN 0 ELSE pos // greatest(3, n // 5) END AS chunk,
+   CASE WHEN n < 6 THEN n ELSE least(greatest(3, n // 5), n - pos // greatest(3, n // 5) * greatest(3, n // 5)) END AS len
+  FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY seq) - 1 AS pos, count(*) OVER (PARTITION BY account_id) AS n FROM x_cleaned))
+WHERE n < 6 OR len >= 3""",
+)
+
+
+def features_sql(source: str, keys: str) -> str:
+    base = f"""
+SELECT {keys}, count(*) AS n, count(amount) AS n_amt, count(balance) AS n_bal, avg(balance) AS bal_avg, stddev_pop(balance) AS bal_sd,
+  round_even(coalesce(sum(amount) FILTER (txn_type = 'DEBIT'), 0.0), 2) AS td, round_even(coalesce(sum(amount) FILTER (txn_type = 'CREDIT'), 0.0), 2) AS tc,
+  median(amount) AS med FROM {source} GROUP BY {keys}"""
+    drops = f"""
+SELECT {keys}, coalesce(max(pb - balance) FILTER (pb > balance), 0.0) AS max_drop FROM
+ (SELECT {keys}, balance, lag(balance) OVER (PARTITION BY {keys} ORDER BY seq) AS pb FROM {source} WHERE balance IS NOT NULL) GROUP BY {keys}"""
+    large = f"SELECT {keys}, count(*) FILTER (amount > 2 * med) AS n_large FROM {source} JOIN b USING ({keys}) GROUP BY {keys}"
+    return f"""
+SELECT {keys}, greatest(coalesce(bal_avg, 50000.0), 1.0) AS avg_daily_balance, round_even(least(vol, 5.0), 4) AS balance_volatility,
+  round_even(least(tc1 / greatest(td1, 1.0), 10.0), 4) AS credit_debit_ratio, tc1 / 3.0 AS monthly_credit, td1 / 3.0 AS monthly_debit,
+  round_even(n / 90.0, 4) AS tx_velocity,
+  round_even(least(CASE WHEN n_bal >= 2 THEN max_drop / greatest(coalesce(bal_avg, 50000.0), 1.0) ELSE 0.0 END, 1.0), 4) AS max_drawdown_pct,
+  round_even(large, 4) AS large_tx_pct, round_even(least(1.0, vol * 0.5 + large * 0.5), 4) AS irregular_gap_score
+FROM (WITH b AS ({base}), d AS ({drops}), l AS ({large})
+  SELECT *, CASE WHEN td = 0 THEN 1.0 ELSE td END AS td1, CASE WHEN tc = 0 THEN 1.0 ELSE tc END AS tc1,
+   CASE WHEN n_bal >= 2 THEN bal_sd / CASE WHEN bal_avg = 0 THEN 1.0 ELSE bal_avg END ELSE 0.2 END AS vol,
+   CASE WHEN n_amt > 0 THEN n_large / n_amt ELSE 0.1 END AS large
+  FROM b LEFT JOIN d USING ({keys}) LEFT JOIN l USING ({keys}))"""
+
+
+def engineered_sql(source: str) -> str:
+    return f"""
+SELECT *, round_even(greatest(-1.0, least(1.0, (monthly_credit - monthly_debit) / greatest(monthly_credit, 1.0))), 4) AS net_flow_ratio,
+  round_even(least(180.0, avg_daily_balance / greatest(monthly_debit / 30.0, 1.0)), 1) AS liquidity_runway_days FROM {source}"""
+
+
+def minmax_sql(name: str) -> str:
+    lo, hi = fixed.FEATURE_BOUNDS[name]
+    return f"greatest(0.0, least(1.0, ({name} - {lo}) / CAST({hi} - {lo} AS DOUBLE)))"
+
+
+block("x_feat", features_sql("x_cleaned", "account_id"))
+block("x_feat_eng", engineered_sql("x_feat"))
+block("x_chunk_feat0", features_sql("x_chunks", "account_id, chunk"))
+block("x_chunk_feat", engineered_sql("x_chunk_feat0"))
+block(
+    "x_ranking",
+    "SELECT row_number() OVER (ORDER BY variance DESC, ord) AS rank, feature, round_even(variance, 5) AS variance FROM ("
+    + " UNION ALL ".join(
+        f"SELECT {i} AS ord, '{n}' AS feature, var_pop({minmax_sql(n)}) AS variance FROM x_chunk_feat"
+        for i, n in enumerate(fixed.FEATURE_BOUNDS)
+    )
+    + ")",
+)
+
+
+def unpivot_sql(source: str, names, cols, keys: str = "account_id") -> str:
+    """One SELECT per name; `cols` maps an output column to a function of the name."""
+    return " UNION ALL ".join(
+        f"SELECT {keys}, '{n}' AS feature, " + ", ".join(f"{f(n)} AS {c}" for c, f in cols.items()) + f" FROM {source}"
+        for n in names
+    )
+
+
+NORMAL_COLS = {
+    "raw": lambda n: f"round_even({n}, 4)",
+    "minmax": lambda n: f"round_even({minmax_sql(n)}, 4)",
+    "zscore": lambda n: f"round_even(({n} - {fixed.FEATURE_REFERENCE[n][0]}) / CAST({fixed.FEATURE_REFERENCE[n][1]} AS DOUBLE), 4)",
+}
+
+# ------------------------------------------------------------------ anomalies and analytics
+
+
+def anomaly_sql(source: str, keys: str) -> str:
+    """Flagged rows of a ledger-shaped source; fences and counts are taken per `keys`."""
+    return f"""
+WITH r AS (SELECT * FROM {source} WHERE amount > 0 AND NOT regexp_matches(narration, '{fixed.HEADER_JUNK}')),
+n AS (SELECT {keys}, count(*) AS kept FROM r GROUP BY {keys} HAVING count(*) >= 8),
+c AS (SELECT {keys}, txn_type, quantile_cont(amount, 0.95) AS cut, count(*) AS m FROM r GROUP BY {keys}, txn_type),
+f AS (SELECT {keys}, txn_type, greatest(50000.0, 4.0 * quantile_cont(amount, 0.9)) AS fence
+      FROM r JOIN c USING ({keys}, txn_type) WHERE m >= 4 AND amount <= cut GROUP BY {keys}, txn_type),
+s AS (SELECT {keys}, sig, count(*) AS sig_n, min(amount) AS lo, max(amount) AS hi FROM r WHERE sig <> '' GROUP BY {keys}, sig),
+x AS (SELECT r.*, fence, coalesce(amount > fence, false) AND NOT coalesce(sig_n >= 3 OR (sig_n = 2 AND hi - lo <= 0.15 * greatest(amount, 1)), false) AS unusual
+      FROM r JOIN n USING ({keys}) LEFT JOIN f USING ({keys}, txn_type) LEFT JOIN s USING ({keys}, sig))
+SELECT {keys}, seq, txn_date, narration, amount, round_even(raw, 1) AS score, CASE WHEN raw >= 72 THEN 'HIGH' ELSE 'MEDIUM' END AS level,
+  array_to_string(list_filter([CASE WHEN is_bounce THEN 'return or bounce' END, CASE WHEN running < 0 THEN 'balance went negative' END,
+    CASE WHEN unusual THEN lower(txn_type) || ' far outside the usual range' END], lambda z: z IS NOT NULL), '; ') AS reasons
+FROM (SELECT *, least(99.0, greatest(CASE WHEN is_bounce THEN 80.0 ELSE 0.0 END, CASE WHEN running < 0 THEN 82.0 ELSE 0.0 END,
+   CASE WHEN unusual THEN least(88.0, 48.0 + 22.0 * log10(amount / fence + 1.0)) ELSE 0.0 END)) AS raw FROM x)
+WHERE raw >= 55"""
+
+
+block("x_anomalies", anomaly_sql("x_ledger", "account_id"))
+block(
+    "x_month_run",
+    f"""
+SELECT a.account_id, seq, txn_date, narration, txn_type, amount, balance, bucket, {tags()}, {sig()} AS sig,
+  coalesce(fb, opening_balance) + sum(CASE WHEN balance IS NOT NULL THEN 0.0 WHEN txn_type = 'CREDIT' THEN coalesce(amount, 0) ELSE -coalesce(amount, 0) END)
+    OVER (PARTITION BY a.account_id, bucket, g2 ORDER BY seq) AS running
+FROM (SELECT *, count(balance) OVER w AS g2, last_value(balance IGNORE NULLS) OVER w AS fb
+      FROM (SELECT *, strftime(txn_date, '%Y-%m') AS bucket FROM x_bank) WINDOW w AS (PARTITION BY account_id, bucket ORDER BY seq)) a
+JOIN x_account USING (account_id)""",
+)
+block("x_month_flags", anomaly_sql("x_month_run", "account_id, bucket"))
+block(
+    "x_month_view",
+    """
+SELECT account_id, bucket, strftime(min(txn_date), '%b %Y') AS label, count(*) AS volume, day(last_day(min(txn_date))) AS days,
+  round_even(round_even(coalesce(sum(amount) FILTER (txn_type = 'CREDIT'), 0.0), 2), 0) AS inflow, round_even(round_even(coalesce(sum(amount) FILTER (txn_type = 'DEBIT'), 0.0), 2), 0) AS outflow,
+  round_even(sum(running), 2) / count(running) AS ba, stddev_pop(running) AS bs, min(running) AS bmin, max(running) AS bmax, arg_max(running, seq) AS bl,
+  CAST(count(*) FILTER (is_bounce) AS BIGINT) AS bounces,
+  CAST(count(*) - count(DISTINCT (lower(trim(narration)), coalesce(amount, -1))) AS BIGINT) AS duplicates
+FROM x_month_run GROUP BY ALL""",
+)
+block(
+    "x_month_analytics",
+    """
+SELECT account_id, bucket, label, inflow, outflow, inflow - outflow AS net,
+  CASE WHEN outflow <> 0 THEN round_even(inflow / outflow, 2) WHEN inflow <> 0 THEN 9.99 ELSE 0.0 END AS dscr,
+  CASE WHEN outflow <> 0 THEN round_even(bl / outflow, 1) ELSE 0.0 END AS runway_months,
+  CASE WHEN inflow - outflow > inflow * 0.3 THEN 'Strong' WHEN inflow - outflow >= 0 THEN 'Healthy' ELSE 'Tight' END AS cash_label,
+  volume, round_even(volume / days, 2) AS per_day, duplicates, CAST(coalesce(flagged, 0) AS BIGINT) AS flagged,
+  round_even(100 * coalesce(flagged, 0) / volume, 0) AS anomaly_index,
+  CASE WHEN round_even(100 * coalesce(flagged, 0) / volume, 0) > 10 THEN 'Review' WHEN coalesce(flagged, 0) > 0 THEN 'Watch' ELSE 'Clean' END AS fraud_label,
+  round_even(ba, 0) AS adb, round_even(bmin, 0) AS min_bal, round_even(bmax, 0) AS peak_bal,
+  CASE WHEN ba <> 0 THEN round_even(bs / ba, 3) ELSE 0.0 END AS volatility_index, bounces,
+  CASE WHEN CASE WHEN ba <> 0 THEN round_even(bs / ba, 3) ELSE 0.0 END < 0.15 THEN 'Very Stable'
+       WHEN CASE WHEN ba <> 0 THEN round_even(bs / ba, 3) ELSE 0.0 END < 0.35 THEN 'Stable' ELSE 'Volatile' END AS balance_label
+FROM x_month_view LEFT JOIN (SELECT account_id, bucket, least(12, count(*)) AS flagged FROM x_month_flags GROUP BY ALL) USING (account_id, bucket)""",
+)
+block(
+    "x_traj_run",
+    f"""
+SELECT a.account_id, seq, txn_date, txn_type, amount, balance, strftime(txn_date, '%Y-%m') AS bucket, {tags()},
+  coalesce(fill_balance, o) + sum(CASE WHEN balance IS NOT NULL THEN 0.0 WHEN txn_type = 'CREDIT' THEN coalesce(amount, 0) ELSE -coalesce(amount, 0) END)
+    OVER (PARTITION BY a.account_id, g ORDER BY seq) AS running
+FROM x_anchored a JOIN (SELECT account_id, arg_min(balance, seq) FILTER (balance IS NOT NULL) AS o FROM x_bank GROUP BY 1) USING (account_id)""",
+)
+block(
+    "x_traj_totals",
+    """
+SELECT b.account_id, b.bucket, count(*) AS n, count(t.txn_date) AS dated, min(t.txn_date) AS d0, max(t.txn_date) AS d1,
+  round_even(coalesce(sum(amount) FILTER (txn_type = 'CREDIT'), 0.0), 2) AS tc, round_even(coalesce(sum(amount) FILTER (txn_type = 'DEBIT'), 0.0), 2) AS td,
+  CAST(count(*) FILTER (is_bounce) AS BIGINT) AS bounces, coalesce(sum(amount) FILTER (txn_type = 'DEBIT' AND is_cash), 0.0) AS cash_out,
+  CASE WHEN count(balance) > 0 THEN count(running) ELSE 0 END AS rn, CASE WHEN count(balance) > 0 THEN avg(running) END AS r_avg,
+  CASE WHEN count(balance) > 0 THEN stddev_pop(running) END AS r_sd, CASE WHEN count(balance) > 0 THEN min(running) END AS r_min
+FROM (SELECT DISTINCT account_id, bucket FROM x_traj_run) b JOIN x_traj_run t ON t.account_id = b.account_id AND t.bucket <= b.bucket
+GROUP BY b.account_id, b.bucket""",
+)
+block(
+    "x_traj_stab",
+    """
+SELECT b.account_id, b.bucket, CASE WHEN count(*) < 2 THEN 0.6 ELSE greatest(0.0, 1.0 - stddev_pop(credit) / avg(credit)) END AS stability
+FROM (SELECT DISTINCT account_id, bucket FROM x_traj_run) b JOIN x_months m ON m.account_id = b.account_id AND m.month <= b.bucket
+WHERE credit > 0 GROUP BY ALL""",
+)
+block("x_traj_in", "SELECT * FROM x_traj_totals LEFT JOIN x_traj_stab USING (account_id, bucket)")
+block("x_traj_vec", vector_sql("x_traj_in", "account_id, bucket"))
+block("x_traj_score", scored_sql("x_traj_vec"))
+
+# ------------------------------------------------------------------ patterns and monitoring
+
+
+def long_sql(source: str, names, key: str = "account_id") -> str:
+    return " UNION ALL ".join(f"SELECT {key}, '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM {source}" for n in names)
+
+
+def declared_sql(domain: str) -> str:
+    rows = ", ".join(
+        f"({i}, '{m}', '{lab.replace(chr(39), chr(39) * 2)}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"
+        for i, (m, (lab, a, b)) in enumerate(fixed.PATTERN_METRICS[domain].items())
+    )
+    return f"SELECT * FROM (VALUES {rows}) AS t(ord, metric, label, f_med, f_mad)"
+
+
+def profile_sql(long: str, min_samples: int, tails, digits: int) -> str:
+    extra = ", ".join(f"round_even(quantile_cont(value, {p}), {digits}) AS {n}" for n, p in tails.items())
+    return f"""
+SELECT metric, count(value) AS n, round_even(any_value(med), {digits}) AS median,
+  round_even(coalesce(nullif(median(abs(value - med)), 0), nullif(stddev_pop(value), 0), 1.0), {digits}) AS mad, {extra}
+FROM {long} JOIN (SELECT metric, median(value) AS med FROM {long} GROUP BY 1) USING (metric)
+WHERE value IS NOT NULL GROUP BY metric HAVING count(value) >= {min_samples}"""
+
+
+def compare_sql(domain: str, key: str = "account_id") -> str:
+    return f"""
+SELECT {key}, metric, value, label, ord, round_even(med, 4) AS baseline, z,
+  CASE WHEN z >= 3.5 THEN 'extreme' WHEN z >= 2.0 THEN 'elevated' ELSE 'within' END AS band, basis
+FROM (SELECT *, round_even(0.6745 * abs(value - med) / mad2, 2) AS z FROM
+  (SELECT l.*, label, ord, coalesce(median, f_med) AS med, greatest(coalesce(mad, f_mad), 1e-9) AS mad2,
+     CASE WHEN median IS NOT NULL THEN 'training' ELSE 'typical' END AS basis
+   FROM x_long_{domain} l JOIN x_decl_{domain} d USING (metric) LEFT JOIN x_prof_{domain} p USING (metric)))"""
+
+
+def typology_sql(source: str, domain: str, key: str = "account_id") -> str:
+    from ..operators.patterns import TYPOLOGIES
+
+    return " UNION ALL ".join(
+        f"SELECT {key}, {i} AS ord, '{t.name.replace(chr(39), chr(39) * 2)}' AS typology, {str(t.hard).lower()} AS hard, {t.verdict_sql()} AS verdict FROM {source}"
+        for i, t in enumerate(TYPOLOGIES[domain])
+    )
+
+
+def verdict_sql(domain: str, key: str = "account_id") -> str:
+    return f"""
+SELECT {key}, CASE WHEN hard_match THEN 'MATCHES FRAUD TYPOLOGY' WHEN band = 'extreme' OR (soft AND band = 'elevated') THEN 'ELEVATED ANOMALY SIGNATURE'
+   WHEN soft OR band = 'elevated' THEN 'SOME ELEVATED SIGNALS' ELSE 'CONSISTENT WITH TRAINING' END AS verdict,
+  concern AS concern_score, CASE WHEN concern >= 65 THEN 'concern' WHEN concern >= 35 THEN 'review' ELSE 'good' END AS zone,
+  CASE WHEN concern < 35 THEN 'none' WHEN hard_match THEN 'typology' ELSE 'anomaly_metric' END AS reason,
+  least(100.0, round_even(wz / 3.5 * 60.0, 1)) AS pattern_score,
+  CASE WHEN hard_match THEN 'alert' WHEN soft THEN 'review' ELSE 'clear' END AS fraud_box,
+  CASE WHEN band = 'extreme' THEN 'alert' WHEN band = 'elevated' THEN 'review' ELSE 'clear' END AS anomaly_box
+FROM (SELECT *, CASE WHEN wz >= 3.5 THEN 'extreme' WHEN wz >= 2.0 THEN 'elevated' ELSE 'within' END AS band,
+    CAST(round_even(greatest(CASE WHEN hard_match THEN 100.0 ELSE 0.0 END, least(100.0, wz / 3.5 * 60.0)), 0) AS BIGINT) AS concern
+  FROM (SELECT {key}, bool_or(hard AND verdict = 'match') AS hard_match, bool_or(verdict <> 'none') AS soft FROM x_typ_{domain} GROUP BY 1)
+  JOIN (SELECT {key}, max(z) AS wz FROM x_cmp_{domain} GROUP BY 1) USING ({key}))"""
+
+
+PATTERN_SOURCES = {"aa": ("x_context", "account_id"), "upi": ("x_upi_metrics", "account_id"), "bbps": ("x_bill_metrics", "account_id"), "gst": ("x_gst_metrics", "gstin")}
+for _d, (_src, _key) in PATTERN_SOURCES.items():
+    block(f"x_long_{_d}", long_sql(_src, fixed.PATTERN_METRICS[_d], _key))
+    block(f"x_decl_{_d}", declared_sql(_d))
+    block(f"x_prof_{_d}", profile_sql(f"x_long_{_d}", 8, {"p95": 0.95}, 5))
+    block(f"x_cmp_{_d}", compare_sql(_d, _key))
+    block(f"x_typ_{_d}", typology_sql(_src, _d, _key))
+    block(f"x_verdict_{_d}", verdict_sql(_d, _key))
+
+block("x_vlong", long_sql("(SELECT *, CAST(NULL AS DOUBLE) AS account_age_days FROM x_vector)", fixed.OUTLIER_FALLBACK))
+block("x_vprof", profile_sql("x_vlong", 30, {"p1": 0.01, "p99": 0.99}, 4))
+
+
+def psi_sql(reference: str, recent: str) -> str:
+    qs = ", ".join(f"quantile_cont(value, {i / 10})" for i in range(11))
+    return f"""
+WITH e AS (SELECT metric, list_sort(list_distinct([{qs}])) AS edges, count(*) AS rn FROM {reference} WHERE value IS NOT NULL GROUP BY 1),
+bins AS (SELECT metric, edges, rn, unnest(range(1, 11)) AS bin FROM e),
+rb AS (SELECT metric, least(len(list_filter(edges, lambda q: q <= value)), len(edges) - 1) AS bin, count(*) AS rc FROM {reference} JOIN e USING (metric)
+   WHERE value BETWEEN edges[1] AND edges[-1] GROUP BY ALL),
+cb AS (SELECT metric, least(len(list_filter(edges, lambda q: q <= value)), len(edges) - 1) AS bin, count(*) AS cc FROM {recent} JOIN e USING (metric)
+   WHERE value BETWEEN edges[1] AND edges[-1] GROUP BY ALL),
+cn AS (SELECT metric, count(value) AS cn FROM {recent} GROUP BY 1),
+sh AS (SELECT metric, rn, cn, len(edges) AS k, greatest(coalesce(rc, 0) / rn, 1e-4) AS ev, greatest(coalesce(cc, 0) / cn, 1e-4) AS av
+   FROM bins LEFT JOIN rb USING (metric, bin) LEFT JOIN cb USING (metric, bin) JOIN cn USING (metric) WHERE bin < len(edges))
+SELECT e.metric, coalesce(any_value(p), 0.0) AS psi FROM e LEFT JOIN
+ (SELECT metric, CASE WHEN max(k) >= 3 AND max(rn) >= 20 AND max(cn) >= 10 THEN sum((av - ev) * ln(av / ev)) END AS p FROM sh GROUP BY 1) s USING (metric) GROUP BY 1"""

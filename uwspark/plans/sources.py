@@ -8,7 +8,7 @@ from ..functions import rulebook
 from ..functions.columns import half_even
 from ..operators import bbps, gst, rules, upi
 from ..sources import adapters
-from ..staging import stage
+from ..staging import shared, stage
 from . import oracle
 from .registry import query
 
@@ -16,15 +16,15 @@ AS_OF = "2002-01-01"
 
 
 def payments(spark, sf_dir):
-    return stage(adapters.upi_txn(spark, sf_dir, shift_months=True))
+    return shared(spark, sf_dir, "payments", lambda: adapters.upi_txn(spark, sf_dir, shift_months=True))
 
 
 def bank(spark, sf_dir):
-    return stage(adapters.bank_txn(spark, sf_dir))
+    return shared(spark, sf_dir, "bank", lambda: adapters.bank_txn(spark, sf_dir))
 
 
 def returns(spark, sf_dir):
-    return stage(adapters.gst_return(spark, sf_dir))
+    return shared(spark, sf_dir, "returns", lambda: adapters.gst_return(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ payments

@@ -12,6 +12,8 @@ import shutil
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: list[str] = []
@@ -36,3 +38,22 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/uwspark-stage/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A staged table several queries of one session read; written by the first of them.
+
+    It is tied to the application, so a new session never sees the table of an old one.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _SHARED:
+        _SHARED[key] = stage(build())
+    return _SHARED[key]
+
+
+def forget() -> None:
+    """Drop the references, so that the next query builds its inputs again."""
+    _SHARED.clear()
