@@ -172,14 +172,35 @@ def head_decision(results: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
 
-def explanation() -> Column:
-    """One plain sentence per result row."""
-    return F.concat(
-        F.col("label"),
-        F.when(F.col("status") == "PASS", " passed. ")
-        .when(F.col("status") == "FAIL", F.when(F.col("serious"), " failed and is serious. ").otherwise(" failed. "))
-        .otherwise(" was not evaluated. "),
-        F.col("detail"),
+# What a rule checks, by the ending of its label (fixed values, first hit wins).
+LABEL_ENDINGS = [
+    ("validation rule", "Checks that a declared figure is present and plausible."),
+    ("matching rule", "Compares the same figure from two sources."),
+    ("growth rule", "Looks at how a figure moved against earlier periods."),
+    ("stability rule", "Looks at how steady a figure is from month to month."),
+    ("regularity rule", "Checks that an expected event happens every period."),
+    ("ratio rule", "Compares two amounts as a ratio against a limit."),
+    ("count rule", "Counts events and compares them with a limit."),
+    ("concentration rule", "Looks at how much depends on one party."),
+    ("rule", "Checks one underwriting condition."),
+]
+
+
+def describe(label: str) -> Column:
+    """Plain description of a rule from its label ending."""
+    out = F.lit("Checks one underwriting condition.")
+    for ending, text in reversed(LABEL_ENDINGS):
+        out = F.when(F.lower(F.col(label)).endswith(ending), text).otherwise(out)
+    return out
+
+
+def explained(results: DataFrame) -> DataFrame:
+    """Outcome word and one readable sentence per result row; no model or service is asked."""
+    outcome = F.when(F.col("status") == "PASS", "met").when(
+        F.col("status") == "FAIL", F.when(F.col("serious"), "not met, key rule").otherwise("not met")
+    ).otherwise("not checked")
+    return results.withColumn("outcome", outcome).withColumn(
+        "explanation", F.concat_ws(" ", describe("label"), F.concat(F.lit("Outcome: "), "outcome", F.lit(".")), "detail")
     )
 
 

@@ -263,19 +263,16 @@ def extension(name: str) -> Column:
 def admission(files: DataFrame, name: str = "name", content: str = "content", length: str = "length") -> DataFrame:
     """Add `reason`: why a file is refused, null when it is admitted."""
     ext = extension(name)
-    head = F.substring(F.col(content), 1, 4096)
+    latin = lambda n: F.decode(F.substring(F.col(content), 1, n), "ISO-8859-1")
     is_text = ext.isin("csv", "tsv", "txt", "json", "md")
-    start = F.substring(F.ltrim(F.decode(F.substring(F.col(content), 1, 1024), F.lit("ISO-8859-1"))), 1, 5)
     return files.withColumn("ext", ext).withColumn(
         "reason",
         F.when(F.col(length) == 0, "empty file")
         .when(F.col(length) > fixed.MAX_UPLOAD_BYTES, "too large")
         .when(~ext.isin(fixed.ALLOWED_EXTENSIONS), "extension not allowed")
-        .when((ext == "pdf") & (start != "%PDF-"), "not a pdf")
-        .when(is_text & F.contains(F.hex(head), F.lit("00")) & F.exists(
-            F.split(F.regexp_replace(F.hex(head), "(..)", "$1 "), " "), lambda x: x == "00"
-        ), "binary data in a text file")
-        .when((ext == "xlsx") & (F.hex(F.substring(F.col(content), 1, 2)) != "504B"), "not a workbook"),
+        .when((ext == "pdf") & ~F.ltrim(latin(1024)).startswith("%PDF-"), "not a pdf")
+        .when(is_text & (F.instr(latin(4096), "\0") > 0), "binary data in a text file")
+        .when((ext == "xlsx") & (latin(2) != "PK"), "not a workbook"),
     )
 
 
