@@ -152,15 +152,13 @@ def missing_periods(txns: DataFrame) -> DataFrame:
 
 def model_features(a: DataFrame) -> DataFrame:
     """The 12 numeric model features of an analysis row, with the has_* flags as 0/1."""
-    base = [
-        "utility_accounts", "payments_last_12m", "span_months", "on_time_payment_ratio",
-        "missed_payment_count", "average_bill_amount",
-    ]
-    return a.select(
-        "account_id",
-        *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in base],
-        *[F.col(f"has_{k.lower()}").cast("double").alias(f"has_{k.lower()}") for k in KINDS],
-    )
+    names = {
+        "utility_accounts": "utility_accounts", "payments_count": "payments_last_12m", "span_months": "span_months",
+        "on_time_payment_ratio": "on_time_payment_ratio", "missed_payment_count": "missed_payment_count",
+        "average_bill_amount": "average_bill_amount", **{f"has_{k.lower()}": f"has_{k.lower()}" for k in fixed.UTILITY_PATTERNS},
+        "recurring_type_count": "recurring_types",
+    }
+    return a.select("account_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(n) for n, c in names.items()])
 
 
 def impute_bulk(table: DataFrame, means: DataFrame) -> DataFrame:

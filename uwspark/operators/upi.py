@@ -159,7 +159,7 @@ def fraud_metrics(txns: DataFrame) -> DataFrame:
 def model_features(a: DataFrame) -> DataFrame:
     """The 15 numeric model features of an analysis row."""
     names = [
-        "total_transactions", "span_months", "p2p_ratio", "p2m_ratio", "success_ratio", "failed_count",
+        "total_transactions", "span_months", "p2p_ratio", "p2m_ratio", "success_ratio", "failed_ratio",
         "unique_payees", "unique_payers", "recurring_payee_count", "daily_avg_transactions", "weekend_spend_pct",
         "avg_ticket_size", "high_risk_mcc_spend_pct", "p2p_debit_velocity", "p2p_credit_velocity",
     ]

@@ -79,7 +79,7 @@ def upi_rules(spark, sf_dir):
 @query(
     "b28_upi_model_features",
     """SELECT account_id, CAST(total_transactions AS DOUBLE) AS total_transactions, CAST(span_months AS DOUBLE) AS span_months,
-      p2p_ratio, p2m_ratio, success_ratio, CAST(failed_count AS DOUBLE) AS failed_count, CAST(unique_payees AS DOUBLE) AS unique_payees,
+      p2p_ratio, p2m_ratio, success_ratio, failed_ratio, CAST(unique_payees AS DOUBLE) AS unique_payees,
       CAST(unique_payers AS DOUBLE) AS unique_payers, CAST(recurring_payee_count AS DOUBLE) AS recurring_payee_count,
       daily_avg_transactions, weekend_spend_pct, avg_ticket_size, high_risk_mcc_spend_pct, p2p_debit_velocity, p2p_credit_velocity
     FROM x_upi_analysis""",
