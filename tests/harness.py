@@ -45,6 +45,11 @@ def compare(df, con, sql: str):
         return False, f"columns differ: spark only {set(cols) - set(names)}, sql only {set(names) - set(cols)}"
     idx = [names.index(c) for c in cols]
     want = sorted([tuple(norm(r[i]) for i in idx) for r in rel.fetchall()])
+    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN", "int": "INTEGER"}
+    types = dict(zip(names, (str(t) for t in rel.types)))
+    off = [(c, t, types[c]) for c, t in df.dtypes if kinds.get(t, t) != types[c]]
+    if got == want and off:
+        return False, f"types differ: {off}"
     if got == want:
         return True, f"{len(got)} rows"
     if len(got) != len(want):
