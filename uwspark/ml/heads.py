@@ -250,3 +250,38 @@ def with_active(versions: DataFrame, domain: str = "domain") -> DataFrame:
     return versions.join(best, domain, "left").withColumn(
         "active", F.coalesce(F.col("version") == F.col("_best"), F.lit(False))
     ).drop("_best")
+
+
+def session_score(model: PipelineModel, df: DataFrame, head: Head, key: str = "account_id") -> DataFrame:
+    """Credit score of a risk classifier: 900 at probability 0, 300 at probability 1."""
+    out = model.transform(df.na.fill(0.0, list(head.features)))
+    p = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
+    return out.select(key, (900.0 - p * 600.0).alias("model_score"), F.lit("session-model").alias("model_source"))
+
+
+def registry_score(regressor: PipelineModel, df: DataFrame, head: Head, version: int, key: str = "account_id") -> DataFrame:
+    """Score of the population regressor, kept inside 300..900."""
+    out = regressor.transform(df.na.fill(0.0, list(head.features)))
+    return out.select(
+        key, F.least(F.greatest("prediction", F.lit(300.0)), F.lit(900.0)).alias("model_score"),
+        F.lit(f"dataset-v{version}").alias("model_source"),
+    )
+
+
+def accuracy(model: PipelineModel, golden: DataFrame, head: Head) -> float:
+    """Share of right classes on the frozen slice; one number comes back."""
+    scored = model.transform(labelled(golden, head).na.fill(0.0, list(head.features)))
+    return scored.agg(F.avg((F.col("y") == F.col("prediction")).cast("double"))).first()[0]
+
+
+def evaluation_row(metrics: DataFrame, head: Head) -> DataFrame:
+    """One summary row per head: the mean over its folds."""
+    names = [c for c, t in metrics.dtypes if c != "fold" and t == "double"]
+    return metrics.agg(F.count(F.lit(1)).alias("folds"), *[half_even(F.avg(n), 4).alias(n) for n in names]).withColumn(
+        "head", F.lit(head.id)
+    )
+
+
+def deployed_only(predictions: DataFrame, deployments: DataFrame) -> DataFrame:
+    """Predictions of the heads switched on; the deployment table has one row per head."""
+    return predictions.join(F.broadcast(deployments.where("deployed").select("head")), "head", "left_semi")
