@@ -129,6 +129,19 @@ def verdicts(
     )
 
 
+def status_boxes(verdict: DataFrame, domain: str, key: str = "account_id") -> DataFrame:
+    """Fraud and anomaly box of every entity with headline and detail text (a fixed text table)."""
+    rows = [
+        (box, status, head, fixed.BOX_DETAILS.get((domain, box, status), ""))
+        for (box, status), head in fixed.BOX_HEADLINES.items()
+    ]
+    texts = verdict.sparkSession.createDataFrame(rows, "box string, status string, headline string, detail string")
+    long = verdict.selectExpr(
+        key, "inline(array(named_struct('box', 'fraud', 'status', fraud_box), named_struct('box', 'anomaly', 'status', anomaly_box)))"
+    )
+    return long.join(F.broadcast(texts), ["box", "status"])
+
+
 def corpus_typologies(typ: DataFrame, key: str = "account_id") -> DataFrame:
     """How many entities each typology fires on, with the first evidence."""
     at = lambda v: F.min_by("evidence", F.when(F.col("verdict") == v, F.col(key)))

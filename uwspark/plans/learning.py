@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, rulebook
 from ..ml import heads, isolation, labels
-from ..operators import bbps, features, upi
+from ..operators import bbps, features, rules, upi
 from ..sources.adapters import read
 from ..staging import shared, stage
 from . import oracle
@@ -69,13 +69,16 @@ def payment_features(spark, sf_dir):
     return shared(spark, sf_dir, "upi_features", lambda: upi.model_features(upi.analysis(payments(spark, sf_dir))))
 
 
-@query(
-    "l03_payment_targets",
-    """SELECT account_id, CASE WHEN risk < 0.25 THEN 'LOW' WHEN risk < 0.55 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_band, round_even(greatest(0.0, least(100.0, success_ratio * 100 - failed_ratio * 30)), 1) AS reliability,
+_PAYMENT_SQL = """SELECT account_id, CASE WHEN risk < 0.25 THEN 'LOW' WHEN risk < 0.55 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_band, round_even(greatest(0.0, least(100.0, success_ratio * 100 - failed_ratio * 30)), 1) AS reliability,
       CASE WHEN share >= 0.4 AND daily_avg_transactions >= 0.1 THEN 'REGULAR' ELSE 'IRREGULAR' END AS behaviour,
       round_even(greatest(0.0, least(100.0, 100 * (0.35 * least(unique_payees + unique_payers, 20) / 20 + 0.35 * least(span_months, 12) / 12 + 0.30 * share))), 1) AS stability
     FROM (SELECT *, 0.30 * failed_ratio + 0.30 * (high_risk_mcc_spend_pct / 100) + CASE WHEN unique_payees < 2 THEN 0.20 ELSE 0.0 END + CASE WHEN span_months < 3 THEN 0.20 ELSE 0.0 END AS risk,
-        least(1.0, recurring_payee_count / greatest(unique_payees, 1)) AS share FROM x_upi_analysis)""",
+        least(1.0, recurring_payee_count / greatest(unique_payees, 1)) AS share FROM x_upi_analysis)"""
+
+
+@query(
+    "l03_payment_targets",
+    _PAYMENT_SQL,
 )
 def payment_targets(spark, sf_dir):
     return labels.payment_targets(payment_features(spark, sf_dir)).select(
@@ -99,14 +102,17 @@ def bbps_features(spark, sf_dir):
     return utility_features(spark, sf_dir)
 
 
-@query(
-    "l04_utility_targets",
-    """SELECT account_id, CASE WHEN risk < 0.25 THEN 'LOW' WHEN risk < 0.55 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_band,
+_UTILITY_SQL = """SELECT account_id, CASE WHEN risk < 0.25 THEN 'LOW' WHEN risk < 0.55 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_band,
       round_even(greatest(0.0, least(100.0, 100 - (0.7 * (1 - on_time_payment_ratio) + 0.3 * missed) * 100)), 1) AS discipline,
       CASE WHEN share >= 0.5 AND least(2.0, payments_last_12m / greatest(span_months * greatest(recurring_types, 1), 1)) >= 0.5 THEN 'REGULAR' ELSE 'IRREGULAR' END AS behaviour,
       round_even(greatest(0.0, least(100.0, 100 * (0.5 * least(utility_accounts, 4) / 4 + 0.3 * least(span_months, 12) / 12 + 0.2 * share))), 1) AS stability
     FROM (SELECT *, greatest(0.0, least(1.0, 0.35 * (1 - on_time_payment_ratio) + 0.25 * missed + CASE WHEN utility_accounts < 2 THEN 0.15 ELSE 0.0 END + 0.15 * (1 - share) + CASE WHEN span_months < 3 THEN 0.10 ELSE 0.0 END)) AS risk
-      FROM (SELECT *, least(1.0, missed_payment_count / 5) AS missed, least(1.0, recurring_types / greatest(utility_accounts, 1)) AS share FROM x_bill_analysis))""",
+      FROM (SELECT *, least(1.0, missed_payment_count / 5) AS missed, least(1.0, recurring_types / greatest(utility_accounts, 1)) AS share FROM x_bill_analysis))"""
+
+
+@query(
+    "l04_utility_targets",
+    _UTILITY_SQL,
 )
 def utility_targets(spark, sf_dir):
     return labels.utility_targets(utility_features(spark, sf_dir)).select(
@@ -114,6 +120,38 @@ def utility_targets(spark, sf_dir):
     )
 
 
+def _decision_sql(domain: str, final, targets: str) -> str:
+    oracle.block(
+        f"x_{domain}_all",
+        f"""SELECT account_id, rule_id, status, serious, false AS gate FROM x_{domain}_rules UNION ALL
+        SELECT account_id, '{final[0]}', CASE WHEN passed + failed = 0 THEN 'SKIP' WHEN failed <= 2 THEN 'PASS' ELSE 'FAIL' END, true, false FROM x_{domain}_tally""",
+    )
+    oracle.block(f"x_{domain}_total", oracle.tally_sql(f"x_{domain}_all"))
+    oracle.block(f"x_{domain}_targets", targets)
+    return f"""SELECT account_id, passed, failed, skipped, serious_fails, CASE WHEN serious_fails > 0 THEN 'REJECTED' WHEN failed > 0 OR risk_band = 'HIGH' THEN 'CONDITIONAL APPROVAL'
+      WHEN risk_band = 'LOW' AND stability >= 70 THEN 'APPROVED' ELSE 'APPROVED WITH NOTES' END AS decision FROM x_{domain}_total JOIN x_{domain}_targets USING (account_id)"""
+
+
+def _decided(analysis, rulelist, final, targets):
+    """Rule results with the closing rule, decided on the risk band and stability targets."""
+    results = rules.with_final_signal(rules.evaluate(analysis, rulelist), final)
+    scored = targets.select("account_id", F.col("risk_band").alias("risk_label"), "stability")
+    out = rules.head_decision(results, scored)
+    return out.select("account_id", "passed", "failed", "skipped", "serious_fails", "decision")
+
+
+@query("k08_upi_decision", _decision_sql("upi", rulebook.UPI_FINAL, _PAYMENT_SQL))
+def upi_decision(spark, sf_dir):
+    a = upi.analysis(payments(spark, sf_dir))
+    return _decided(a, rulebook.UPI_RULES, rulebook.UPI_FINAL, labels.payment_targets(payment_features(spark, sf_dir)))
+
+
+@query("k07_bbps_decision", _decision_sql("bbps", rulebook.BBPS_FINAL, _UTILITY_SQL))
+def bbps_decision(spark, sf_dir):
+    a = bbps.analysis(bbps.by_type(bank(spark, sf_dir)))
+    return _decided(a, rulebook.BBPS_RULES, rulebook.BBPS_FINAL, labels.utility_targets(utility_features(spark, sf_dir)))
+
+
 _WEIGHTS = {"success_ratio": 0.3, "unique_payees": 0.25, "avg_ticket_size": 0.2, "p2p_debit_velocity": 0.15, "span_months": 0.1}
 
 

@@ -136,6 +136,21 @@ for _d, (_src, _key) in oracle.PATTERN_SOURCES.items():
         return patterns.weak_labels(m, d, key)
 
 
+_HEADS = " ".join(f"WHEN box = '{b}' AND status = '{st}' THEN '{h}'" for (b, st), h in fixed.BOX_HEADLINES.items())
+
+
+@query(
+    "k17_aa_status_boxes",
+    f"""SELECT account_id, box, status, CASE {_HEADS} END AS headline FROM
+      (SELECT account_id, 'fraud' AS box, fraud_box AS status FROM x_verdict_aa UNION ALL SELECT account_id, 'anomaly', anomaly_box FROM x_verdict_aa)""",
+)
+def boxes(spark, sf_dir):
+    m, key = metrics_of(spark, sf_dir, "aa")
+    flags = patterns.typology_flags(patterns.typologies(m, "aa", key), key)
+    v = patterns.verdicts(flags, monitor.worst_z(compared(m, "aa", key), key), key=key)
+    return patterns.status_boxes(v, "aa", key).select(key, "box", "status", "headline")
+
+
 # ------------------------------------------------------------------ monitoring
 
 
