@@ -27,15 +27,15 @@ def running_balance(
     a block that prints a balance restarts the value, any other block adds to it.
     """
     keys = list(keys)
-    run = W.partitionBy(*keys, "blk").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    flow = F.when(F.col("balance").isNull(), signed()).otherwise(0.0)
-    rows = txns.withColumn("_g", F.count("balance").over(run)).withColumn(
-        "_a", F.last("balance", ignorenulls=True).over(run)
+    blocks = txns.select(*keys, "blk").distinct()
+    # Only keys that span several blocks need the value at the end of a block.
+    several = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
+    ends = (
+        _summed_in_block(txns.join(several, keys, "left_semi"), keys)
+        .groupBy(*keys, "blk")
+        .agg(F.max_by(F.struct("_a", "_s"), "seq").alias("e"))
+        .select(*keys, "blk", "e._a", "e._s")
     )
-    within = W.partitionBy(*keys, "blk", "_g").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_s", F.sum(flow).over(within))
-    ends = rows.groupBy(*keys, "blk").agg(F.max_by(F.struct("_a", "_s"), "seq").alias("e"))
-    ends = ends.select(*keys, "blk", "e._a", "e._s")
     upto = W.partitionBy(*keys).orderBy("blk").rowsBetween(W.unboundedPreceding, 0)
     group = W.partitionBy(*keys, "_bg").orderBy("blk").rowsBetween(W.unboundedPreceding, 0)
     prior = W.partitionBy(*keys).orderBy("blk")
@@ -43,23 +43,37 @@ def running_balance(
         ends.withColumn("_bg", F.count("_a").over(upto))
         .withColumn("_ba", F.last("_a", ignorenulls=True).over(upto))
         .withColumn("_bs", F.sum("_s").over(group))
-        .withColumn("_pa", F.lag("_ba").over(prior))
-        .withColumn("_ps", F.coalesce(F.lag("_bs").over(prior), F.lit(0.0)))
+        .select(*keys, "blk", F.lag("_ba").over(prior).alias("_pa"), F.lag("_bs").over(prior).alias("_ps"))
     )
+    carry = blocks.join(ends, [*keys, "blk"], "left")
     if openings is not None:
-        ends = ends.join(openings.select("account_id", "opening_balance"), "account_id", "left")
+        carry = carry.join(openings.select("account_id", "opening_balance"), "account_id", "left")
     else:
-        ends = ends.withColumn("opening_balance", F.lit(None).cast("double"))
-    ends = ends.select(
-        *keys, "blk", (F.coalesce("_pa", "opening_balance") + F.col("_ps")).alias("_carry")
+        carry = carry.withColumn("opening_balance", F.lit(None).cast("double"))
+    carry = carry.select(
+        *keys, "blk",
+        (F.coalesce("_pa", "opening_balance") + F.coalesce("_ps", F.lit(0.0))).alias("_carry"),
     )
     return (
-        rows.join(ends.hint("merge"), [*keys, "blk"])
+        _summed_in_block(txns, keys)
+        .join(carry.hint("merge"), [*keys, "blk"])
         .withColumn(out, F.coalesce("_a", "_carry") + F.col("_s"))
         .drop("_g", "_a", "_s", "_carry")
     )
 
 
+def _summed_in_block(txns: DataFrame, keys: list[str]) -> DataFrame:
+    """`_a`: last printed balance inside the block so far; `_s`: flow since then."""
+    run = W.partitionBy(*keys, "blk").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy(*keys, "blk", "_g").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    flow = F.when(F.col("balance").isNull(), signed()).otherwise(0.0)
+    return (
+        txns.withColumn("_g", F.count("balance").over(run))
+        .withColumn("_a", F.last("balance", ignorenulls=True).over(run))
+        .withColumn("_s", F.sum(flow).over(within))
+    )
+
+
 def last_known(
     txns: DataFrame, value: str, *, before: str, upto: str, keys: Sequence[str] = ("account_id",)
 ) -> DataFrame:

@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append(tempfile.mkdtemp(prefix="uwspark-"))
         atexit.register(shutil.rmtree, _LOCAL_DIR[0], ignore_errors=True)
