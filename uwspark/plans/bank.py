@@ -27,7 +27,7 @@ def staged_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT account_id, seq, round(running, 2) AS running FROM x_ledger",
 )
 def running(spark, sf_dir):
-    led = ledger.running_balance(adapters.bank_txn(spark, sf_dir), adapters.accounts(spark, sf_dir))
+    led = ledger.running_balance(staged_txns(spark, sf_dir), adapters.accounts(spark, sf_dir))
     return led.select("account_id", "seq", F.round("running", 2).alias("running"))
 
 
