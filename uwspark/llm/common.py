@@ -40,3 +40,20 @@ def whole(text: str = "text") -> Column:
 def ordered_id(col: str) -> tuple[Column, Column]:
     """Sort keys that put a null id last."""
     return F.col(col).isNull(), F.col(col)
+
+
+#: Keys with at least one row in WIDE are joined by broadcast; by construction there are at most WIDE of them.
+WIDE = 256
+
+
+def attach_spread(rows: DataFrame, values: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of `rows` with the one value row of each key, without a task that gets all rows of a hot key.
+
+    `weight` is the number of rows of the key.  Both frames are read more than once, so stage them.
+    """
+    limit = rows.count() / WIDE
+    wide = values.where(F.col(weight) >= limit).drop(weight)
+    rest = values.where(F.col(weight) < limit).drop(weight)
+    return rows.join(F.broadcast(wide), key).unionByName(
+        rows.join(F.broadcast(wide.select(key)), key, "left_anti").join(rest, key)
+    )
