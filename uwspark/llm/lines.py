@@ -28,8 +28,8 @@ from uwspark.staging import stage
 
 from .common import attach_spread, query, table, whole
 
-DEPTH = 3
-SHORT = 3  # lines of fewer tokens always stay
+DEPTH = 5
+SHORT = 3  # lines of fewer tokens always stay; lines of up to DEPTH tokens share a template only if equal
 CONSTANT = 0.6
 LAST = np.iinfo(np.int64).max
 DIGIT = re.compile(rb"[^ \t\n\x0b\x0c\r]*[0-9][^ \t\n\x0b\x0c\r]*")
@@ -165,9 +165,9 @@ tok as (
   select doc_id, no, line, list_transform(
     list_filter(regexp_split_to_array(line, '[ \t\x0b\x0c\r]+'), lambda t: t <> ''),
     lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as t from raw),
-l as (select doc_id, no, line, t, array_to_string(t, ' ') as m, len(t) as n, array_to_string(t[1:3], ' ') as lead from tok),
+l as (select doc_id, no, line, t, array_to_string(t, ' ') as m, len(t) as n, array_to_string(t[1:5], ' ') as lead from tok),
 each as (select m, any_value(t) as t, n, lead, min(doc_id) as first_id, count(distinct doc_id) as docs from l where n >= 3 group by m, n, lead),
-leaves as (select n, lead, count(*) as members from each where n > 3 group by n, lead having count(*) > 1),
+leaves as (select n, lead, count(*) as members from each where n > 5 group by n, lead having count(*) > 1),
 spread as (
   select m, n, lead, members, unnest(range(n)) as place, unnest(t) as token from each join leaves using (n, lead)),
 vary as (select * from spread where token <> '<*>'),
