@@ -49,7 +49,7 @@ def test_bit_sliced_distances(radius):
     q = np.repeat(a, blocks)
     blk = np.tile(np.arange(blocks), len(a))
     want = np.full(len(q), S.FULL)
-    near = S._lanes(S.within(q, blk, want, S.planes_of(b), radius)).reshape(len(a), -1)[:, : len(b)]
+    near = S._lanes(S.within(q[:, None], blk, want, S.planes_of(b[:, None]), radius)).reshape(len(a), -1)[:, : len(b)]
     true = np.array([[(int(x) ^ int(y)).bit_count() <= radius for y in b] for x in a])
     assert (near.astype(bool) == true).all()
 
@@ -59,7 +59,7 @@ def test_small_groups_share_blocks():
     base = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
     group = np.repeat(np.arange(50), 5)
     fps = np.repeat(base, 5) ^ rng.choice(np.array([0, 1, 3, 7, 15, 31], np.uint64), 250)
-    i, j = S.small_links(fps, group, 3)
+    i, j = S.small_links(fps[:, None], group, 3)
     true = {(x, y) for x in range(250) for y in range(x) if group[x] == group[y] and (int(fps[x]) ^ int(fps[y])).bit_count() <= 3}
     assert set(zip(i.tolist(), j.tolist())) == true
 
@@ -92,6 +92,31 @@ def test_links_of_hot_buckets(spark, lanes):
     assert got == brute_components(fps, fps, 3)
 
 
+def test_wide_fingerprints(spark):
+    """Near copies of 0.8 and more on five-word shingles meet, other texts do not."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(500)]
+    rows, same = [], []
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(100, 300))]
+        rows.append((3 * i, " ".join(base)))
+        close = list(base)
+        for _ in range(len(base) // 60):  # each change touches five of the shingles: similarity about 0.85
+            close[rng.randrange(len(base))] = rng.choice(words)
+        rows.append((3 * i + 1, " ".join(close)))
+        far = list(base)
+        for at in range(0, len(far), 6):
+            far[at] = rng.choice(words)
+        rows.append((3 * i + 2, " ".join(far)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in S.near_duplicates(df, words=5, radius=S.WIDE_RADIUS, parts=2).collect()}
+    assert sum(got[3 * i + 1].component_id == 3 * i for i in range(60)) >= 58
+    assert all(got[3 * i].component_id == 3 * i and got[3 * i + 2].component_id == 3 * i + 2 for i in range(60))
+    assert all(got[i].fingerprint == "%032x" % S.fingerprint(t, 5, 2) for i, t in rows)
+    a, b = S.fingerprint("one two three", 3, 2), S.fingerprint("one two three", 3)
+    assert a & (1 << 64) - 1 == b
+
+
 def test_near_duplicates_edge_cases(spark):
     rng = random.Random(3)
     words = ["alpha", "beta", "gamma", "Delta", "é", "zeta", "eta", "theta"]

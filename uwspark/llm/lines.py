@@ -17,7 +17,7 @@ with two different lines, and once per different line.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +47,10 @@ def leaf_hash(tokens: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b"%d %s" % (len(tokens), b" ".join(tokens[:DEPTH]))) - (1 << 63)
 
 
-def _ranked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _ranked(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
     rank = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))
-    return docs.select(F.col(id_col).alias("_id"), rank.alias("_rank"), whole(text_col).cast("binary").alias("_bytes"))
+    more = (F.col(c).alias(f"_c{i}") for i, c in enumerate(carry))
+    return docs.select(F.col(id_col).alias("_id"), rank.alias("_rank"), whole(text_col).cast("binary").alias("_bytes"), *more)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,10 +105,9 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total.append(len(lines))
             dropped.append(len(lines) - len(left))
             kept.append(raw.decode())
-        yield pa.RecordBatch.from_arrays(
-            [b.column("_id"), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())],
-            ["_id", "n_lines", "n_dropped", "kept_text"],
-        )
+        same = {c: b.column(c) for c in b.schema.names if c not in ("_bytes", "_drop")}
+        new = [pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())]
+        yield pa.RecordBatch.from_arrays([*same.values(), *new], [*same, "n_lines", "n_dropped", "kept_text"])
 
 
 def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -133,8 +133,10 @@ def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_lines, n_dropped, kept_text.
+def deduplicated_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """One row per input row: id, n_lines, n_dropped, kept_text, and the columns to `carry` along.
 
     Lines end at line feeds; those of fewer than SHORT tokens always stay, and so does
     what a document repeats by itself.  Null and empty texts have no lines.  Ids are
@@ -142,18 +144,20 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows repeated with one id.  An empty table gives an empty result.  Other columns are
     not read.
     """
-    kind = dict(docs.dtypes)[id_col]
-    base = _ranked(docs, id_col, text_col)
+    base = _ranked(docs, id_col, text_col, carry)
     lines = stage(base.select("_rank", "_bytes").mapInArrow(_lines, "_rank bigint, _line bigint, _leaf bigint, _count int"))
     recurring = stage(templates(base.select("_rank", "_bytes"), lines))
     drop = (
         attach_spread(lines.select("_rank", "_line"), recurring, "_line", "_docs").where("_rank > _least")
         .groupBy("_rank").agg(F.collect_set("_line").alias("_drop"))
     )
-    out = base.join(drop, "_rank", "left").select("_id", "_bytes", "_drop").mapInArrow(
-        _rewritten, f"_id {kind}, n_lines bigint, n_dropped bigint, kept_text string"
+    own = ["_id", *(f"_c{i}" for i in range(len(carry)))]
+    kinds = dict(base.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in own) + ", n_lines bigint, n_dropped bigint, kept_text string"
+    out = base.join(drop, "_rank", "left").select(*own, "_bytes", "_drop").mapInArrow(_rewritten, schema)
+    return out.select(
+        F.col("_id").alias(id_col), "n_lines", "n_dropped", "kept_text", *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry))
     )
-    return out.withColumnRenamed("_id", id_col)
 
 
 SQL = r"""

@@ -5,6 +5,12 @@ into r + 2 bands, and two fingerprints within the radius agree on at least two o
 them, so each fingerprint goes to one bucket per pair of bands (10 for r = 3, on
 25 or 26 bits each).  Equal fingerprints are one member, whatever their number.
 
+A similarity below that of three bits in 64 needs another cut: the wide form has
+128-bit fingerprints, which tell a Jaccard similarity of 0.8 from chance, and
+TABLES keys of KEY_BITS bits chosen at random (but fixed) from them.  Two
+fingerprints that differ in 18 bits, the mean at 0.8, miss all tables in one case
+of 250; the comparison inside the buckets is the same.
+
 Inside a bucket 64 fingerprints form a block stored as 64 bit planes.  A query is
 compared with a whole block at a time: the differing bits of plane after plane
 are added into vertical carry-save counters, and a block is abandoned as soon as
@@ -31,40 +37,55 @@ from .components import components
 
 SEED = 42
 LANES = 4096
+TABLES, KEY_BITS = 64, 16
+#: Of 128 bits over five-word shingles; 0.8 in Jaccard similarity means 18 with a deviation of 4, chance 64.
+WIDE_RADIUS = 25
 ENTRIES = 1 << 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash over word shingles, A-Z lower-cased; zero without words."""
+def fingerprint(text: str, words: int = 3, parts: int = 1) -> int:
+    """Unsigned SimHash of 64 bits a part over word shingles, A-Z lower-cased; zero without words."""
     tokens = text.encode().lower().split()  # bytes: ASCII only, for both
     if not tokens:
         return 0
     shingles = zip(*(tokens[i:] for i in range(words))) if len(tokens) >= words else [tokens]
     digest, join = xxhash.xxh64_intdigest, b" ".join
     hashes = np.fromiter((digest(join(s), SEED) for s in shingles), np.uint64)
-    set_bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.uint64)[0])
+    out = 0
+    for part in range(parts):
+        if part:  # further hashes of a shingle from its first one
+            hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + np.uint64(part)
+            hashes ^= hashes >> np.uint64(32)
+            hashes *= np.uint64(0xD6E8FEB86659FD93)
+            hashes ^= hashes >> np.uint64(32)
+        set_bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out |= int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.uint64)[0]) << 64 * part
+    return out
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(_id, _fp), one row per document."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, parts: int = 1) -> DataFrame:
+    """(_id, _fp), one row per document; `_fp` is a long, or with more parts an array of longs."""
     kept = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in b.column("_text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(fps.view(np.int64))], ["_id", "_fp"])
+            raw = b"".join(fingerprint(t.as_py(), words, parts).to_bytes(8 * parts, "little") for t in b.column("_text"))
+            fps = pa.array(np.frombuffer(raw, np.int64))
+            if parts > 1:
+                fps = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, parts), pa.int32()), fps)
+            yield pa.RecordBatch.from_arrays([b.column("_id"), fps], ["_id", "_fp"])
 
-    return kept.mapInArrow(of, f"_id {dict(kept.dtypes)['_id']}, _fp bigint")
+    return kept.mapInArrow(of, f"_id {dict(kept.dtypes)['_id']}, _fp {'bigint' if parts == 1 else 'array<bigint>'}")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """Bit planes of fingerprints padded to whole blocks: [64, blocks]; lane i of a block is bit i."""
-    blocks = -(-len(fps) // 64)
-    padded = np.zeros(blocks * 64, np.uint64)
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(blocks, 64, 8), axis=2, bitorder="little")
+    """Bit planes of fingerprints [n, parts], padded to whole blocks: [64 parts, blocks]; lane i of a block is bit i."""
+    n, parts = fps.shape
+    blocks = -(-n // 64)
+    padded = np.zeros((blocks * 64, parts), np.uint64)
+    padded[:n] = fps
+    bits = np.unpackbits(padded.view(np.uint8).reshape(blocks, 64, 8 * parts), axis=2, bitorder="little")
     packed = np.packbits(np.ascontiguousarray(bits.transpose(2, 0, 1)), axis=2, bitorder="little")
     return np.ascontiguousarray(packed).view(np.uint64)[:, :, 0]
 
@@ -76,13 +97,13 @@ def within(queries: np.ndarray, block: np.ndarray, want: np.ndarray, planes: np.
     digits = radius.bit_length()
     counters = [np.zeros(len(queries), np.uint64) for _ in range(digits)]
     over = ~want
-    for p in range(64):
-        carry = planes[p][block] ^ (np.uint64(0) - ((queries >> np.uint64(p)) & np.uint64(1)))
+    for p in range(len(planes)):
+        carry = planes[p][block] ^ (np.uint64(0) - ((queries[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1)))
         for c in counters:  # carry-save: add one bit to every lane's counter
             c ^= carry
             carry = carry & ~c
         over |= carry
-        if p % 8 == 7 or p > 56:
+        if p % 8 == 7:
             # lanes whose counter passed the radius before the counter overflowed
             beyond = over.copy()
             equal = np.full(len(queries), FULL)
@@ -117,7 +138,7 @@ def small_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nda
             at += 64 - at % 64
         place[s : s + n] = np.arange(at, at + n)
         at += n
-    laid, owner = np.zeros(at, np.uint64), np.full(at, -1)
+    laid, owner = np.zeros((at, fps.shape[1]), np.uint64), np.full(at, -1)
     laid[place], owner[place] = fps, np.arange(len(fps))
     first = np.repeat(place[starts], sizes) % 64
     lane = place % 64
@@ -142,7 +163,7 @@ def large_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray,
     left, right = [], []
     for lo in range(0, len(a), max(1, ENTRIES // blocks)):
         part = a[lo : lo + max(1, ENTRIES // blocks)]
-        near = within(np.repeat(part, blocks), np.tile(np.arange(blocks), len(part)), np.tile(real, len(part)), planes, radius)
+        near = within(np.repeat(part, blocks, axis=0), np.tile(np.arange(blocks), len(part)), np.tile(real, len(part)), planes, radius)
         masks = near.reshape(len(part), blocks)
         for i in np.flatnonzero(masks.any(axis=1)).tolist():
             near_i = np.flatnonzero(_lanes(masks[i]).ravel()) + shift
@@ -179,55 +200,75 @@ def _cell_links(fps: np.ndarray, cell: np.ndarray, side: np.ndarray, radius: int
             a, b = members[sides == 0], members[sides == 1]
         if len(a) and len(b):
             i, j = large_links(a, b, radius)
-            both = members if a is b else np.r_[a, b]
+            both = members if a is b else np.concatenate((a, b))
             yield both[i], both[j]
 
 
-def _bands(radius: int) -> list[tuple[int, int]]:
-    cuts = np.linspace(0, 64, radius + 3).astype(int).tolist()
-    return list(zip(cuts[:-1], cuts[1:]))
+def _masks(radius: int, parts: int) -> list[int]:
+    """Bits that fingerprints must have in common to meet, one mask per table."""
+    if parts == 1:
+        cuts = np.linspace(0, 64, radius + 3).astype(int).tolist()
+        bands = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts[:-1], cuts[1:])]
+        return [a | b for a, b in combinations(bands, 2)]
+    rng = np.random.default_rng(SEED)
+    return [sum(1 << int(b) for b in rng.choice(64 * parts, KEY_BITS, replace=False)) for _ in range(TABLES)]
 
 
-def _bucket_keys(fp: Column, radius: int) -> Column:
-    """One 64-bit key per pair of bands; the pair's number is in the key."""
+def _bucket_keys(fp: list[Column], radius: int) -> Column:
+    """One 64-bit key per table; the table's number is in the key."""
     keys = []
-    for number, pair in enumerate(combinations(_bands(radius), 2)):
-        mask = sum(((1 << (hi - lo)) - 1) << lo for lo, hi in pair)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.xxhash64(F.lit(number), fp.bitwiseAND(F.lit(signed).cast("bigint"))))
+    for number, mask in enumerate(_masks(radius, len(fp))):
+        part = [mask >> 64 * i & (1 << 64) - 1 for i in range(len(fp))]
+        signed = [m - (1 << 64) if m >> 63 else m for m in part]
+        keys.append(F.xxhash64(F.lit(number), *(c.bitwiseAND(F.lit(m).cast("bigint")) for c, m in zip(fp, signed))))
     return F.array(*keys)
 
 
-def near_links(fps: DataFrame, radius: int, lanes: int = LANES) -> DataFrame:
-    """(u, v): links that connect all distinct `_fp` values within the radius as the full pair graph would."""
-    members = fps.select("_fp", F.explode(_bucket_keys(F.col("_fp"), radius)).alias("_key"))
+def near_links(fps: DataFrame, radius: int, lanes: int = LANES, parts: int = 1) -> DataFrame:
+    """(u, v): links that connect all distinct `_fp` values within the radius as the full pair graph would.
+
+    With one part no pair within the radius is missed; with more, see the module's note.
+    """
+    own = [f"_f{i}" for i in range(parts)]
+    split = fps.select(*((F.col("_fp") if parts == 1 else F.col("_fp")[i]).alias(c) for i, c in enumerate(own)))
+    members = split.select(*own, F.explode(_bucket_keys([F.col(c) for c in own], radius)).alias("_key"))
     shared = members.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     chunks = F.ceil(F.col("_n") / lanes).cast("int")
-    dealt = members.join(shared, "_key").select("_fp", "_key", chunks.alias("_c")).select(
-        "_fp", "_key", "_c", F.pmod(F.xxhash64("_fp"), F.col("_c")).cast("int").alias("_own")
+    dealt = members.join(shared, "_key").select(*own, "_key", chunks.alias("_c")).select(
+        *own, "_key", "_c", F.pmod(F.xxhash64(*own), F.col("_c")).cast("int").alias("_own")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("_c") - 1)).alias("_other")
-    cells = dealt.select("_fp", "_key", "_own", other).select(
-        "_fp",
+    cells = dealt.select(*own, "_key", "_own", other).select(
+        *own,
         F.xxhash64("_key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("_cell"),
         F.when(F.col("_own") == F.col("_other"), -1).when(F.col("_own") < F.col("_other"), 0).otherwise(1).cast("tinyint").alias("_side"),
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8))
+        rest = (np.zeros((0, parts), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8))
         for b in _with_end(batches):
             if b is not None:
-                new = (b.column("_fp").to_numpy().view(np.uint64), b.column("_cell").to_numpy(), b.column("_side").to_numpy())
+                values = np.stack([b.column(c).to_numpy() for c in own], axis=1).view(np.uint64)
+                new = (values, b.column("_cell").to_numpy(), b.column("_side").to_numpy())
                 rest = tuple(np.concatenate(x) for x in zip(rest, new))
             fp, cell, side = rest
             done = len(cell) if b is None else int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
             if done:
                 for u, v in _cell_links(fp[:done], cell[:done], side[:done], radius):
                     if len(u):
-                        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+                        yield pa.RecordBatch.from_arrays([_node(u), _node(v)], ["u", "v"])
             rest = (fp[done:], cell[done:], side[done:])
 
-    return cells.repartition("_cell").sortWithinPartitions("_cell").mapInArrow(compare, "u bigint, v bigint")
+    return cells.repartition("_cell").sortWithinPartitions("_cell").mapInArrow(
+        compare, "u bigint, v bigint" if parts == 1 else "u binary, v binary"
+    )
+
+
+def _node(fps: np.ndarray) -> pa.Array:
+    """A fingerprint as one orderable value."""
+    if fps.shape[1] == 1:
+        return pa.array(np.ascontiguousarray(fps[:, 0]).view(np.int64))
+    return pa.array([bytes(x) for x in fps], pa.binary())
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -236,9 +277,9 @@ def _with_end(batches: Iterator) -> Iterator:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, parts: int = 1
 ) -> DataFrame:
-    """One row per input row: its id, fingerprint (16 hex digits), component_id, and rows with that fingerprint.
+    """One row per input row: its id, fingerprint (16 hex digits a part), component_id, and rows with that fingerprint.
 
     Documents are linked when their fingerprints differ in at most `radius` bits;
     component_id is the smallest id reachable.  A null text is an empty one and has
@@ -246,17 +287,24 @@ def near_duplicates(
     unless its component has no other; rows repeated with one id are each answered.  An
     empty table gives an empty result.  Other columns are not read.
     """
-    rows = stage(fingerprints(docs, id_col, text_col, words))
+    rows = stage(fingerprints(docs, id_col, text_col, words, parts))
     fps = stage(rows.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n")))
-    forest = components(near_links(fps, radius))
-    rooted = fps.join(forest.select(F.col("u").alias("_fp"), F.col("v").alias("_root")), "_fp", "left").withColumn(
-        "_root", F.coalesce("_root", "_fp")
-    )
+    forest = components(near_links(fps, radius, parts=parts))
+    hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    if parts == 1:
+        node, shown = F.col("_fp"), hexed(F.col("_fp"))
+    else:  # the bytes that `_node` writes, least significant first
+        swapped = lambda c: F.array_join(F.reverse(F.split(hexed(c), "(?<=\\G..)(?!$)")), "")
+        node = F.unhex(F.concat(*(swapped(F.col("_fp")[i]) for i in range(parts))))
+        shown = F.concat(*(hexed(F.col("_fp")[i]) for i in reversed(range(parts))))
+    rooted = fps.withColumn("_node", node).join(
+        forest.select(F.col("u").alias("_node"), F.col("v").alias("_root")), "_node", "left"
+    ).withColumn("_root", F.coalesce("_root", "_node"))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     values = stage(rooted.join(least, "_root").select("_fp", "component_id", "_n"))
     return attach_spread(rows, values.withColumn("n_equal", F.col("_n")), "_fp", "_n").select(
         F.col("_id").alias(id_col),
-        F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
+        shown.alias("fingerprint"),
         "component_id",
         "n_equal",
     )

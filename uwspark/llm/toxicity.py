@@ -195,6 +195,18 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return out.select(F.col("_id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores under 0.5; nulls and repeated rows as in `scored`."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for b in batches:
+            keep = [scorer.score(t.as_py() or "") < 0.5 for t in b.column(text_col)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(step, docs.schema)
+
+
 @query("op5_toxicity")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
