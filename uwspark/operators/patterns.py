@@ -129,11 +129,28 @@ def verdicts(
     )
 
 
+#: What a box talks about, by domain; the sentences of `status_boxes` are built from it.
+SUBJECT = {"aa": "bank account", "gst": "tax filings", "upi": "payments", "bbps": "bill payments"}
+
+
+def _box_detail(domain: str, box: str, status: str) -> str:
+    found = {
+        ("fraud", "clear"): "No known fraud typology matches the {}.",
+        ("fraud", "review"): "A soft typology or a raised model probability concerns the {}; read them by hand.",
+        ("fraud", "alert"): "A hard fraud typology matches the {}, or the model is confident of one.",
+        ("anomaly", "clear"): "All metrics of the {} lie within their usual bands.",
+        ("anomaly", "review"): "At least one metric of the {} lies above its usual band.",
+        ("anomaly", "alert"): "At least one metric of the {} lies far outside its usual band.",
+    }
+    return found[box, status].format(SUBJECT[domain])
+
+
 def status_boxes(verdict: DataFrame, domain: str, key: str = "account_id") -> DataFrame:
-    """Fraud and anomaly box of every entity with headline and detail text (a fixed text table)."""
+    """Fraud and anomaly box of every entity with headline and detail text (a table of six rows)."""
     rows = [
-        (box, status, head, fixed.BOX_DETAILS.get((domain, box, status), ""))
-        for (box, status), head in fixed.BOX_HEADLINES.items()
+        (box, status, head, _box_detail(domain, box, status))
+        for (of, box, status), head in fixed.BOX_HEADLINES.items()
+        if of == domain
     ]
     texts = verdict.sparkSession.createDataFrame(rows, "box string, status string, headline string, detail string")
     long = verdict.selectExpr(

@@ -136,19 +136,31 @@ for _d, (_src, _key) in oracle.PATTERN_SOURCES.items():
         return patterns.weak_labels(m, d, key)
 
 
-_HEADS = " ".join(f"WHEN box = '{b}' AND status = '{st}' THEN '{h}'" for (b, st), h in fixed.BOX_HEADLINES.items())
+UNUSUAL = {"aa": "account", "gst": "GST", "bbps": "utility-payment", "upi": "UPI"}
+NOUN = {"aa": "bank account", "gst": "tax filings", "bbps": "bill payments", "upi": "payments"}
 
+for _d, (_src, _key) in oracle.PATTERN_SOURCES.items():
 
-@query(
-    "k17_aa_status_boxes",
-    f"""SELECT account_id, box, status, CASE {_HEADS} END AS headline FROM
-      (SELECT account_id, 'fraud' AS box, fraud_box AS status FROM x_verdict_aa UNION ALL SELECT account_id, 'anomaly', anomaly_box FROM x_verdict_aa)""",
-)
-def boxes(spark, sf_dir):
-    m, key = metrics_of(spark, sf_dir, "aa")
-    flags = patterns.typology_flags(patterns.typologies(m, "aa", key), key)
-    v = patterns.verdicts(flags, monitor.worst_z(compared(m, "aa", key), key), key=key)
-    return patterns.status_boxes(v, "aa", key).select(key, "box", "status", "headline")
+    @query(
+        f"k17_{_d}_status_boxes",
+        f"""SELECT {_key}, box, status,
+          CASE WHEN status = 'clear' THEN if(box = 'fraud', 'No fraud detected', 'Nothing unusual')
+               WHEN status = 'review' THEN if(box = 'fraud', 'Worth a closer look', 'Slightly unusual activity')
+               ELSE if(box = 'fraud', 'Possible fraud pattern', 'Unusual {UNUSUAL[_d]} activity') END AS headline,
+          CASE WHEN box = 'fraud' AND status = 'clear' THEN 'No known fraud typology matches the {NOUN[_d]}.'
+               WHEN box = 'fraud' AND status = 'review' THEN 'A soft typology or a raised model probability concerns the {NOUN[_d]}; read them by hand.'
+               WHEN box = 'fraud' THEN 'A hard fraud typology matches the {NOUN[_d]}, or the model is confident of one.'
+               WHEN status = 'clear' THEN 'All metrics of the {NOUN[_d]} lie within their usual bands.'
+               WHEN status = 'review' THEN 'At least one metric of the {NOUN[_d]} lies above its usual band.'
+               ELSE 'At least one metric of the {NOUN[_d]} lies far outside its usual band.' END AS detail
+        FROM (SELECT {_key}, 'fraud' AS box, fraud_box AS status FROM x_verdict_{_d}
+              UNION ALL SELECT {_key}, 'anomaly', anomaly_box FROM x_verdict_{_d})""",
+    )
+    def boxes(spark, sf_dir, d=_d):
+        m, key = metrics_of(spark, sf_dir, d)
+        flags = patterns.typology_flags(patterns.typologies(m, d, key), key)
+        v = patterns.verdicts(flags, monitor.worst_z(compared(m, d, key), key), key=key)
+        return patterns.status_boxes(v, d, key).select(key, "box", "status", "headline", "detail")
 
 
 # ------------------------------------------------------------------ monitoring

@@ -157,6 +157,7 @@ def json_transactions(records: DataFrame, key: str = "file") -> DataFrame:
 
 # ----------------------------------------------------------------- free-text statements
 
+# Patterns of a printed statement line (fixed values).
 LINE_DATE = re.compile(r"^(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})\b")
 AMOUNT = r"-?\d+(?:,\d{2,3})*\.\d{2}"
 FOOTER = re.compile(
@@ -232,7 +233,7 @@ def label_values(lines: DataFrame, labels: dict[str, str], key: str = "file", le
 
     Long result (key, field, value) of the files with at least `least` fields.
     """
-    lookup = parsing.label_lookup(labels)
+    lookup = labels
     table = lines.sparkSession.createDataFrame(list(lookup.items()), "slug string, field string")
     w = W.partitionBy(key).orderBy("line_no")
     # The label list is a fixed table.
