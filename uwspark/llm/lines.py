@@ -71,23 +71,29 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_line, _place, _token) of the wanted lines `_want` of a document."""
+    """(_line, _slot, _members) of the wanted lines of a document; a slot is a constant token at a place of a leaf.
+
+    Rows repeated with one id meet in one task, so a line answered once is left alone.
+    """
+    answered: set[int] = set()
+    digest = xxhash.xxh64_intdigest
     for b in batches:
-        lines, places, tokens_ = [], [], []
+        lines, slots, members = [], [], []
         for raw, want in zip(b.column("_bytes").to_pylist(), b.column("_want").to_pylist()):
-            want = set(want)
-            for line in raw.split(b"\n"):
+            want = {w["_line"]: w for w in want if w["_line"] not in answered}
+            for line in raw.split(b"\n") if want else ():
                 tokens = masked(line)
-                if len(tokens) > DEPTH and (h := line_hash(tokens)) in want:
-                    want.discard(h)
-                    lines += [h] * len(tokens)
-                    places += range(len(tokens))
-                    tokens_ += [xxhash.xxh64_intdigest(t) - (1 << 63) if t != b"<*>" else None for t in tokens]
+                if len(tokens) > DEPTH and (w := want.pop(h := line_hash(tokens), None)):
+                    answered.add(h)
+                    leaf = w["_leaf"] + (1 << 63)
+                    own = [digest(b"%d %s" % (i, t), leaf) - (1 << 63) for i, t in enumerate(tokens) if t != b"<*>"]
+                    lines += [h] * len(own)
+                    slots += own
+                    members += [w["_members"]] * len(own)
         for lo in range(0, len(lines), 1 << 18):
             cut = slice(lo, lo + (1 << 18))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lines[cut], pa.int64()), pa.array(places[cut], pa.int32()), pa.array(tokens_[cut], pa.int64())],
-                ["_line", "_place", "_token"],
+                [pa.array(x[cut], pa.int64()) for x in (lines, slots, members)], ["_line", "_slot", "_members"]
             )
 
 
@@ -115,17 +121,20 @@ def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
     each = stage(lines.groupBy("_line", "_leaf", "_count").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_docs")))
     leaves = each.where(F.col("_count") > DEPTH).groupBy("_leaf").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1")
     wanted = stage(each.where(F.col("_count") > DEPTH).join(leaves, "_leaf"))
-    ask = wanted.groupBy(F.col("_first").alias("_rank")).agg(F.collect_list("_line").alias("_want"))
-    places = docs.join(ask, "_rank").select("_bytes", "_want").mapInArrow(_places, "_line bigint, _place int, _token bigint")
-    spread = stage(places.where("_token is not null").distinct().join(wanted.select("_line", "_leaf", "_members"), "_line"))
-    constant = spread.groupBy("_leaf", "_members", "_place", "_token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and 2 * _n >= _members")
-    shape = (
-        spread.join(constant.select("_leaf", "_place", "_token"), ["_leaf", "_place", "_token"])
-        .groupBy("_line").agg(F.count(F.lit(1)).alias("_fixed"), F.sum(F.xxhash64("_place", "_token").cast("decimal(38,0)")).alias("_shape"))
+    # a merge join, whatever the size of the request: the plan is the same at every size
+    ask = wanted.groupBy(F.col("_first").alias("_rank")).agg(F.collect_list(F.struct("_line", "_leaf", "_members")).alias("_want"))
+    found = docs.hint("merge").join(ask, "_rank").select("_bytes", "_want")
+    spread = stage(found.mapInArrow(_places, "_line bigint, _slot bigint, _members bigint"))
+    constant = (
+        spread.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"), F.max("_members").alias("_members"))
+        .where("_n > 1 and 2 * _n >= _members").select("_slot")
+    )
+    shape = spread.select("_line", "_slot").join(constant, "_slot").groupBy("_line").agg(
+        F.count(F.lit(1)).alias("_fixed"), F.bit_xor("_slot").alias("_shape")
     )
     of = wanted.join(shape, "_line").where(F.col("_fixed") >= CONSTANT * F.col("_count"))
-    least = of.groupBy("_leaf", "_shape").agg(F.min("_first").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    general = of.join(least, ["_leaf", "_shape"]).select("_line", "_least")
+    least = of.groupBy("_leaf", "_shape", "_fixed").agg(F.min("_first").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    general = of.join(least, ["_leaf", "_shape", "_fixed"]).select("_line", "_least")
     return (
         each.join(general, "_line", "left")
         .select("_line", F.least("_first", F.coalesce("_least", "_first")).alias("_least"), "_docs", "_first")
