@@ -249,16 +249,16 @@ class Path:
     prefix: np.ndarray  # log-probability before the decision
 
 
-def _finish(lattice: Lattice, keys: np.ndarray, top: np.ndarray, doc, unit, step, edge, fresh, gone, salt: int) -> Path:
-    """`fresh` marks decisions whose rest belongs to this path; `gone` is mass at them that is already taken."""
+def _finish(lattice: Lattice, keys: np.ndarray, top: np.ndarray, doc, unit, step, edge, fresh, rest, salt: int) -> Path:
+    """`fresh` marks decisions whose rest belongs to this path; `rest` is its mass, negative for all but the edge."""
     log_q = lattice.log_q[edge]
     total = np.cumsum(log_q)
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(doc)])
     prefix = total - log_q - np.repeat((total - log_q)[starts], sizes)
     left = np.full(len(doc), -np.inf)
-    rest = 1.0 - lattice.q[edge] - gone
-    some = np.flatnonzero(fresh & (rest > 1e-15))
+    rest = np.where(rest < 0, 1.0 - lattice.q[edge], rest)
+    some = np.flatnonzero(fresh & (rest > 0))
     if len(some):
         g = prefix[some] + np.log(rest[some]) + gumbel(uniform(keys[doc[some]], unit[some], step[some], salt + 1))
         left[some] = truncated(g, top[doc[some]])
@@ -300,7 +300,7 @@ def sample(encoder: Encoder, texts: list[str], keys: np.ndarray, samples: int) -
     edge, count = walk(lattice, start, keys[doc], unit, np.zeros(len(word), np.int64), 0)
     of = np.repeat(np.arange(len(word)), count)
     step = np.arange(len(edge)) - np.repeat(np.cumsum(count) - count, count)
-    everywhere, nothing = np.ones(len(edge), bool), np.zeros(len(edge))
+    everywhere, nothing = np.ones(len(edge), bool), np.full(len(edge), -1.0)
     paths = [_finish(lattice, keys, top, doc[of], unit[of], step, edge, everywhere, nothing, 0)]
     tops, taken = [np.where(per_doc > 0, top, -np.inf)], {}
     for k in range(1, samples + 1):
@@ -324,13 +324,14 @@ def sample(encoder: Encoder, texts: list[str], keys: np.ndarray, samples: int) -
             u = float(uniform(keys[d : d + 1], p.unit[at : at + 1], p.step[at : at + 1], 4 * k + 2)[0]) * q.sum()
             new = int(options[min(int(np.searchsorted(np.cumsum(q), u, "right")), int(np.flatnonzero(q)[-1]))])
             lo = int(np.searchsorted(p.doc, d))
-            heads.append((d, p, lo, at, new, old))
+            q[options == new] = 0
+            heads.append((d, p, lo, at, new, old, float(q.sum())))
         if not heads:
             paths.append(Path(*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0), np.zeros(0)))
             continue
         # what follows: the rest of the unit decided anew, then all later units
         begin_doc, begin_unit, begin_state, begin_step = [], [], [], []
-        for d, p, _, at, new, _ in heads:
+        for d, p, _, at, new, _, _ in heads:
             u = int(p.unit[at])
             later = np.arange(base[d] + u + 1, base[d] + per_doc[d])
             state, step_, units = start[later], np.zeros(len(later), np.int64), unit[later]
@@ -347,15 +348,15 @@ def sample(encoder: Encoder, texts: list[str], keys: np.ndarray, samples: int) -
         step = np.arange(len(edge)) - np.repeat(np.cumsum(count) - count, count) + bt[of]
         cut = np.cumsum(np.r_[0, count])[np.cumsum(np.r_[0, sizes])]
         offset = 0
-        for (d, p, lo, at, new, old), a, b in zip(heads, cut[:-1].tolist(), cut[1:].tolist()):
+        for (d, p, lo, at, new, old, remaining), a, b in zip(heads, cut[:-1].tolist(), cut[1:].tolist()):
             head = slice(lo, at + 1)
             edges = np.r_[p.edge[head], edge[a:b]]
             edges[at - lo] = new
             fresh = np.ones(len(edges), bool)
             fresh[: at - lo] = False
-            gone = np.zeros(len(edges))
-            gone[at - lo] = lattice.q[old].sum()
-            parts.append((np.full(len(edges), d), np.r_[p.unit[head], bu[of[a:b]]], np.r_[p.step[head], step[a:b]], edges, fresh, gone))
+            rest = np.full(len(edges), -1.0)
+            rest[at - lo] = remaining
+            parts.append((np.full(len(edges), d), np.r_[p.unit[head], bu[of[a:b]]], np.r_[p.step[head], step[a:b]], edges, fresh, rest))
             taken[(k, offset + at - lo)] = old
             offset += len(edges)
         paths.append(_finish(lattice, keys, top, *(np.concatenate(x) for x in zip(*parts)), salt=4 * k))
