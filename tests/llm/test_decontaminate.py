@@ -57,5 +57,5 @@ def test_against_brute_force(spark):
     assert len(want) > 20
     for limit in (D.BROADCAST_SEEDS, 40):  # one block, several blocks
         got = {(str(r.doc_id), str(r.item_id), r.window, r.matched) for r in D.contaminated(df, bench, broadcast_seeds=limit).collect()}
-        assert got == want
+        assert got == want, (sorted(got - want)[:5], sorted(want - got)[:5], limit)
     assert D.contaminated(df.limit(0), bench).count() == 0 and D.contaminated(df, bench.limit(0)).count() == 0

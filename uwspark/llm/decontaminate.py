@@ -62,7 +62,7 @@ def contaminated(
 
     `matched` counts equal tokens in the best window of `window` aligned tokens, `covered`
     those of the best whole alignment.  Items under 8 tokens and null or empty texts match
-    nothing.  A null id is reported as null; rows repeated with one id give one row per
+    nothing.  A null id of either side is reported as null; rows repeated with one id give one row per
     item, found if any of them has it.  Empty tables give an empty result.  Other columns
     are not read.
     """
@@ -110,7 +110,7 @@ def contaminated(
     )
     need = F.when(F.col("_w") == WINDOW, WINDOW - SUBSTITUTIONS).otherwise(F.col("_w"))
     return (
-        beside.join(items, "_item")
+        beside.join(items.withColumnRenamed("_item", "_same"), F.col("_item").eqNullSafe(F.col("_same")))
         .select("_id", "_item", equal.alias("_eq"), width.alias("_w"))
         .where(F.size("_eq") >= F.col("_w"))
         .select("_id", "_item", "_w", best.alias("_best"), F.aggregate("_eq", F.lit(0), lambda s, x: s + x).alias("_sum"))
