@@ -157,7 +157,10 @@ def held_out(id_col: str):
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sizes: Sizes = Sizes()) -> Model:
-    """Fit on the labelled, not held-out rows with the smallest hashes of their ids, `sizes` of either class at most."""
+    """Fit on the labelled, not held-out rows with the smallest hashes of their ids, `sizes` of either class at most.
+
+    Without rows of both classes every score is the share of toxic ones, kept from 0.001 to 0.999; no label counts as none.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(
         F.max(F.col(label_col)).cast("int").alias("_y")
     )
@@ -172,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(mixed, "_id").limit(sizes.toxic_rows + sizes.ordinary_rows).collect()
     )
     by = {y: [r["_text"] for r in rows if r["_y"] == y] for y in (0, 1)}
-    return fit(by[1], by[0], float(bad) / n if n else 0.5, sizes)
+    return fit(by[1], by[0], float(bad) / n if n else 0.0, sizes)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
