@@ -46,7 +46,7 @@ def test_all_segmentations_and_their_probabilities(encoder, text):
     assert len(got) == len(want) and {tuple(s[0]) for s in got} == set(want)
     for ids, log_p, _, inclusion in got:
         assert math.isclose(log_p, math.log(want[tuple(ids)]), abs_tol=1e-9) and inclusion == 1
-        assert encoder.decode(ids) == text
+        assert encoder.decode(ids.tolist()) == text
     values = [s[2] for s in got]
     assert values == sorted(values, reverse=True)
 

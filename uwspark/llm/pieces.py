@@ -41,9 +41,10 @@ SAMPLES = 2
 SEED = 20240
 POWER = 1.0
 RANK_SHIFT = 10
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 19
 UNIT = re.compile(r" *[^ ]+| +")
 SPACE, LITERAL = 0x2581, 0x110000  # the meta symbol of a space; the stand-in of that symbol in a text
+NO_IDS = np.zeros(0, np.int32)
 MULTIPLIER, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -278,7 +279,7 @@ def _segment_best(path: Path, n: int) -> tuple[np.ndarray, np.ndarray]:
     return best, where
 
 
-def sample(encoder: Encoder, texts: list[str], keys: np.ndarray, samples: int) -> list[list[tuple[list[int], float, float, float]]]:
+def sample(encoder: Encoder, texts: list[str], keys: np.ndarray, samples: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Of every text, distinct segmentations in the order of their perturbed values: (ids, log-probability, perturbed, inclusion)."""
     index = Numbered()
     words, per_doc = [], np.zeros(len(texts), np.int64)
@@ -289,7 +290,7 @@ def sample(encoder: Encoder, texts: list[str], keys: np.ndarray, samples: int) -
             words.append(np.fromiter(map(index.__getitem__, units), np.int64, len(units)))
     n = len(texts)
     if not words:
-        return [[([], 0.0, 0.0, 1.0)] for _ in texts]
+        return [[(NO_IDS, 0.0, 0.0, 1.0)] for _ in texts]
     lattice = Lattice(encoder, list(index))
     word = np.concatenate(words)
     doc = np.repeat(np.arange(n), per_doc)
@@ -360,7 +361,7 @@ def sample(encoder: Encoder, texts: list[str], keys: np.ndarray, samples: int) -
             taken[(k, offset + at - lo)] = old
             offset += len(edges)
         paths.append(_finish(lattice, keys, top, *(np.concatenate(x) for x in zip(*parts)), salt=4 * k))
-    out: list[list] = [[] if size else [([], 0.0, 0.0, 1.0)] for size in per_doc.tolist()]
+    out: list[list] = [[] if size else [(NO_IDS, 0.0, 0.0, 1.0)] for size in per_doc.tolist()]
     threshold = tops[-1]
     for k, p in enumerate(paths):
         if not len(p.doc):
@@ -379,18 +380,18 @@ def sample(encoder: Encoder, texts: list[str], keys: np.ndarray, samples: int) -
     return out
 
 
-def _ids(encoder: Encoder, kind: np.ndarray, stops: np.ndarray) -> tuple[list[int], np.ndarray]:
+def _ids(encoder: Encoder, kind: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids with bytes spelled out, and where every text ends in them."""
+    if not (kind < 0).any():
+        return kind, stops
     code = np.where(kind < 0, -1 - kind.astype(np.int64), 0)
     size = np.where(kind < 0, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF), 1)
-    if not (kind < 0).any():
-        return kind.tolist(), stops
-    ids = np.repeat(kind.astype(np.int64), size)
+    ids = np.repeat(kind, size)
     at = np.cumsum(size) - size
     for i in np.flatnonzero(kind < 0).tolist():
         raw = chr(code[i]).encode()
         ids[at[i] : at[i] + len(raw)] = np.frombuffer(raw, np.uint8) + encoder.first_byte
-    return ids.tolist(), np.cumsum(size)[stops - 1]
+    return ids, np.cumsum(size)[stops - 1]
 
 
 def encoded(
@@ -413,7 +414,7 @@ def encoded(
     vocabulary = Vocabulary.load(model)  # of fixed size; travels with the task
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(id_col).cast("string").alias("_key"), whole(text_col).alias("_text"))
-    last = ("ids_sha256", pa.string()) if digest else ("ids", pa.list_(pa.int32()))
+    name = "ids_sha256" if digest else "ids"
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
@@ -428,15 +429,19 @@ def encoded(
                 found = sample(encoder, texts[lo:hi], keys[lo:hi], samples)
                 flat = [(lo + i, k, *s) for i, own in enumerate(found) for k, s in enumerate(own)]
                 row, number, ids, log_p, perturbed, inclusion = zip(*flat)
-                values = [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in ids] if digest else ids
+                if digest:
+                    values = pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string())
+                else:
+                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
                 columns = {
                     "sample": pa.array(number, pa.int32()),
                     "n_pieces": pa.array([len(x) for x in ids], pa.int64()),
                     "log_prob": pa.array(log_p, pa.float64()),
                     "perturbed": pa.array(perturbed, pa.float64()),
                     "inclusion": pa.array(inclusion, pa.float64()),
-                    "exact": pa.array([encoder.decode(x) == texts[i] for i, x in zip(row, ids)], pa.bool_()),
-                    last[0]: pa.array(values, last[1]),
+                    "exact": pa.array([encoder.decode(x.tolist()) == texts[i] for i, x in zip(row, ids)], pa.bool_()),
+                    name: values,
                 }
                 yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(row)), *columns.values()], ["_id", *columns])
                 lo, size = hi, 0
