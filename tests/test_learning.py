@@ -41,10 +41,11 @@ def test_regressor_is_clipped_and_scored(data):
 
 def test_golden_slice_is_stable_and_written_once(spark, data, tmp_path):
     g = heads.golden_slice(data, "account_id", 200)
-    assert g.count() == 50
+    n = g.count()
+    assert 30 <= n <= 70  # a quarter of 200 keys by a hash threshold
     first = sinks.write_once(g, str(tmp_path / "g"))
     again = sinks.write_once(data.limit(1), str(tmp_path / "g"))
-    assert first.count() == again.count() == 50
+    assert first.count() == again.count() == n
 
 
 def test_model_round_trip(data, tmp_path):

@@ -49,7 +49,8 @@ def signature(narration: str = "narration") -> Column:
 
 
 def counterparty(sig: str | Column, narration: str | Column) -> Column:
-    return F.when(c(sig) != "", c(sig)).otherwise(F.substring(c(narration), 1, 16))
+    """Signature of a row, else its whole narration: a cut one would merge different parties."""
+    return F.when(c(sig) != "", c(sig)).otherwise(c(narration))
 
 
 def narration_tags(narration: str = "narration") -> dict[str, Column]:

@@ -228,10 +228,11 @@ def zero_filled(df: DataFrame, key: str, names: list[str]) -> DataFrame:
     return j.select(key, *[F.coalesce(F.nullif(F.col(n).cast("double"), F.lit(0.0)), F.col(f"_m_{n}")).alias(n) for n in names])
 
 
-def golden_slice(df: DataFrame, key: str, rows: int, frac: float = 0.15, cap: int = 800) -> DataFrame:
-    """Fixed yardstick: the first rows by a hash of the key, never more than `cap`."""
-    n = min(cap, max(50, int(rows * frac)))
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(42))).limit(n)
+def golden_slice(df: DataFrame, key: str, rows: int, frac: float = 0.15, least: int = 50) -> DataFrame:
+    """Fixed yardstick: the share `frac` of the rows (about `least` rows at least) whose key hash lies under a threshold."""
+    share = min(1.0, max(frac, least / max(rows, 1)))
+    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(42)), F.lit(1_000_000))
+    return df.where(place < int(share * 1_000_000))
 
 
 def encoder(columns: list[str]) -> Pipeline:

@@ -19,19 +19,19 @@ def _depth_left(n: int) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n if n > 2 else 1.0
 
 
-def fit(df: DataFrame, features: list[str], key: str, trees: int = 50, seed: int = 42) -> list[list]:
-    """Grow `trees` trees, each on its own sample of 256 rows.
+def fit(df: DataFrame, features: list[str], key: str, trees: int = 50, seed: int = 42, sample: int = SAMPLE) -> list[list]:
+    """Grow `trees` trees, each on its own sample of about `sample` rows of the whole table.
 
-    The sample is the first trees x 256 rows by a hash of the key: a bounded top-k,
-    dealt over the trees by a second hash, so no tree sees more than a few hundred rows.
+    Every row is asked for every tree by a hash of (key, tree), so all rows are equally
+    likely in all samples; what is sent on has about trees x sample rows.
     """
     base = df.select(F.col(key).cast("string").alias("k"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
-    dealt = (
-        base.orderBy(F.xxhash64("k", F.lit(seed)))
-        .limit(trees * SAMPLE)
-        .withColumn("tree", F.pmod(F.xxhash64("k", F.lit(seed + 1)), F.lit(trees)).cast("int"))
+    rows = base.count()
+    drawn = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("k", F.lit(seed), t), F.lit(max(rows, 1))) < sample
     )
-    limit = math.ceil(math.log2(SAMPLE))
+    dealt = base.withColumn("tree", F.explode(drawn))
+    limit = math.ceil(math.log2(sample))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])

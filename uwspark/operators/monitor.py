@@ -204,9 +204,7 @@ def guard_transactions(txns: DataFrame, max_amount: float = 1e9) -> DataFrame:
     kind = F.upper(F.coalesce("txn_type", F.lit("")))
     return txns.where(amt.isNull() | ((amt >= 0) & (amt <= max_amount))).withColumns(
         {
-            "narration": F.regexp_replace(
-                F.substring(F.coalesce("narration", F.lit("")), 1, 2000), r"[\x00-\x08\x0A-\x1F]", ""
-            ),
+            "narration": F.regexp_replace(F.coalesce("narration", F.lit("")), r"[\x00-\x08\x0A-\x1F]", ""),
             "txn_type": F.when(kind.isin("DEBIT", "CREDIT"), kind).when(amt.isNotNull(), "CREDIT"),
             "amount": F.abs(amt),
         }

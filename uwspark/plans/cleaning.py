@@ -71,14 +71,14 @@ def report(spark, sf_dir):
 
 @query(
     "f05_first_dropped_rows",
-    """SELECT account_id, seq, rk, substring(narration, 1, 80) AS narration, reason FROM
+    """SELECT account_id, seq, rk, narration, reason FROM
       (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY seq) AS rk FROM x_clean WHERE status = 'dropped') WHERE rk <= 25""",
 )
 def first_dropped(spark, sf_dir):
     c = ledger.clean_statement(adapters.bank_txn(spark, sf_dir)).where("status = 'dropped'")
     w = W.partitionBy("account_id").orderBy("seq")
     return (
-        c.select("account_id", "seq", F.substring("narration", 1, 80).alias("narration"), "reason")
+        c.select("account_id", "seq", "narration", "reason")
         .withColumn("rk", F.row_number().over(w).cast("bigint"))
         .where("rk <= 25")
     )

@@ -29,7 +29,7 @@ def lines(spark, sf_dir):
 
 @query(
     "a03_header_lines",
-    """SELECT doc_id, CAST(coalesce(min(line_no) FILTER (line_no < 15 AND contains(lower(line), 'date') AND
+    """SELECT doc_id, CAST(coalesce(min(line_no) FILTER (contains(lower(line), 'date') AND
       regexp_matches(lower(line), 'debit|credit|withdrawal|deposit|amount|balance')), 0) AS INTEGER) AS header_no FROM x_lines GROUP BY 1""",
 )
 def header_lines(spark, sf_dir):
@@ -59,7 +59,7 @@ def junk(spark, sf_dir):
     "a02_delimiters",
     r"""SELECT doc_id, CASE greatest(t, c, s, p) WHEN t THEN 'tab' WHEN c THEN ',' WHEN s THEN ';' ELSE '|' END AS delimiter FROM
       (SELECT doc_id, length(h) - length(replace(h, chr(9), '')) AS t, length(h) - length(replace(h, ',', '')) AS c,
-        length(h) - length(replace(h, ';', '')) AS s, length(h) - length(replace(h, '|', '')) AS p FROM (SELECT doc_id, substring(text, 1, 4096) AS h FROM documents))""",
+        length(h) - length(replace(h, ';', '')) AS s, length(h) - length(replace(h, '|', '')) AS p FROM (SELECT doc_id, text AS h FROM documents))""",
 )
 def delimiters(spark, sf_dir):
     d = files.frequent_delimiter("text")
@@ -83,7 +83,7 @@ def delimited(spark, sf_dir):
     """SELECT doc_id, round_even(sum(-p * log2(p)), 2) AS entropy, round_even(greatest(8.0, least(97.0, sum(-p * log2(p)) / 8 * 100 *
         CASE WHEN any_value(len) < 2000 THEN 0.5 WHEN any_value(len) < 20000 THEN 0.85 ELSE 1.0 END)), 0) AS cleanliness FROM
       (SELECT doc_id, len, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, len, b, count(*) AS n FROM
-        (SELECT doc_id, octet_length(encode(text)) AS len, unnest(regexp_extract_all(substring(hex(encode(text)), 1, 131072), '..')) AS b FROM documents)
+        (SELECT doc_id, octet_length(encode(text)) AS len, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents)
        GROUP BY doc_id, len, b)) GROUP BY 1""",
 )
 def entropy(spark, sf_dir):
@@ -96,7 +96,7 @@ _NAMES = ["f.csv", "f.txt", "f.pdf", "f.exe", "f", "f.json", "f.xlsx", "f.md"]
 
 @query(
     "a16_admission",
-    f"""SELECT page_id, ext, CASE WHEN len = 0 THEN 'empty file' WHEN len > 15728640 THEN 'too large'
+    f"""SELECT page_id, ext, CASE WHEN len = 0 THEN 'empty file'
        WHEN ext NOT IN ({oracle.quoted(fixed.ALLOWED_EXTENSIONS)}) THEN 'extension not allowed'
        WHEN ext = 'pdf' AND NOT starts_with(ltrim(html), '%PDF-') THEN 'not a pdf' WHEN ext = 'xlsx' AND NOT starts_with(html, 'PK') THEN 'not a workbook' END AS reason
      FROM (SELECT page_id, html, octet_length(encode(html)) AS len, CASE WHEN contains(name, '.') THEN split_part(name, '.', 2) ELSE '' END AS ext

@@ -214,7 +214,7 @@ GROUP BY account_id""",
 block(
     "x_party",
     """
-SELECT account_id, txn_type, CASE WHEN sig <> '' THEN sig ELSE substring(narration, 1, 16) END AS party,
+SELECT account_id, txn_type, CASE WHEN sig <> '' THEN sig ELSE narration END AS party,
   sum(amount) AS amt, count(*) AS cnt FROM x_pos GROUP BY ALL""",
 )
 block(

@@ -48,9 +48,9 @@ def header_delimiter(line: str) -> Column:
     )
 
 
-def frequent_delimiter(text: str) -> Column:
-    """Most frequent delimiter of the first 4096 characters, ties in the order tab , ; |."""
-    head = F.substring(text, 1, 4096)
+def frequent_delimiter(text: str, within: int | None = None) -> Column:
+    """Most frequent delimiter of the text (or its first `within` characters), ties in the order tab , ; |."""
+    head = F.col(text) if within is None else F.substring(text, 1, within)
     n = {d: count_of(head, d) for d in ("\t", ",", ";", "|")}
     best = F.greatest(*n.values())
     out = None
@@ -59,10 +59,12 @@ def frequent_delimiter(text: str) -> Column:
     return out
 
 
-def header_lines(lines: DataFrame, key: str = "file") -> DataFrame:
-    """First of the leading 15 lines that names a date and an amount column, else the first line."""
+def header_lines(lines: DataFrame, key: str = "file", within: int | None = None) -> DataFrame:
+    """First line (of the leading `within` ones, if given) that names a date and an amount column, else the first line."""
     low = F.lower("line")
-    hit = low.contains("date") & low.rlike("debit|credit|withdrawal|deposit|amount|balance") & (F.col("line_no") < 15)
+    hit = low.contains("date") & low.rlike("debit|credit|withdrawal|deposit|amount|balance")
+    if within is not None:
+        hit = hit & (F.col("line_no") < within)
     return lines.groupBy(key).agg(
         F.coalesce(F.min(F.when(hit, F.col("line_no"))), F.lit(0)).alias("header_no")
     )
@@ -110,7 +112,7 @@ def statement_cells(lines: DataFrame, key: str = "file") -> DataFrame:
         key,
         "line_no",
         cell(["date"]).alias("date_raw"),
-        F.when(F.coalesce(narr, F.lit("")) != "", narr).otherwise(F.substring("line", 1, 120)).alias("narration"),
+        F.when(F.coalesce(narr, F.lit("")) != "", narr).otherwise(F.col("line")).alias("narration"),
         typed["txn_type"].alias("txn_type"),
         typed["amount"].alias("amount"),
         parsing.number(cell(["balance"])).alias("balance"),
@@ -148,7 +150,7 @@ def json_transactions(records: DataFrame, key: str = "file") -> DataFrame:
     return records.select(
         key, "rec_no",
         p("valuedate", "txndate", "transactiondate", "date", "postingdate").alias("date_raw"),
-        F.substring(F.coalesce(p("narration", "description", "remarks", "particulars", "details", "reference"), F.lit("Transaction")), 1, 120).alias("narration"),
+        F.coalesce(p("narration", "description", "remarks", "particulars", "details", "reference"), F.lit("Transaction")).alias("narration"),
         F.when(debit > 0, "DEBIT").when(credit > 0, "CREDIT").when(amt.isNotNull(), F.when(minus, "DEBIT").otherwise("CREDIT")).alias("txn_type"),
         F.when(debit > 0, debit).when(credit > 0, credit).otherwise(F.abs(amt)).alias("amount"),
         parsing.number(p("balance")).alias("balance"),
@@ -216,7 +218,7 @@ def text_transactions(texts: DataFrame, key: str = "file", text: str = "text") -
     )
     narr = F.regexp_replace("block", r"\b\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}\b", "")
     narr = F.regexp_replace(F.regexp_replace(narr, AMOUNT, ""), r"\b\d{10,}\b", "")
-    narr = F.substring(F.btrim(F.regexp_replace(F.regexp_replace(narr, "-{2,}", "-"), r"\s+", " "), F.lit(" -")), 1, 120)
+    narr = F.btrim(F.regexp_replace(F.regexp_replace(narr, "-{2,}", "-"), r"\s+", " "), F.lit(" -"))
     date = F.regexp_extract("block", LINE_DATE.pattern, 1)
     return b.select(
         key, "seq",
@@ -261,18 +263,22 @@ def extension(name: str) -> Column:
     return F.when(F.contains(F.col(name), F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise("")
 
 
-def admission(files: DataFrame, name: str = "name", content: str = "content", length: str = "length") -> DataFrame:
-    """Add `reason`: why a file is refused, null when it is admitted."""
+def admission(
+    files: DataFrame, name: str = "name", content: str = "content", length: str = "length", max_bytes: int | None = None
+) -> DataFrame:
+    """Add `reason`: why a file is refused, null when it is admitted.  Sizes are not limited unless `max_bytes` is given."""
     ext = extension(name)
     latin = lambda n: F.decode(F.substring(F.col(content), 1, n), "ISO-8859-1")
+    whole = F.decode(F.col(content), "ISO-8859-1")
+    too_large = F.lit(False) if max_bytes is None else F.col(length) > max_bytes
     is_text = ext.isin("csv", "tsv", "txt", "json", "md")
     return files.withColumn("ext", ext).withColumn(
         "reason",
         F.when(F.col(length) == 0, "empty file")
-        .when(F.col(length) > fixed.MAX_UPLOAD_BYTES, "too large")
+        .when(too_large, "too large")
         .when(~ext.isin(fixed.ALLOWED_EXTENSIONS), "extension not allowed")
         .when((ext == "pdf") & ~F.ltrim(latin(1024)).startswith("%PDF-"), "not a pdf")
-        .when(is_text & (F.instr(latin(4096), "\0") > 0), "binary data in a text file")
+        .when(is_text & (F.instr(whole, "\0") > 0), "binary data in a text file")
         .when((ext == "xlsx") & (latin(2) != "PK"), "not a workbook"),
     )
 
@@ -307,9 +313,10 @@ def json_scan(records: DataFrame, key: str = "file") -> DataFrame:
     )
 
 
-def entropy_scan(files: DataFrame, key: str, content: str, length: str) -> DataFrame:
-    """Shannon entropy of the first 64 KiB: bytes counted per file with a plain aggregate."""
-    pairs = F.filter(F.split(F.regexp_replace(F.hex(F.substring(F.col(content), 1, 65536)), "(..)", "$1 "), " "), lambda x: x != "")
+def entropy_scan(files: DataFrame, key: str, content: str, length: str, within: int | None = None) -> DataFrame:
+    """Shannon entropy of the content (or its first `within` bytes): bytes counted per file with a plain aggregate."""
+    data = F.col(content) if within is None else F.substring(F.col(content), 1, within)
+    pairs = F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0))
     counts = (
         files.select(key, length, F.explode(pairs).alias("byte"))
         .groupBy(key, length, "byte").agg(F.count(F.lit(1)).alias("n"))
