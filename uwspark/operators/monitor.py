@@ -262,15 +262,20 @@ def validate_training_rows(df: DataFrame, order: str) -> DataFrame:
     """Add `reason`: the first check a row fails, null when accepted.
 
     Duplicates are found by grouping on a hash of the row and keeping the first by
-    `order`, so equal rows never meet in one sorted group.
+    `order`.  Rows of one hash are dealt over salts: each salt sums its own rows, the
+    salts of a hash meet as one row each, and the answer goes back by (hash, salt), so
+    a row repeated any number of times fills no single task.
     """
     cols = [c for c in df.columns if c != order]
     filled = F.lit(False)
     for c in cols:
         filled = filled | F.col(c).isNotNull()
     marked = df.withColumn("_h", F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256))
-    firsts = marked.groupBy("_h").agg(F.min(order).alias("_first"))
-    marked = marked.join(firsts, "_h")
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = marked.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
+    part = marked.groupBy("_h", "_salt").agg(F.min(order).alias("_least"))
+    firsts = part.groupBy("_h").agg(F.min("_least").alias("_first"))
+    marked = marked.join(part.select("_h", "_salt").join(firsts, "_h").hint("merge"), ["_h", "_salt"])
     reason = F.when(~filled, "empty row").when(F.col(order) != F.col("_first"), "exact duplicate")
     for c, (lo, hi) in TRAINING_RANGES.items():
         if c in cols:
@@ -280,7 +285,7 @@ def validate_training_rows(df: DataFrame, order: str) -> DataFrame:
         if c in cols:
             v = F.col(c).try_cast("double")
             reason = reason.when(~F.coalesce(v.isin(0.0, 1.0), F.lit(False)), f"{c} not 0/1")
-    return marked.withColumn("reason", reason).drop("_h", "_first")
+    return marked.withColumn("reason", reason).drop("_h", "_salt", "_first")
 
 
 def reason_counts(validated: DataFrame) -> DataFrame:

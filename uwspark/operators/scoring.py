@@ -190,7 +190,9 @@ def anomaly_rows(led: DataFrame, keys: list[str] | None = None, running: str = "
     sigs = recurring_signatures(led.where((F.col("amount") > 0) & ~ledger.header_junk()), keys).join(
         asked, [*keys, "sig"], "left_semi"
     )
-    flagged = flagged.join(sigs, [*keys, "sig"], "left")
+    # One row per block that asks, so a signature of one account's many rows stays spread.
+    blocks = flagged.select(*keys, "sig", "blk").distinct().join(sigs, [*keys, "sig"])
+    flagged = flagged.join(blocks.hint("merge"), [*keys, "sig", "blk"], "left")
     pair = (F.col("sig_n") == 2) & (
         F.col("sig_hi") - F.col("sig_lo") <= 0.15 * F.greatest(F.col("amount"), F.lit(1.0))
     )
