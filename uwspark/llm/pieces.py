@@ -104,9 +104,12 @@ class Encoder:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids; the space that encoding puts before it is taken away."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
+        raw = self.decoded_bytes(ids)
         return (raw[1:] if raw[:1] == b" " else raw).decode()
 
+    def decoded_bytes(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
 
 class Lattice:
     """Edges over the characters of different units, state by state, longest piece first."""
@@ -123,8 +126,10 @@ class Lattice:
         prefix = np.zeros(n + 1, np.uint64)
         self._prefix(chars, prefix)
         states, lengths, kinds, weights = [], [], [], []
-        for size in range(min(encoder.longest, int(left.max())), 0, -1):
-            at = np.flatnonzero(left >= size)
+        here = np.arange(n)
+        for size in range(1, min(encoder.longest, int(left.max())) + 1):
+            here = here[left[here] >= size] if size > 1 else here
+            at = here
             h = (prefix[at + size] - prefix[at] * encoder.powers[size]) * SPREAD
             slot = (h >> np.uint64(46)).astype(np.int64)
             found = encoder.bucket[slot]
@@ -142,7 +147,9 @@ class Lattice:
             kinds.append(encoder.ids[found])
             weights.append(encoder.weights[found])
         none = np.ones(n, bool)
-        none[states[-1]] = False
+        none[states[0]] = False
+        for found in (states, lengths, kinds, weights):
+            found.reverse()  # longest first
         at = np.flatnonzero(none)  # characters without a piece: their bytes
         code = np.where(chars[at] == LITERAL, SPACE, chars[at]).astype(np.int64)
         states.append(at)
@@ -337,7 +344,9 @@ def sample(encoder: Encoder, texts: list[str], keys: np.ndarray, samples: int) -
             later = np.arange(base[d] + u + 1, base[d] + per_doc[d])
             state, step_, units = start[later], np.zeros(len(later), np.int64), unit[later]
             if lattice.next[new] >= 0:
-                state, step_, units = np.r_[lattice.next[new], state], np.r_[p.step[at] + 1, step_], np.r_[u, units]
+                state, step_, units = (
+                    np.concatenate(x) for x in (([lattice.next[new]], state), ([p.step[at] + 1], step_), ([u], units))
+                )
             begin_doc.append(np.full(len(state), d))
             begin_unit.append(units)
             begin_state.append(state)
@@ -351,13 +360,14 @@ def sample(encoder: Encoder, texts: list[str], keys: np.ndarray, samples: int) -
         offset = 0
         for (d, p, lo, at, new, old, remaining), a, b in zip(heads, cut[:-1].tolist(), cut[1:].tolist()):
             head = slice(lo, at + 1)
-            edges = np.r_[p.edge[head], edge[a:b]]
+            edges = np.concatenate((p.edge[head], edge[a:b]))
             edges[at - lo] = new
             fresh = np.ones(len(edges), bool)
             fresh[: at - lo] = False
             rest = np.full(len(edges), -1.0)
             rest[at - lo] = remaining
-            parts.append((np.full(len(edges), d), np.r_[p.unit[head], bu[of[a:b]]], np.r_[p.step[head], step[a:b]], edges, fresh, rest))
+            units, steps = np.concatenate((p.unit[head], bu[of[a:b]])), np.concatenate((p.step[head], step[a:b]))
+            parts.append((np.full(len(edges), d), units, steps, edges, fresh, rest))
             taken[(k, offset + at - lo)] = old
             offset += len(edges)
         paths.append(_finish(lattice, keys, top, *(np.concatenate(x) for x in zip(*parts)), salt=4 * k))
@@ -428,6 +438,7 @@ def encoded(
                     continue
                 found = sample(encoder, texts[lo:hi], keys[lo:hi], samples)
                 flat = [(lo + i, k, *s) for i, own in enumerate(found) for k, s in enumerate(own)]
+                raw = {i: (" " + texts[i]).encode() if texts[i] else b"" for i in range(lo, hi)}  # with the leading space
                 row, number, ids, log_p, perturbed, inclusion = zip(*flat)
                 if digest:
                     values = pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string())
@@ -440,7 +451,7 @@ def encoded(
                     "log_prob": pa.array(log_p, pa.float64()),
                     "perturbed": pa.array(perturbed, pa.float64()),
                     "inclusion": pa.array(inclusion, pa.float64()),
-                    "exact": pa.array([encoder.decode(x.tolist()) == texts[i] for i, x in zip(row, ids)], pa.bool_()),
+                    "exact": pa.array([encoder.decoded_bytes(x.tolist()) == raw[i] for i, x in zip(row, ids)], pa.bool_()),
                     name: values,
                 }
                 yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(row)), *columns.values()], ["_id", *columns])
