@@ -99,8 +99,8 @@ def bank_decision(results: DataFrame) -> DataFrame:
     return tally(results, collapse=rulebook.BOUNCE_FAMILY).withColumn("decision", ladder())
 
 
-def product_results(ctx: DataFrame, product: str, with_external: bool = False) -> DataFrame:
-    """Evaluated rules of one product; outside-feed rules are off unless asked for."""
+def product_results(ctx: DataFrame, product: str, with_external: bool = True) -> DataFrame:
+    """Every listed rule of one product; those that need an outside feed answer SKIP, or are left out if asked for."""
     known = {r.id: r for r in rulebook.PRODUCT_RULES}
     picked = []
     for rid in rulebook.PRODUCTS[product]:

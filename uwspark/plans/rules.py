@@ -53,10 +53,18 @@ def toggled(spark, sf_dir):
     return out.select("account_id", "decision", "passed")
 
 
+def _outside(p: str) -> list[str]:
+    """Listed rules of a product that no evaluator answers."""
+    known = {r.id for r in rulebook.PRODUCT_RULES}
+    return [r for r in rulebook.PRODUCTS[p] if r not in known and r not in rulebook.OUTCOME_RULES]
+
+
 @query(
     "k05_product_rules",
     " UNION ALL ".join(
-        f"SELECT '{p}' AS product, account_id, rule_id, status, serious FROM x_rules_{p}" for p in rulebook.PRODUCTS
+        f"""SELECT '{p}' AS product, account_id, rule_id, status, serious FROM x_rules_{p} UNION ALL
+            SELECT '{p}', account_id, unnest([{oracle.quoted(_outside(p))}]), 'SKIP', false FROM (SELECT DISTINCT account_id FROM x_rules_{p})"""
+        for p in rulebook.PRODUCTS
     ),
 )
 def product_rules(spark, sf_dir):
@@ -69,7 +77,7 @@ def product_rules(spark, sf_dir):
 
 
 def _product_sql(p: str) -> str:
-    return f"""SELECT '{p}' AS product, account_id, decision, skipped,
+    return f"""SELECT '{p}' AS product, account_id, decision, CAST(skipped + {len(_outside(p))} AS BIGINT) AS skipped,
       CAST(passed + CASE WHEN decision IN ('CONDITIONAL APPROVAL', 'APPROVED WITH NOTES') THEN 1
          WHEN decision = 'APPROVED' THEN 3 ELSE 1 END AS BIGINT) AS passed,
       serious_fails FROM (SELECT *, {oracle.LADDER} AS decision FROM x_tally_{p})"""
