@@ -235,10 +235,6 @@ def golden_slice(df: DataFrame, key: str, rows: int, frac: float = 0.15, least:
     return df.where(place < int(share * 1_000_000))
 
 
-def encoder(columns: list[str]) -> Pipeline:
-    """Index categorical columns; unseen values keep their own index."""
-    return Pipeline(stages=[StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep") for c in columns])
-
 
 def quality(accuracy: float, f1: float, r2: float) -> float:
     return 0.5 * accuracy + 0.3 * f1 + 0.2 * r2
