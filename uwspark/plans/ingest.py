@@ -142,18 +142,27 @@ def json_transactions(spark, sf_dir):
 
 @query(
     "a06_e21_text_statements",
-    """SELECT o_orderkey, CAST(0 AS INTEGER) AS seq, strftime(o_orderdate, '%d/%m/%Y') AS date_raw, 'POS ' || o_orderpriority AS narration,
-      CASE WHEN o_custkey < 500 THEN 'DEBIT' ELSE 'CREDIT' END AS txn_type, round(o_totalprice, 2) AS amount, CAST(o_custkey AS DOUBLE) AS balance FROM orders""",
+    """SELECT statement, CAST(row_number() OVER w - 1 AS INTEGER) AS seq, strftime(o_orderdate, '%d/%m/%Y') AS date_raw,
+      'POS ' || o_orderpriority AS narration,
+      CASE WHEN balance < coalesce(lag(balance) OVER w, 500) THEN 'DEBIT' ELSE 'CREDIT' END AS txn_type, round(o_totalprice, 2) AS amount, balance
+    FROM (SELECT *, o_custkey || '/' || year(o_orderdate) AS statement, CAST(o_orderkey % 1000 AS DOUBLE) AS balance FROM orders)
+    WINDOW w AS (PARTITION BY statement ORDER BY o_orderdate, o_orderkey)""",
 )
 def text_statements(spark, sf_dir):
+    """The orders of a customer and year as one printed statement of several transactions."""
     o = read(spark, sf_dir, "orders")
-    two = lambda c: F.format_string("%.2f", F.col(c).cast("double"))
+    two = lambda c: F.format_string("%.2f", c.cast("double"))
+    entry = F.concat(
+        F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("  POS   "), F.col("o_orderpriority"), F.lit(" 1234567890123\n"),
+        two(F.col("o_totalprice")), F.lit(" "), two(F.col("o_orderkey") % 1000),
+    )
+    entries = F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", entry.alias("entry"))))
     text = F.concat(
-        F.lit("Statement summary\nOpening Balance: 500.00\n"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("  POS   "),
-        F.col("o_orderpriority"), F.lit(" 1234567890123\n"), two("o_totalprice"), F.lit(" "), two("o_custkey"), F.lit("\nPage 1 of 1\n"),
+        F.lit("Statement summary\nOpening Balance: 500.00\n"), F.array_join(F.transform(entries, lambda x: x["entry"]), "\n"), F.lit("\nPage 1 of 1\n")
     )
-    out = files.text_transactions(o.select("o_orderkey", text.alias("text")), "o_orderkey")
-    return out.select("o_orderkey", "seq", "date_raw", "narration", "txn_type", "amount", "balance")
+    name = F.concat_ws("/", F.col("o_custkey").cast("string"), F.year("o_orderdate").cast("string"))
+    out = files.text_transactions(o.groupBy(name.alias("statement")).agg(text.alias("text")), "statement")
+    return out.select("statement", "seq", "date_raw", "narration", "txn_type", "amount", "balance")
 
 
 _FORM = [

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import fixed, parsing
 from ..functions.columns import clip, half_even
@@ -160,51 +158,45 @@ def json_transactions(records: DataFrame, key: str = "file") -> DataFrame:
 # ----------------------------------------------------------------- free-text statements
 
 # Patterns of a printed statement line (fixed values).
-LINE_DATE = re.compile(r"^(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})\b")
+LINE_DATE = r"^(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})\b"
 AMOUNT = r"-?\d+(?:,\d{2,3})*\.\d{2}"
-FOOTER = re.compile(
-    r"\bopening\s+balance\b|\bclosing\s+balance\b|\bclosing\s*:|\bstatement\s+(summary|period)\b"
-    r"|\btotal\s+(debit|credit)\b|\bpage\s+\d+\s+of\s+\d+\b|\bgenerated\s+on\b|\btransactions\s*:\s*\d+\b",
-    re.IGNORECASE,
+FOOTER = (
+    r"(?i)\bopening\s+balance\b|\bclosing\s+balance\b|\bclosing\s*:|\bstatement\s+(summary|period)\b"
+    r"|\btotal\s+(debit|credit)\b|\bpage\s+\d+\s+of\s+\d+\b|\bgenerated\s+on\b|\btransactions\s*:\s*\d+\b"
 )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def text_blocks(texts: pd.Series) -> pd.Series:
-    """Transaction blocks of one file: a dated line opens a block once the open one has two amounts."""
-    amount = re.compile(AMOUNT)
-
-    def blocks(text: str) -> list[str]:
-        out: list[str] = []
-        open_: list[str] = []
-        found = 0
-        for raw in (text or "").splitlines():
-            line = re.sub(r"[ \t]+", " ", raw.strip())
-            if not line:
-                continue
-            dated = LINE_DATE.match(line)
-            if not dated and FOOTER.search(line):
-                line = ""
-            if (dated and found >= 2) or not line:
-                if open_:
-                    out.append(" ".join(open_))
-                open_, found = [], 0
-            if line and (dated or open_):
-                open_.append(line)
-                found += len(amount.findall(line))
-        if open_:
-            out.append(" ".join(open_))
-        return out
-
-    return texts.map(blocks)
+def text_blocks(text: str) -> Column:
+    """Transaction blocks of one statement, as an array, in one fold over its lines inside the JVM.
 
+    The state is the closed blocks, the open one (null if none) and its number of amounts.
+    A footer line closes the open block, and so does a dated line once it has two amounts;
+    a dated line opens a block, other lines join an open one.
+    """
+    tidy = lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"[ \t]+", " ")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\r|\n"), tidy), lambda x: x != "")
+    none = F.lit(None).cast("string")
+
+    def fold(state: Column, line: Column) -> Column:
+        dated = line.rlike(LINE_DATE)
+        footer = ~dated & line.rlike(FOOTER)
+        closes = footer | (dated & (state["amounts"] >= 2))
+        was = F.when(closes, none).otherwise(state["open"])
+        before = F.when(closes, 0).otherwise(state["amounts"])
+        takes = ~footer & (dated | was.isNotNull())
+        return F.struct(
+            F.when(closes & state["open"].isNotNull(), F.concat(state["closed"], F.array(state["open"]))).otherwise(state["closed"]).alias("closed"),
+            F.when(takes, F.concat_ws(" ", was, line)).otherwise(was).alias("open"),
+            F.when(takes, before + F.size(F.regexp_extract_all(line, F.lit(AMOUNT), F.lit(0)))).otherwise(before).alias("amounts"),
+        )
 
-def text_transactions(texts: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
-    """Free-text statements to rows; only the block folding leaves the JVM.
+    start = F.struct(F.array().cast("array<string>").alias("closed"), none.alias("open"), F.lit(0).alias("amounts"))
+    end = lambda s: F.when(s["open"].isNotNull(), F.concat(s["closed"], F.array(s["open"]))).otherwise(s["closed"])
+    return F.aggregate(lines, start, fold, end)
 
-    A file is admitted up to 15 MB, so one text is a bounded unit of work, and the
-    balance direction is a window inside the file.
-    """
+
+def text_transactions(texts: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
+    """Free-text statements to rows, all in the JVM; one text is the unit of work, the balance direction a window inside it."""
     b = texts.select(
         key, parsing.labelled_amount(text, "opening balance").alias("_open"), F.posexplode(text_blocks(text)).alias("seq", "block")
     )
@@ -219,7 +211,7 @@ def text_transactions(texts: DataFrame, key: str = "file", text: str = "text") -
     narr = F.regexp_replace("block", r"\b\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}\b", "")
     narr = F.regexp_replace(F.regexp_replace(narr, AMOUNT, ""), r"\b\d{10,}\b", "")
     narr = F.btrim(F.regexp_replace(F.regexp_replace(narr, "-{2,}", "-"), r"\s+", " "), F.lit(" -"))
-    date = F.regexp_extract("block", LINE_DATE.pattern, 1)
+    date = F.regexp_extract("block", LINE_DATE, 1)
     return b.select(
         key, "seq",
         F.when(date != "", date).alias("date_raw"),
