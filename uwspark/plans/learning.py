@@ -152,7 +152,12 @@ def bbps_decision(spark, sf_dir):
     return _decided(a, rulebook.BBPS_RULES, rulebook.BBPS_FINAL, labels.utility_targets(utility_features(spark, sf_dir)))
 
 
-_WEIGHTS = {"success_ratio": 0.3, "unique_payees": 0.25, "avg_ticket_size": 0.2, "p2p_debit_velocity": 0.15, "span_months": 0.1}
+#: All model features of a payment row with an importance each, as a fitted head would give it.
+_WEIGHTS = {
+    "total_transactions": 0.04, "span_months": 0.08, "p2p_ratio": 0.03, "p2m_ratio": 0.02, "success_ratio": 0.18,
+    "failed_ratio": 0.14, "unique_payees": 0.12, "unique_payers": 0.06, "recurring_payee_count": 0.05, "daily_avg_transactions": 0.07,
+    "weekend_spend_pct": 0.01, "avg_ticket_size": 0.09, "high_risk_mcc_spend_pct": 0.06, "p2p_debit_velocity": 0.03, "p2p_credit_velocity": 0.02,
+}
 
 
 @query(
@@ -160,23 +165,26 @@ _WEIGHTS = {"success_ratio": 0.3, "unique_payees": 0.25, "avg_ticket_size": 0.2,
     """SELECT account_id, rk, feature, round_even(value, 4) AS value, round_even(z, 2) AS z FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY abs(z) * (w + 1e-9) DESC, ord) AS rk FROM (
       """
     + " UNION ALL ".join(
-        f"SELECT account_id, {i} AS ord, '{n}' AS feature, CAST({n} AS DOUBLE) AS value, ({n} - avg({n}) OVER ()) / coalesce(nullif(stddev_samp({n}) OVER (), 0), 1) AS z, {w} AS w FROM x_upi_analysis"
+        f"""SELECT account_id, {i} AS ord, '{n}' AS feature, x AS value, (x - avg(x) OVER ()) / coalesce(nullif(stddev_samp(x) OVER (), 0), 1) AS z, {w} AS w
+            FROM (SELECT account_id, coalesce(CAST({n} AS DOUBLE), 0) AS x FROM x_upi_analysis)"""
         for i, (n, w) in enumerate(_WEIGHTS.items())
     )
-    + ")) WHERE rk <= 3",
+    + ")) WHERE rk <= 6",
 )
 def factors(spark, sf_dir):
-    return heads.top_factors(payment_features(spark, sf_dir), "account_id", _WEIGHTS, keep=3)
+    return heads.top_factors(payment_features(spark, sf_dir), "account_id", _WEIGHTS)
 
 
 @query(
     "c15_zero_filled_features",
-    "SELECT account_id, " + ", ".join(
-        f"round(coalesce(nullif(CAST({n} AS DOUBLE), 0), avg({n}) OVER ()), 6) AS {n}" for n in ("failed_ratio", "recurring_payee_count", "weekend_spend_pct")
-    ) + " FROM x_upi_analysis",
+    "SELECT account_id, "
+    + ", ".join(f"round(coalesce(nullif({n}, 0), avg({n}) OVER ()), 6) AS {n}" for n in _WEIGHTS)
+    + " FROM (SELECT account_id, "
+    + ", ".join(f"coalesce(CAST({n} AS DOUBLE), 0) AS {n}" for n in _WEIGHTS)
+    + " FROM x_upi_analysis)",
 )
 def zero_filled(spark, sf_dir):
-    names = ["failed_ratio", "recurring_payee_count", "weekend_spend_pct"]
+    names = list(_WEIGHTS)
     out = heads.zero_filled(payment_features(spark, sf_dir), "account_id", names)
     return out.select("account_id", *[F.round(n, 6).alias(n) for n in names])
 
