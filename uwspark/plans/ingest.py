@@ -38,13 +38,13 @@ def header_lines(spark, sf_dir):
 
 @query(
     "a05_pipe_rows",
-    r"""SELECT doc_id, count(*) AS rows, CAST(sum(len(string_split(row, '|'))) AS BIGINT) AS cells FROM
-      (SELECT doc_id, trim(line, '| ') AS row FROM x_lines WHERE length(line) - length(replace(line, '|', '')) >= 2)
-     WHERE NOT regexp_full_match(row, '[\s:|\-]+') AND row <> '' GROUP BY 1""",
+    r"""SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, array_to_string(list_transform(string_split(row, '|'), lambda x: trim(x, ' ')), ' | ') AS cells FROM
+      (SELECT doc_id, line_no, trim(line, '| ') AS row FROM x_lines WHERE length(line) - length(replace(line, '|', '')) >= 2)
+     WHERE NOT regexp_full_match(row, '[\s:|\-]+') AND row <> ''""",
 )
 def pipe_rows(spark, sf_dir):
     rows = files.pipe_rows(lines(spark, sf_dir), "doc_id")
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("cells")).alias("cells"))
+    return rows.select("doc_id", "line_no", F.array_join("cells", " | ").alias("cells"))
 
 
 @query(
