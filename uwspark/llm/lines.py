@@ -5,7 +5,9 @@ tree sends it by its token count and its first DEPTH tokens to a leaf.  In a lea
 a token is constant at its place if at least two and at least half of the
 different lines of the leaf have it there; all other places generalise to
 variables.  Lines of one leaf with the same constants, CONSTANT of the tokens or
-more, share a template; so do equal lines, in any case.  A template that recurs
+more, share a template; so do lines that are equal once masked.  In the strict form
+lines of fewer constants are compared unmasked and share no template with others, and
+a template has a constant beyond the first DEPTH tokens.  A template that recurs
 stays in the document with the smallest id and is dropped from all others.
 
 Only one narrow row per document and different line is shuffled first, and equal
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -53,58 +56,69 @@ def _ranked(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -
     return docs.select(F.col(id_col).alias("_id"), rank.alias("_rank"), whole(text_col).cast("binary").alias("_bytes"), *more)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(line: bytes, strict: bool) -> tuple[list[bytes], bool]:
+    """Tokens by which a line equals another, and whether it may share a template with lines that differ."""
+    tokens = masked(line)
+    if strict and sum(t != b"<*>" for t in tokens) < CONSTANT * len(tokens):
+        return line.split(), False
+    return tokens, True
+
+
+def _lines(batches: Iterator[pa.RecordBatch], strict: bool = False) -> Iterator[pa.RecordBatch]:
     """(_rank, _line, _leaf, _count) of every different line of a document."""
     for b in batches:
         out = []
         for who, raw in zip(b.column("_rank").to_pylist(), b.column("_bytes").to_pylist()):
             seen = set()
             for line in raw.split(b"\n"):
-                tokens = masked(line)
+                tokens, general = _compared(line, strict)
                 if len(tokens) >= SHORT and (h := line_hash(tokens)) not in seen:
                     seen.add(h)
-                    out.append((who, h, leaf_hash(tokens), len(tokens)))
+                    out.append((who, h, leaf_hash(tokens), len(tokens) if general else 0))
         if out:
             columns = zip(*out)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["_rank", "_line", "_leaf", "_count"])
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch], strict: bool = False) -> Iterator[pa.RecordBatch]:
     """(_line, _slot, _members) of the wanted lines of a document; a slot is a constant token at a place of a leaf.
 
+    The strict form adds _beyond: whether the place is beyond the leading tokens.
+
     Rows repeated with one id meet in one task, so a line answered once is left alone.
     """
     answered: set[int] = set()
     digest = xxhash.xxh64_intdigest
     for b in batches:
-        lines, slots, members = [], [], []
+        lines, slots, members, beyond = [], [], [], []
         for raw, want in zip(b.column("_bytes").to_pylist(), b.column("_want").to_pylist()):
             want = {w["_line"]: w for w in want if w["_line"] not in answered}
             for line in raw.split(b"\n") if want else ():
-                tokens = masked(line)
-                if len(tokens) > DEPTH and (w := want.pop(h := line_hash(tokens), None)):
+                tokens, general = _compared(line, strict)
+                if general and len(tokens) > DEPTH and (w := want.pop(h := line_hash(tokens), None)):
                     answered.add(h)
                     leaf = w["_leaf"] + (1 << 63)
                     own = [digest(b"%d %s" % (i, t), leaf) - (1 << 63) for i, t in enumerate(tokens) if t != b"<*>"]
                     lines += [h] * len(own)
                     slots += own
                     members += [w["_members"]] * len(own)
+                    if strict:
+                        beyond += [int(i >= DEPTH) for i, t in enumerate(tokens) if t != b"<*>"]
         for lo in range(0, len(lines), 1 << 18):
             cut = slice(lo, lo + (1 << 18))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[cut], pa.int64()) for x in (lines, slots, members)], ["_line", "_slot", "_members"]
-            )
+            columns = {"_line": lines, "_slot": slots, "_members": members} | ({"_beyond": beyond} if strict else {})
+            yield pa.RecordBatch.from_arrays([pa.array(x[cut], pa.int64()) for x in columns.values()], [*columns])
 
 
-def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rewritten(batches: Iterator[pa.RecordBatch], strict: bool = False) -> Iterator[pa.RecordBatch]:
     for b in batches:
         total, dropped, kept = [], [], []
         for raw, drop in zip(b.column("_bytes").to_pylist(), b.column("_drop").to_pylist()):
             lines = raw.split(b"\n") if raw else []
             if drop:
                 drop = set(drop)
-                left = [x for x in lines if len(t := masked(x)) < SHORT or line_hash(t) not in drop]
+                left = [x for x in lines if len(t := _compared(x, strict)[0]) < SHORT or line_hash(t) not in drop]
                 raw = b"\n".join(left)
             else:
                 left = lines
@@ -116,7 +130,7 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*same.values(), *new], [*same, "n_lines", "n_dropped", "kept_text"])
 
 
-def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def templates(docs: DataFrame, lines: DataFrame, strict: bool = False) -> DataFrame:
     """(_line, _least, _docs): of every recurring line, the smallest rank that has its template and its documents."""
     each = stage(lines.groupBy("_line", "_leaf", "_count").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_docs")))
     leaves = each.where(F.col("_count") > DEPTH).groupBy("_leaf").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1")
@@ -124,14 +138,16 @@ def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
     # a merge join, whatever the size of the request: the plan is the same at every size
     ask = wanted.groupBy(F.col("_first").alias("_rank")).agg(F.collect_list(F.struct("_line", "_leaf", "_members")).alias("_want"))
     found = docs.hint("merge").join(ask, "_rank").select("_bytes", "_want")
-    spread = stage(found.mapInArrow(_places, "_line bigint, _slot bigint, _members bigint"))
+    spread = stage(found.mapInArrow(partial(_places, strict=strict), "_line bigint, _slot bigint, _members bigint" + ", _beyond bigint" * strict))
     constant = (
         spread.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"), F.max("_members").alias("_members"))
         .where("_n > 1 and 2 * _n >= _members").select("_slot")
     )
-    shape = spread.select("_line", "_slot").join(constant, "_slot").groupBy("_line").agg(
-        F.count(F.lit(1)).alias("_fixed"), F.bit_xor("_slot").alias("_shape")
+    shape = spread.drop("_members").join(constant, "_slot").groupBy("_line").agg(
+        F.count(F.lit(1)).alias("_fixed"), F.bit_xor("_slot").alias("_shape"), *([F.max("_beyond").alias("_beyond")] if strict else [])
     )
+    if strict:
+        shape = shape.where("_beyond = 1")
     of = wanted.join(shape, "_line").where(F.col("_fixed") >= CONSTANT * F.col("_count"))
     least = of.groupBy("_leaf", "_shape", "_fixed").agg(F.min("_first").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     general = of.join(least, ["_leaf", "_shape", "_fixed"]).select("_line", "_least")
@@ -143,7 +159,7 @@ def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def deduplicated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), strict: bool = False
 ) -> DataFrame:
     """One row per input row: id, n_lines, n_dropped, kept_text, and the columns to `carry` along.
 
@@ -154,8 +170,8 @@ def deduplicated_lines(
     not read.
     """
     base = _ranked(docs, id_col, text_col, carry)
-    lines = stage(base.select("_rank", "_bytes").mapInArrow(_lines, "_rank bigint, _line bigint, _leaf bigint, _count int"))
-    recurring = stage(templates(base.select("_rank", "_bytes"), lines))
+    lines = stage(base.select("_rank", "_bytes").mapInArrow(partial(_lines, strict=strict), "_rank bigint, _line bigint, _leaf bigint, _count int"))
+    recurring = stage(templates(base.select("_rank", "_bytes"), lines, strict))
     drop = (
         attach_spread(lines.select("_rank", "_line"), recurring, "_line", "_docs").where("_rank > _least")
         .groupBy("_rank").agg(F.collect_set("_line").alias("_drop"))
@@ -163,7 +179,7 @@ def deduplicated_lines(
     own = ["_id", *(f"_c{i}" for i in range(len(carry)))]
     kinds = dict(base.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in own) + ", n_lines bigint, n_dropped bigint, kept_text string"
-    out = base.join(drop, "_rank", "left").select(*own, "_bytes", "_drop").mapInArrow(_rewritten, schema)
+    out = base.join(drop, "_rank", "left").select(*own, "_bytes", "_drop").mapInArrow(partial(_rewritten, strict=strict), schema)
     return out.select(
         F.col("_id").alias(id_col), "n_lines", "n_dropped", "kept_text", *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry))
     )
