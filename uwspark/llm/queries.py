@@ -1,6 +1,6 @@
 """Registered queries of the operators: name -> callable, name -> SQL."""
 
-from . import decontaminate, exact, hosts, lines, merkle, personal, pieces, sharding, simhash, substrings, toxicity, warc  # noqa: F401
+from . import decontaminate, exact, hosts, lines, merkle, personal, phrases, pieces, sharding, simhash, substrings, toxicity, warc  # noqa: F401
 from .common import QUERIES, TWINS
 
 __all__ = ["QUERIES", "TWINS"]
