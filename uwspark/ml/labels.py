@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import clip, half_even
 from ..operators import scale
@@ -144,3 +144,17 @@ def utility_targets(f: DataFrame) -> DataFrame:
             "stability": half_even(clip(stability, 0.0, 100.0), 1),
         }
     )
+
+
+def version_log(orders: DataFrame) -> DataFrame:
+    """Orders as a log of model versions: the customer is the model, its orders in time are the versions."""
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    part = lambda n: (F.col("o_orderkey") % (n + 1)) / float(n)
+    return orders.select(
+        F.col("o_custkey").alias("domain"),
+        F.row_number().over(w).cast("bigint").alias("version"),
+        part(100).alias("accuracy"),
+        part(96).alias("f1"),
+        part(88).alias("r2"),
+        (0.9 + (F.col("o_orderkey") % 11) / 100.0).alias("golden"),
+    )

@@ -192,7 +192,8 @@ def zero_filled(spark, sf_dir):
 @query(
     "l08_regression_metrics",
     """SELECT fold, count(*) AS n, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2, round(avg((y - p) * (y - p)), 2) AS mse, round(avg(abs(y - p)), 4) AS mae,
-      round(count(*) FILTER (y > 30000 AND p > 30000) / count(*) FILTER (p > 30000), 6) AS "precision", round(count(*) FILTER (y > 30000 AND p > 30000) / count(*) FILTER (y > 30000), 6) AS recall
+      round(count(*) FILTER (y > 30000 AND p > 30000) / count(*) FILTER (p > 30000), 6) AS "precision", round(count(*) FILTER (y > 30000 AND p > 30000) / count(*) FILTER (y > 30000), 6) AS recall,
+      round(2 * count(*) FILTER (y > 30000 AND p > 30000) / (count(*) FILTER (y > 30000) + count(*) FILTER (p > 30000)), 6) AS f1
     FROM (SELECT CAST(l_orderkey % 5 AS INTEGER) AS fold, l_extendedprice AS y, l_extendedprice * (1 - l_discount) AS p FROM lineitem) GROUP BY fold""",
 )
 def regression_metrics(spark, sf_dir):
@@ -201,13 +202,14 @@ def regression_metrics(spark, sf_dir):
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("p"),
     )
     m = heads.regression_metrics(pred, 30000.0)
-    digits = {"r2": 6, "mse": 2, "mae": 4, "precision": 6, "recall": 6}
+    digits = {"r2": 6, "mse": 2, "mae": 4, "precision": 6, "recall": 6, "f1": 6}
     return m.select("fold", "n", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
 @query(
     "l08_classification_metrics",
-    """SELECT fold, round(sum(tp) / sum(support), 6) AS accuracy, round(sum(coalesce(tp / nullif(claimed, 0), 0) * support) / sum(support), 6) AS "precision", round(sum(tp / support * support) / sum(support), 6) AS recall FROM
+    """SELECT fold, round(sum(tp) / sum(support), 6) AS accuracy, round(sum(coalesce(tp / nullif(claimed, 0), 0) * support) / sum(support), 6) AS "precision", round(sum(tp / support * support) / sum(support), 6) AS recall,
+      round(sum(coalesce(2 * tp / (support + claimed), 0) * support) / sum(support), 6) AS f1 FROM
       (SELECT fold, y, count(*) AS support, count(*) FILTER (p = y) AS tp, any_value(c) AS claimed FROM
         (SELECT CAST(l_orderkey % 5 AS INTEGER) AS fold, CAST(l_quantity % 3 AS DOUBLE) AS y, CAST(l_linenumber % 3 AS DOUBLE) AS p FROM lineitem) t
         LEFT JOIN (SELECT CAST(l_orderkey % 5 AS INTEGER) AS f2, CAST(l_linenumber % 3 AS DOUBLE) AS p2, count(*) AS c FROM lineitem GROUP BY ALL) ON f2 = fold AND p2 = y GROUP BY fold, y) GROUP BY fold""",
@@ -218,7 +220,7 @@ def classification_metrics(spark, sf_dir):
         (F.col("l_linenumber") % 3).cast("double").alias("p"),
     )
     m = heads.classification_metrics(pred)
-    return m.select("fold", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall")])
+    return m.select("fold", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
 @query("l09_l11_payment_heads")
