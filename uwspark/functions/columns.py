@@ -110,3 +110,8 @@ def zone(concern: str | Column) -> Column:
 
 def month_of(date: str | Column) -> Column:
     return F.date_format(c(date), "yyyy-MM")
+
+
+def bound(value: Column, use) -> Column:
+    """`use(value)` with `value` computed once, also where `use` refers to it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
