@@ -282,3 +282,20 @@ def evaluation_row(metrics: DataFrame, head: Head) -> DataFrame:
 def deployed_only(predictions: DataFrame, deployments: DataFrame) -> DataFrame:
     """Predictions of the heads switched on; the deployment table has one row per head."""
     return predictions.join(F.broadcast(deployments.where("deployed").select("head")), "head", "left_semi")
+
+
+def head_summary(predictions: DataFrame) -> DataFrame:
+    """(head, n, value, label, distribution) of a batch: mean value of a regressor, counts and mode of a classifier's labels.
+
+    Counts come per (head, label) first, so a head with all rows is a handful of rows before its mode is
+    taken.  Of labels equally frequent the first in the alphabet is the mode.
+    """
+    per = predictions.groupBy("head", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("_s"), F.count("value").alias("_k"))
+    best = F.min(F.when(F.col("label").isNotNull(), F.struct((-F.col("n")).alias("c"), F.col("label").alias("label"))))
+    pairs = F.sort_array(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n"))))
+    return per.groupBy("head").agg(
+        F.sum("n").alias("n"),
+        half_even(F.sum("_s") / F.nullif(F.sum("_k"), F.lit(0)), 2).alias("value"),
+        best["label"].alias("label"),
+        F.map_from_entries(pairs).alias("distribution"),
+    )

@@ -272,6 +272,31 @@ def feature_ranking(samples: DataFrame, top_k: int = 6) -> DataFrame:
     )
 
 
+def range_ranking(rows: DataFrame, numeric: list[str], categories: dict[str, list[str]] | None = None, share: float = 0.6) -> DataFrame:
+    """Features ranked by the sample variance of their values scaled to the range of the data.
+
+    One pass: the variance of a scaled column is that of the column over its squared range.  Missing values
+    count as 0; a category becomes one column of 0 and 1 per value.  The first `share` of the features,
+    at least one, are selected; ties keep the order of the columns.
+    """
+    cols = {n: F.coalesce(F.col(n).try_cast("double"), F.lit(0.0)) for n in numeric}
+    for n, values in (categories or {}).items():
+        for v in values:
+            cols[f"{n}_{v}"] = F.when(F.upper(F.col(n).cast("string")).eqNullSafe(F.lit(v)), 1.0).otherwise(0.0)
+    spread = lambda c: F.nullif(F.max(c) - F.min(c), F.lit(0.0))
+    wide = rows.agg(*[F.struct(F.var_samp(c).alias("v"), spread(c).alias("r")).alias(n) for n, c in cols.items()])
+    scaled = lambda n: F.coalesce(F.col(f"{n}.v") / (F.col(f"{n}.r") * F.col(f"{n}.r")), F.col(f"{n}.v"))
+    items = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("feature"), scaled(n).alias("variance")) for i, n in enumerate(cols)])
+    keep = max(1, round(len(cols) * share))
+    # One row per feature name.
+    w = W.orderBy(F.col("variance").desc(), "ord")
+    return (
+        wide.select(F.inline(items))
+        .withColumn("rank", F.row_number().over(w).cast("bigint"))
+        .select("rank", "feature", half_even("variance", 6).alias("variance"), (F.col("rank") <= keep).alias("selected"))
+    )
+
+
 def duplicate_rows(txns: DataFrame) -> DataFrame:
     """Rows beyond the first per (narration, amount, type) and per (text, rounded amount)."""
     exact = (

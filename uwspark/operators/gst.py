@@ -272,3 +272,16 @@ def policy_heads(profile: DataFrame) -> DataFrame:
             "head_filing": F.col("filing_regularity_percentage"),
         }
     )
+
+
+def source_rollup(blocks: DataFrame, types: tuple[str, ...] = ("GSTR1", "GSTR3B", "GSTR2A", "GSTR2B")) -> DataFrame:
+    """One row per source from the summaries of its statements.
+
+    A block has (source_id, businesses, avg_score, low, medium, high) and how many returns of each type it
+    saw; counts are added, the score is the mean of the block scores that are known.
+    """
+    names = ["businesses", "low", "medium", "high", *[t.lower() for t in types]]
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    return blocks.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("statements"), half_even(F.avg("avg_score"), 2).alias("avg_score"), *[total(n) for n in names]
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions import fixed
 from ..functions.columns import clip, count_if, half_even, psi_band, z_band
+from ..staging import stage
 from . import scale
 
 
@@ -195,6 +196,64 @@ def drift_report(reference: DataFrame, recent: DataFrame) -> DataFrame:
     )
 
 
+def halves(history: DataFrame, coarse: Sequence[str], order: Sequence[str | Column], least: int = 20) -> DataFrame:
+    """Adds `size` and `half`: the earliest half of a time-ordered history is `reference`, the last half `recent`.
+
+    Places come from the counts of the `coarse` blocks, so no task sorts more than one block; the middle
+    row of an odd history is in neither half.
+    """
+    placed = scale.number_rows(history, [], coarse, order, "_pos")
+    # one row
+    size = history.agg(F.count(F.lit(1)).alias("size"))
+    half = F.greatest(F.lit(least), F.floor(F.col("size") / 2))
+    return (
+        placed.join(F.broadcast(size))
+        .withColumn("half", F.when(F.col("_pos") < half, "reference").when(F.col("_pos") >= F.col("size") - half, "recent"))
+        .drop("_pos")
+    )
+
+
+def drift_by_halves(
+    history: DataFrame, features: Sequence[str], score: str, coarse: Sequence[str], order: Sequence[str | Column], least: int = 20
+) -> DataFrame:
+    """Drift of every feature and of the score between the halves of a history.
+
+    (metric, kind, psi, band, reference_mean, recent_mean, reference_n, recent_n, status): the status is the
+    band of the worst feature; the score has a band of its own.  A history of fewer than two times `least`
+    rows gives one row with the status `insufficient-data`.
+    """
+    spark = history.sparkSession
+    names = [*features, score]
+    split = stage(halves(history, coarse, order, least).select("size", "half", *[F.col(n).cast("double").alias(n) for n in names]))
+    long = long_metrics(split.where("half is not null"), names, ["half"])
+    part = lambda h: long.where(F.col("half") == h).select("metric", "value")
+    means = lambda h, out: part(h).where("value is not null").groupBy("metric").agg(
+        half_even(half_even(F.sum("value"), 6) / F.count("value"), 3).alias(out)
+    )
+    kinds = spark.createDataFrame([(n, "prediction" if n == score else "feature") for n in names], "metric string, kind string")
+    # A handful of metric names.
+    t = (
+        F.broadcast(kinds).join(psi(part("reference"), part("recent")).select("metric", F.col("psi").alias("_psi")), "metric", "left")
+        .join(means("reference", "reference_mean"), "metric", "left")
+        .join(means("recent", "recent_mean"), "metric", "left")
+        .withColumn("_psi", F.coalesce("_psi", F.lit(0.0)))
+    )
+    sizes = split.agg(
+        F.count_if(F.col("half") == "reference").alias("reference_n"), F.count_if(F.col("half") == "recent").alias("recent_n"), F.count(F.lit(1)).alias("_n")
+    )
+    worst = F.max(F.when(F.col("kind") == "feature", F.col("_psi"))).over(W.partitionBy())
+    full = t.join(F.broadcast(sizes)).where(F.col("_n") >= 2 * least).select(
+        "metric", "kind", half_even("_psi", 3).alias("psi"), psi_band("_psi").alias("band"),
+        "reference_mean", "recent_mean", "reference_n", "recent_n", psi_band(worst).alias("status"),
+    )
+    none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("double")
+    short = sizes.where(F.col("_n") < 2 * least).select(
+        none_s.alias("metric"), none_s.alias("kind"), none_d.alias("psi"), none_s.alias("band"), none_d.alias("reference_mean"),
+        none_d.alias("recent_mean"), "reference_n", "recent_n", F.lit("insufficient-data").alias("status"),
+    )
+    return full.unionByName(short)
+
+
 # ----------------------------------------------------------------------------- guards
 
 

@@ -241,3 +241,24 @@ def payload(scored: DataFrame, statements: DataFrame) -> DataFrame:
         F.struct(*names).alias("feature_vector"),
         "factors",
     )
+
+
+def resolved_toggles(listed: DataFrame, settings: DataFrame, default: bool = True) -> DataFrame:
+    """Adds `enabled` to the (product, source, rule_id) rows of a catalogue by the most specific setting.
+
+    `settings` has (product, source, rule_id, enabled, seq), null for any product or source.  A setting of
+    product and source beats one of the product alone, that one of the source alone, and that a global one;
+    of equally specific settings the one with the highest `seq` counts.  Settings of unknown rules do nothing.
+    """
+    # one setting per address before any join
+    last = settings.groupBy("product", "source", "rule_id").agg(F.max_by("enabled", "seq").alias("enabled"))
+    weight = F.when(F.col("s_product").isNotNull(), 2).otherwise(0) + F.when(F.col("s_source").isNotNull(), 1).otherwise(0)
+    s = last.select(F.col("product").alias("s_product"), F.col("source").alias("s_source"), "rule_id", F.col("enabled").alias("_on"))
+    fits = (F.col("s_product").isNull() | (F.col("s_product") == F.col("product"))) & (F.col("s_source").isNull() | (F.col("s_source") == F.col("source")))
+    # at most four settings apply to a row
+    hit = listed.join(s, "rule_id").where(fits).groupBy("product", "source", "rule_id").agg(F.max_by("_on", weight).alias("_on"))
+    return (
+        listed.join(hit, ["product", "source", "rule_id"], "left")
+        .withColumn("enabled", F.coalesce("_on", F.lit(default)))
+        .drop("_on")
+    )

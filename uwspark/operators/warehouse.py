@@ -185,3 +185,92 @@ def ranked_within(df: DataFrame, key: str, order: Column, keep: int) -> DataFram
     """First rows of each key; the rank filter turns into a per-task limit."""
     w = W.partitionBy(key).orderBy(order)
     return df.withColumn("rk", F.row_number().over(w).cast("bigint")).where(F.col("rk") <= keep)
+
+
+def recent_activity(one: DataFrame, applicants: DataFrame, statements: DataFrame, keep: int = 8) -> DataFrame:
+    """The newest runs with the best name there is for applicant and bank.
+
+    Both joins are outer: a run may lack its applicant, its statement, or both.  The name falls back from
+    the reference id to the applicant's name, the file name, the statement number and the run number;
+    the bank from the applicant's to the file name and a dash.  Empty texts count as missing.
+    """
+    latest = newest(one, "id", keep)
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    a = applicants.select(F.col("id").alias("applicant_id"), text("ref_id").alias("_ref"), text("name").alias("_name"), text("bank_name").alias("_bank"))
+    s = statements.select(F.col("id").alias("statement_id"), text("file_name").alias("_file"), F.lit(True).alias("_known"))
+    number = F.when(F.col("_known"), F.concat(F.lit("Statement #"), F.col("statement_id").cast("string")))
+    return (
+        latest.join(a, "applicant_id", "left")
+        .join(s, "statement_id", "left")
+        .select(
+            "id",
+            F.coalesce("_ref", "_name", "_file", number, F.concat(F.lit("RUN-"), F.col("id").cast("string"))).alias("label"),
+            F.coalesce("_bank", F.when(F.col("_known"), F.coalesce("_file", F.lit("-"))), F.lit("-")).alias("bank"),
+            F.col("created_at").alias("date"),
+            "transaction_count",
+            "credit_score",
+            "risk_grade",
+            F.lit("ANALYZED").alias("status"),
+        )
+    )
+
+
+def attached_evaluations(evaluations: DataFrame, statements: DataFrame, runs: DataFrame) -> DataFrame:
+    """Evaluations with the run they belong to, the newest one per run.
+
+    An evaluation (id, source_id, at) sees what was there when it was made: the newest statement of its source
+    (id) with at most its time, and the newest run of that statement with at most its time; without one, the
+    newest uploaded run of all.  Without any run it is dropped.  A later evaluation of a run replaces the
+    earlier one (the higher id).
+
+    One aggregate per key: statements and runs become steps of a source and of a statement, each holding what
+    is newest from its time on, so an evaluation finds its step by the greatest time at or before its own.
+    """
+    steps = statements.groupBy("source_id", "at").agg(F.max("id").alias("id"))
+    # what is newest at a step is a running maximum over the steps of one source, one row per time
+    w = W.partitionBy("source_id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    steps = steps.select("source_id", "at", F.max("id").over(w).alias("statement_id"))
+    e = evaluations.select("id", "source_id", "at")
+    found = _as_of(e, steps, "source_id", "statement_id")
+    linked = runs.where("statement_id is not null").groupBy("statement_id", "at").agg(F.max("id").alias("id"))
+    v = W.partitionBy("statement_id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    run_steps = linked.select("statement_id", "at", F.max("id").over(v).alias("run_id"))
+    own = _as_of(found, run_steps, "statement_id", "run_id")
+    real = runs.where("data_source = 'UPLOADED_STATEMENT'").groupBy("at").agg(F.max("id").alias("id")).withColumn("_all", F.lit(1))
+    # one row per day of the history
+    u = W.partitionBy("_all").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    all_steps = real.select("_all", "at", F.max("id").over(u).alias("any_run"))
+    out = _as_of_days(own, all_steps)
+    out = out.withColumn("run_id", F.coalesce("run_id", "any_run")).where("run_id is not null")
+    newest_of = out.groupBy("run_id").agg(F.max("id").alias("id"))
+    return evaluations.join(newest_of, "id")
+
+
+def _as_of(rows: DataFrame, steps: DataFrame, key: str, value: str) -> DataFrame:
+    """Left as-of join: the value of the last step of the key at or before the time of each row.
+
+    Rows and steps are laid on one time line per (key, month); the last step of the months before comes
+    from one row per month, so a key is as many tasks as it has months.
+    """
+    month = F.trunc("at", "month").alias("_month")
+    nowhere, rows = rows.where(F.col(key).isNull()), rows.where(F.col(key).isNotNull())
+    line = rows.select(*rows.columns, month, F.lit(None).cast("bigint").alias("_v"), F.lit(1).alias("_row")).unionByName(
+        steps.select(key, "at", month, F.col(value).cast("bigint").alias("_v"), F.lit(0).alias("_row")), allowMissingColumns=True
+    )
+    inside = W.partitionBy(key, "_month").orderBy("at", "_row").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(key).orderBy("_month").rowsBetween(W.unboundedPreceding, -1)
+    carried = line.groupBy(key, "_month").agg(F.max("_v").alias("_m")).select(key, "_month", F.max("_m").over(before).alias("_c"))
+    found = (
+        line.withColumn(value, F.last("_v", ignorenulls=True).over(inside))
+        .where("_row = 1")
+        .join(carried, [key, "_month"], "left")
+        .select(*rows.columns, F.coalesce(F.col(value), F.col("_c")).alias(value))
+    )
+    return found.unionByName(nowhere.withColumn(value, F.lit(None).cast("bigint")))
+
+
+def _as_of_days(rows: DataFrame, steps: DataFrame) -> DataFrame:
+    """The same with the day as the only key: every day that has rows gets the value of its day."""
+    days = rows.select("at").distinct().withColumn("_all", F.lit(1))
+    known = _as_of(days, steps, "_all", "any_run").drop("_all")
+    return rows.join(F.broadcast(known), "at", "left")
