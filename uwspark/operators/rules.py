@@ -6,32 +6,39 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import rulebook
+from ..functions import figures, rulebook
 from ..functions.columns import count_if, half_even, sql_text
 from ..functions.rulebook import Rule
 
 
-def evaluate(ctx: DataFrame, rules: Sequence[Rule], key: str = "account_id") -> DataFrame:
-    """Long table (key, ord, rule_id, label, category, serious, status, detail)."""
-    items = []
+def evaluate(ctx: DataFrame, rules: Sequence[Rule], key: str = "account_id", detail: bool = True) -> DataFrame:
+    """Long table (key, ord, rule_id, label, category, serious, gate, status, detail).
+
+    `detail` says what was measured and which limit it met or passed; decisions need none of it.
+    """
+    picked, texts, names, most = [], [], set(), 0
     for i, r in enumerate(rules):
-        status = r.status_sql()
-        if not r.computable:
-            detail = "'No evaluator: needs an outside feed or a longer history.'"
-        else:
-            done = "Informative." if r.fail == "no" else "Evaluated without concern."
-            detail = (
-                f"case {status} when 'SKIP' then 'Not applicable or too little data.' "
-                f"when 'FAIL' then {sql_text('Risk condition met: ' + r.fail + '.')} else '{done}' end"
-            )
-        items.append(
-            f"named_struct('ord', {i}, 'rule_id', {sql_text(r.id)}, 'label', {sql_text(r.label)}, "
-            f"'category', {sql_text(r.category)}, 'serious', {r.serious}, 'gate', {r.gate}, "
-            f"'status', {status}, 'detail', {detail})"
-        )
+        used, said = figures.templates(r)
+        names.update(used)
+        texts += said
+        most = max(most, len(used))
+        shown = f", 'figs', array({', '.join(f'_f_{n}' for n in used)})" if used else ", 'figs', cast(array() as array<string>)"
+        picked.append(f"named_struct('ord', {i}, 'arm', {figures.arm_sql(r)}{shown if detail else ''})")
+    # every figure is printed once, whatever the number of rules that show it
+    base = ctx.selectExpr("*", *[f"{figures.printed(n)} as _f_{n}" for n in sorted(names)]) if detail else ctx
     # Groups of twenty keep each generated projection small.
-    groups = [f"array({', '.join(items[i : i + 20])})" for i in range(0, len(items), 20)]
-    return ctx.selectExpr(key, f"inline(concat({', '.join(groups)}))")
+    groups = [f"array({', '.join(picked[i : i + 20])})" for i in range(0, len(picked), 20)]
+    found = base.selectExpr(key, f"inline(concat({', '.join(groups)}))")
+    of = lambda values, at="ord": f"element_at(array({', '.join(values)}), {at} + 1)"
+    filled = ", ".join(f"get(figs, {i})" for i in range(most)) or "''"
+    return found.selectExpr(
+        key,
+        "ord",
+        *[f"{of([sql_text(getattr(r, c)) for r in rules])} as {name}" for c, name in (("id", "rule_id"), ("label", "label"), ("category", "category"))],
+        *[f"{of([str(getattr(r, c)) for r in rules])} as {c}" for c in ("serious", "gate")],
+        f"{of([sql_text(s) for s in figures.STATUS], 'arm')} as status",
+        *([f"format_string({of([sql_text(t) for t in texts], f'ord * {len(figures.STATUS)} + arm')}, {filled}) as detail"] if detail else []),
+    )
 
 
 def enabled_only(results: DataFrame, toggles: DataFrame, keys: Sequence[str] = ("rule_id",)) -> DataFrame:
@@ -99,7 +106,7 @@ def bank_decision(results: DataFrame) -> DataFrame:
     return tally(results, collapse=rulebook.BOUNCE_FAMILY).withColumn("decision", ladder())
 
 
-def product_results(ctx: DataFrame, product: str, with_external: bool = True) -> DataFrame:
+def product_results(ctx: DataFrame, product: str, with_external: bool = True, detail: bool = True) -> DataFrame:
     """Every listed rule of one product; those that need an outside feed answer SKIP, or are left out if asked for."""
     known = {r.id: r for r in rulebook.PRODUCT_RULES}
     picked = []
@@ -108,7 +115,7 @@ def product_results(ctx: DataFrame, product: str, with_external: bool = True) ->
             picked.append(known[rid])
         elif rid not in rulebook.OUTCOME_RULES and with_external:
             picked.append(Rule(rid, rid.replace("_", " ").title() + " Rule", "-", "?"))
-    return evaluate(ctx, picked)
+    return evaluate(ctx, picked, detail=detail)
 
 
 def product_decision(results: DataFrame, product: str) -> DataFrame:

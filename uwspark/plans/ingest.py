@@ -405,12 +405,13 @@ def business_view(spark, sf_dir):
 
 @query(
     "k27_explanations",
-    """SELECT account_id, rule_id, CASE status WHEN 'PASS' THEN 'met' WHEN 'FAIL' THEN CASE WHEN serious THEN 'not met, key rule' ELSE 'not met' END ELSE 'not checked' END AS outcome FROM x_bank_rules""",
+    """SELECT account_id, rule_id, outcome, 'Checks one underwriting condition. Outcome: ' || outcome || '. ' || detail AS explanation FROM
+      (SELECT *, CASE status WHEN 'PASS' THEN 'met' WHEN 'FAIL' THEN CASE WHEN serious THEN 'not met, key rule' ELSE 'not met' END ELSE 'not checked' END AS outcome FROM x_bank_rules)""",
 )
 def explanations(spark, sf_dir):
     _, ctx = context_of(spark, sf_dir)
     out = rules.explained(rules.evaluate(ctx, rulebook.BANK_RULES))
-    return out.select("account_id", "rule_id", "outcome")
+    return out.select("account_id", "rule_id", "outcome", "explanation")
 
 
 @query(

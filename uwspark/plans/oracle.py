@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from ..functions import fixed
+from ..functions import figures, fixed
 from ..sources import adapters
 
 BLOCKS: dict[str, str] = {}
@@ -318,10 +318,41 @@ FROM x_context0""",
 # ------------------------------------------------------------------ rules
 
 
+def _figure(name: str) -> str:
+    """A value as the rule details print it."""
+    rounded = lambda x, d: f"format('{{:,.{d}f}}', round_even(CAST({x} AS DOUBLE), {d}) + 0.0)"
+    text = {
+        "money": f"'₹' || {rounded(name, 2)}",
+        "percent": f"{rounded(f'{name} * 100', 1)} || ' %'",
+        "number": rounded(name, 2),
+        "count": rounded(name, 0),
+        "flag": f"CASE WHEN {name} THEN 'yes' ELSE 'no' END",
+        "text": f"CAST({name} AS VARCHAR)",
+    }[figures.FIGURES[name][1]]
+    return f"coalesce({text}, 'unknown')" if figures.FIGURES[name][1] != "flag" else f"CASE WHEN {name} IS NULL THEN 'unknown' ELSE {text} END"
+
+
+def detail_sql(rule) -> str:
+    """CASE expression of a rule's detail text."""
+    skip, own = figures.shown(rule)
+    shown = lambda names: " || ', ' || ".join(f"'{figures.FIGURES[n][0]} ' || {_figure(n)}" for n in names)
+    if not rule.computable:
+        return f"'{figures.UNKNOWN_RULE}'"
+    arms = ["WHEN is_salaried THEN 'Not applicable to a salaried account.'"] if rule.business else []
+    if rule.skip != "-":
+        arms.append(f"WHEN {rule.skip} THEN '{figures.SKIPPED}'" + (f" || ': ' || {shown(skip)}" if skip else "") + " || '.'")
+    measured = f"'Measured ' || {shown(own)} || '.'" if own else "'Informative.'"
+    if rule.fail != "no":
+        text = figures.in_words(rule.fail).replace("'", "''")
+        arms.append(f"WHEN {rule.fail} THEN {measured} || ' Fails where {text}.'")
+        measured = f"{measured} || ' Within the limit.'"
+    return f"CASE {' '.join(arms)} ELSE {measured} END" if arms else measured
+
+
 def rules_sql(source: str, rules, key: str = "account_id") -> str:
-    """Long table (key, rule_id, serious, gate, status) from the catalogue conditions."""
+    """Long table (key, rule_id, serious, gate, status, detail) from the catalogue conditions."""
     items = ",\n".join(
-        f"{{'rule_id': '{r.id}', 'serious': {str(r.serious).lower()}, 'gate': {str(r.gate).lower()}, 'status': {r.status_sql()}}}"
+        f"{{'rule_id': '{r.id}', 'serious': {str(r.serious).lower()}, 'gate': {str(r.gate).lower()}, 'status': {r.status_sql()}, 'detail': {detail_sql(r)}}}"
         for r in rules
     )
     return f"SELECT {key}, unnest([{items}], recursive := true) FROM {source}"

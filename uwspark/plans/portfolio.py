@@ -108,7 +108,7 @@ def toggled_rules(spark, sf_dir):
     """Bank rules of every account under the toggles of its product and the statement source."""
     _, ctx = context_of(spark, sf_dir)
     product = F.element_at(F.array(*[F.lit(p) for p in _PRODUCTS]), (F.col("account_id") % len(_PRODUCTS) + 1).cast("int"))
-    results = rules.evaluate(ctx, rulebook.BANK_RULES).withColumn("product", product)
+    results = rules.evaluate(ctx, rulebook.BANK_RULES, detail=False).withColumn("product", product)
     on = rules.resolved_toggles(listed(spark), settings(spark, sf_dir)).where("source = 'aa'")
     kept = rules.enabled_only(results, on, ("product", "rule_id"))
     n = lambda s: F.count_if(F.col("status") == s)

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions import rulebook
+from ..functions import figures, rulebook
 from ..operators import features, rules
 from ..staging import stage
 from . import oracle
@@ -24,11 +24,11 @@ for _p, _ids in rulebook.PRODUCTS.items():
 
 @query(
     "c13_k04_bank_rules",
-    "SELECT account_id, rule_id, status, serious FROM x_bank_rules",
+    "SELECT account_id, rule_id, status, serious, detail FROM x_bank_rules",
 )
 def bank_rules(spark, sf_dir):
     _, ctx = context_of(spark, sf_dir)
-    return rules.evaluate(ctx, rulebook.BANK_RULES).select("account_id", "rule_id", "status", "serious")
+    return rules.evaluate(ctx, rulebook.BANK_RULES).select("account_id", "rule_id", "status", "serious", "detail")
 
 
 @query(
@@ -37,7 +37,7 @@ def bank_rules(spark, sf_dir):
 )
 def bank_decision(spark, sf_dir):
     _, ctx = context_of(spark, sf_dir)
-    out = rules.bank_decision(rules.evaluate(ctx, rulebook.BANK_RULES))
+    out = rules.bank_decision(rules.evaluate(ctx, rulebook.BANK_RULES, detail=False))
     return out.drop("serious_flags")
 
 
@@ -49,7 +49,7 @@ def bank_decision(spark, sf_dir):
 def toggled(spark, sf_dir):
     _, ctx = context_of(spark, sf_dir)
     toggles = rules.catalogue(spark, rulebook.BANK_RULES)
-    out = rules.bank_decision(rules.enabled_only(rules.evaluate(ctx, rulebook.BANK_RULES), toggles))
+    out = rules.bank_decision(rules.enabled_only(rules.evaluate(ctx, rulebook.BANK_RULES, detail=False), toggles))
     return out.select("account_id", "decision", "passed")
 
 
@@ -62,15 +62,15 @@ def _outside(p: str) -> list[str]:
 @query(
     "k05_product_rules",
     " UNION ALL ".join(
-        f"""SELECT '{p}' AS product, account_id, rule_id, status, serious FROM x_rules_{p} UNION ALL
-            SELECT '{p}', account_id, unnest([{oracle.quoted(_outside(p))}]), 'SKIP', false FROM (SELECT DISTINCT account_id FROM x_rules_{p})"""
+        f"""SELECT '{p}' AS product, account_id, rule_id, status, serious, detail FROM x_rules_{p} UNION ALL
+            SELECT '{p}', account_id, unnest([{oracle.quoted(_outside(p))}]), 'SKIP', false, '{figures.UNKNOWN_RULE}' FROM (SELECT DISTINCT account_id FROM x_rules_{p})"""
         for p in rulebook.PRODUCTS
     ),
 )
 def product_rules(spark, sf_dir):
     _, ctx = context_of(spark, sf_dir)
     parts = [
-        rules.product_results(ctx, p).select(F.lit(p).alias("product"), "account_id", "rule_id", "status", "serious")
+        rules.product_results(ctx, p).select(F.lit(p).alias("product"), "account_id", "rule_id", "status", "serious", "detail")
         for p in rulebook.PRODUCTS
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -87,7 +87,7 @@ def _product_sql(p: str) -> str:
 def product_decisions(spark, sf_dir):
     _, ctx = context_of(spark, sf_dir)
     parts = [
-        rules.product_decision(rules.product_results(ctx, p), p).select(
+        rules.product_decision(rules.product_results(ctx, p, detail=False), p).select(
             "product", "account_id", "decision", "skipped", "passed", "serious_fails"
         )
         for p in rulebook.PRODUCTS

@@ -64,8 +64,8 @@ oracle.block("x_upi_tally", oracle.tally_sql("x_upi_rules"))
 
 
 def _final_sql(src: str, final) -> str:
-    return f"""SELECT account_id, rule_id, status, serious FROM {src}_rules UNION ALL
-      SELECT account_id, '{final[0]}', CASE WHEN passed + failed = 0 THEN 'SKIP' WHEN failed <= 2 THEN 'PASS' ELSE 'FAIL' END, true
+    return f"""SELECT account_id, rule_id, status, serious, detail FROM {src}_rules UNION ALL
+      SELECT account_id, '{final[0]}', CASE WHEN passed + failed = 0 THEN 'SKIP' WHEN failed <= 2 THEN 'PASS' ELSE 'FAIL' END, true, passed || ' passed, ' || failed || ' failed, ' || skipped || ' skipped'
       FROM {src}_tally"""
 
 
@@ -73,7 +73,7 @@ def _final_sql(src: str, final) -> str:
 def upi_rules(spark, sf_dir):
     a = upi.analysis(payments(spark, sf_dir))
     out = rules.with_final_signal(rules.evaluate(a, rulebook.UPI_RULES), rulebook.UPI_FINAL)
-    return out.select("account_id", "rule_id", "status", "serious")
+    return out.select("account_id", "rule_id", "status", "serious", "detail")
 
 
 @query(
@@ -143,7 +143,7 @@ oracle.block("x_bbps_tally", oracle.tally_sql("x_bbps_rules"))
 def bbps_rules(spark, sf_dir):
     a = bbps.analysis(bbps.by_type(bank(spark, sf_dir)))
     out = rules.with_final_signal(rules.evaluate(a, rulebook.BBPS_RULES), rulebook.BBPS_FINAL)
-    return out.select("account_id", "rule_id", "status", "serious")
+    return out.select("account_id", "rule_id", "status", "serious", "detail")
 
 
 # ------------------------------------------------------------------ tax returns
@@ -201,10 +201,10 @@ oracle.block("x_gst_rules", oracle.rules_sql("x_gst_heads", rulebook.GST_RULES,
 oracle.block("x_gst_tally", oracle.tally_sql("x_gst_rules", key="gstin"))
 
 
-@query("k06_gst_rules", "SELECT gstin, rule_id, status, serious FROM x_gst_rules")
+@query("k06_gst_rules", "SELECT gstin, rule_id, status, serious, detail FROM x_gst_rules")
 def gst_rules(spark, sf_dir):
     p = gst.policy_heads(gst.profiles(returns(spark, sf_dir), AS_OF))
-    return rules.evaluate(p, rulebook.GST_RULES, key="gstin").select("gstin", "rule_id", "status", "serious")
+    return rules.evaluate(p, rulebook.GST_RULES, key="gstin").select("gstin", "rule_id", "status", "serious", "detail")
 
 
 @query(
@@ -215,5 +215,5 @@ def gst_rules(spark, sf_dir):
 )
 def gst_decision(spark, sf_dir):
     p = stage(gst.policy_heads(gst.profiles(returns(spark, sf_dir), AS_OF)))
-    out = rules.gst_decision(rules.evaluate(p, rulebook.GST_RULES, key="gstin"), p)
+    out = rules.gst_decision(rules.evaluate(p, rulebook.GST_RULES, key="gstin", detail=False), p)
     return out.select("gstin", "passed", "failed", "skipped", "decision")
