@@ -7,7 +7,7 @@ from harness import compare, duck
 
 import __spark_entry__ as entry
 import corpus_pipeline as C
-from uwspark.llm import queries, simhash, toxicity
+from uwspark.llm import queries, toxicity
 from uwspark.llm.common import table
 from uwspark.staging import stage
 
@@ -21,12 +21,15 @@ COLUMNS = {
     "op6": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
     "op7": {"page_id", "host", "path", "rule", "verdict"},
     "op9": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
+    "op11": {"lang", "rank", "phrase", "a", "l", "r", "n", "score"},
+    "op12": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
+    "op13": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
 }
 
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(names) and len(C.STAGES) == 5
 
 
@@ -46,6 +49,7 @@ def test_query(spark, name):
 def test_stages(spark):
     from test_decontaminate import brute as brute_items
     from test_lines import brute as brute_lines
+    from test_similar import brute as brute_near
 
     docs = table(spark, SF, "documents")
     labels = table(spark, SF, "labels")
@@ -62,11 +66,8 @@ def test_stages(spark):
     assert got == {i: t for i, (n, t) in left.items() if not n or t.strip(" \t\n\x0b\x0c\r")}
 
     three = stage(C.keep_one_of_each(spark, two, SF))
-    fps = {i: simhash.fingerprint(t, 5, 2) for i, t in got.items()}
     kept = {r.doc_id for r in three.collect()}
-    near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= simhash.WIDE_RADIUS
-    assert all(any(near(i, j) for j in fps if j < i) for i in set(fps) - kept)
-    assert not any(near(i, j) for i in kept for j in kept if j < i)
+    assert kept == {g[0][1] for g in brute_near([*got.items()])}
 
     four = stage(C.drop_contaminated(spark, three, SF))
     texts = [(r.doc_id, r.text) for r in three.collect()]
