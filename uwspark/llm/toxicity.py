@@ -7,7 +7,8 @@ once this way) and RATIO times as many, in proportion, as in the other class.
 A text is cut into overlapping windows, and each window is compressed with both
 dictionaries; the difference of the lengths is its distance.  A logistic curve
 over the largest distances and the shares of windows beyond the thresholds, fitted
-on sample rows that trained no dictionary, turns them into a score.
+on sample rows that trained no dictionary, turns them into a score; it is shifted so
+that one half is the cut that loses a bounded share of the ordinary ones (`Sizes.clean_loss`).
 
 The fit uses a bounded sample of labelled rows (`Sizes`) and no held-out row;
 scoring reads every window of every text, in Arrow batches, without a shuffle.
@@ -39,6 +40,7 @@ class Sizes:
     toxic_rows: int = 1500
     ordinary_rows: int = 3000
     code_points: int = 16_384  # longer labelled texts are scored, not learned from
+    clean_loss: float = 0.02  # share of ordinary calibration rows that may score one half or more
     dictionary: int = 4096
 
 
@@ -148,7 +150,14 @@ def fit(toxic: list[str], ordinary: list[str], share: float, sizes: Sizes = Size
     y = np.r_[np.ones(len(rest[0])), np.zeros(len(rest[1]))]
     n = len(y)
     weight = np.r_[np.full(len(rest[0]), share * n / len(rest[0])), np.full(len(rest[1]), (1 - share) * n / len(rest[1]))]
-    return Model(*dictionaries, tuple(_logistic(x, y, weight).tolist()))
+    curve = _logistic(x, y, weight)
+    # the cut that catches most within the bound on clean loss, half-way to the next row, becomes one half;
+    # it is never above the curve's own
+    at = x @ curve
+    last = np.sort(at[y == 0])[::-1][int(sizes.clean_loss * (y == 0).sum())]
+    above = at[at > last + 1e-9]
+    curve[-1] -= min(0.0, float((last + above.min()) / 2) if len(above) else 0.0)
+    return Model(*dictionaries, tuple(curve.tolist()))
 
 
 def held_out(id_col: str):
