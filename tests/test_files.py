@@ -75,3 +75,19 @@ def test_dates(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", parsing.statement_date("raw").alias("d"))
     assert {r.raw: r.d for r in df.collect()} == cases
+
+
+def test_entropy_of_bytes(spark):
+    import collections
+    import math
+    import random
+
+    rnd = random.Random(8)
+    contents = [bytes(rnd.randrange(256) for _ in range(n)) for n in (1, 5, 300, 2500, 30000)] + [b"", bytes(range(256)), b"\x00" * 50]
+    df = spark.createDataFrame([(i, bytearray(d), len(d)) for i, d in enumerate(contents)], "f int, content binary, length int")
+    got = {r.f: r.entropy for r in files.entropy_scan(df, "f", "content", "length").collect()}
+    assert set(got) == {i for i, d in enumerate(contents) if d}
+    for i, d in enumerate(contents):
+        if d:
+            want = -sum(v / len(d) * math.log2(v / len(d)) for v in collections.Counter(d).values())
+            assert abs(got[i] - want) <= 0.0051
