@@ -177,3 +177,39 @@ def test_two_writers_and_a_reader(spark, tmp_path):
     watcher.join()
     assert not errors and sorted(taken) == list(range(1, 31))
     assert set(read) <= {None, *range(1, 31)} and store.versions("aa") is None  # claimed, none stored yet
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["k08_upi_fitted_decision", "k07_bbps_fitted_decision"])
+def test_decision_follows_the_fitted_heads(spark, name):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()[name](spark, SF).collect()
+    assert rows and all(r.risk_label in ("LOW", "MEDIUM", "HIGH") and 0 <= r.stability <= 100 for r in rows)
+    for r in rows:
+        if r.serious_fails > 0:
+            want = "REJECTED"
+        elif r.failed > 0 or r.risk_label == "HIGH":
+            want = "CONDITIONAL APPROVAL"
+        elif r.risk_label == "LOW" and r.stability >= 70:
+            want = "APPROVED"
+        else:
+            want = "APPROVED WITH NOTES"
+        assert r.decision == want
+
+
+def test_tax_decision_follows_the_fitted_score(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["k06_gst_fitted_decision"](spark, SF).collect()
+    assert rows and all(0 <= r.head_score <= 100 for r in rows)
+    for r in rows:
+        if r.serious_fails > 0:
+            want = "REJECTED"
+        elif r.failed > 0 or r.head_score < 55:
+            want = "CONDITIONAL APPROVAL"
+        else:
+            want = "APPROVED" if r.head_score >= 75 else "APPROVED WITH NOTES"
+        assert r.decision == want

@@ -7,14 +7,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import fixed, rulebook
 from ..ml import evaluation, heads, labels, registry, signatures
-from ..operators import monitor, patterns
+from ..operators import bbps, features, gst, monitor, patterns, rules, upi
 from ..sources.adapters import read
 from ..staging import shared, shared_dir, stage
 from . import oracle
+from .cleaning import cleaned
 from .learning import _PAYMENT_SQL, _UTILITY_SQL, payment_features, utility_features
 from .registry import query
 from .signals import compared, metrics_of
+from .sources import AS_OF, bank, payments, returns
 
 # ------------------------------------------------------------------ folds and metrics
 
@@ -70,11 +73,11 @@ def _heads(domain: str, features: DataFrame) -> list[heads.Head]:
 def head_evaluation(spark, sf_dir):
     """Three stratified folds of all four payment and all four utility heads: every metric and its status."""
     parts = []
-    for domain, rows, features in (
+    for domain, rows, feature_rows in (
         ("upi", payment_rows(spark, sf_dir), payment_features(spark, sf_dir)),
         ("bbps", utility_rows(spark, sf_dir), utility_features(spark, sf_dir)),
     ):
-        for head in _heads(domain, features):
+        for head in _heads(domain, feature_rows):
             algorithm = "linear_regression" if head.kind == "regressor" else "random_forest"
             parts.append(evaluation.evaluated(rows, head, "account_id", 3, algorithm))
     return reduce(DataFrame.unionByName, parts)
@@ -155,6 +158,89 @@ for _d, (_src, _key) in oracle.PATTERN_SOURCES.items():
         return signatures.verdicts(m, monitor.worst_z(long, key), models, d, key)
 
 
+# ------------------------------------------------------------------ decisions and scores from fitted heads
+
+
+def _predicted(rows: DataFrame, domain_heads: list[heads.Head], key: str) -> DataFrame:
+    """Predictions of all heads of a domain, fitted on the rows, as one long table."""
+    parts = [heads.predict(heads.fit(rows, h, "random_forest"), rows, h, key) for h in domain_heads]
+    return stage(reduce(DataFrame.unionByName, parts))
+
+
+def tax_rows(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """Tax profiles with the targets of their heads, and the feature columns."""
+    build = lambda: gst.policy_heads(gst.profiles(returns(spark, sf_dir), AS_OF))
+    p = shared(spark, sf_dir, "tax_rows", build)
+    numbers = [c for c, t in p.dtypes if t in ("double", "bigint", "int") and c not in ("head_loan", "head_filing")]
+    return p, numbers
+
+
+def tax_predictions(spark, sf_dir) -> DataFrame:
+    p, numbers = tax_rows(spark, sf_dir)
+    return shared(spark, sf_dir, "tax_predictions", lambda: _predicted(p, heads.heads_of("gst", numbers), "gstin"))
+
+
+def _long(predictions: DataFrame, key: str) -> DataFrame:
+    return predictions.select(key, "head", "value", "label", F.map_values("probabilities").alias("p"))
+
+
+@query("l09_tax_heads")
+def tax_heads(spark, sf_dir):
+    """The four tax heads, none of which sees its own target, trained and scored on every business."""
+    return _long(tax_predictions(spark, sf_dir), "gstin")
+
+
+@query("l09_session_heads")
+def session_heads(spark, sf_dir):
+    """The three heads of bank statements, trained and scored on every account."""
+    f = features.session_features(cleaned(spark, sf_dir))
+    rows = stage(labels.session_labels(stage(f)))
+    return _long(_predicted(rows, heads.heads_of("aa", list(fixed.BASE_FEATURES)), "account_id"), "account_id")
+
+
+@query("k06_gst_fitted_decision")
+def gst_fitted_decision(spark, sf_dir):
+    """Tax rules and decision on what the fitted heads say instead of the labels they were trained on."""
+    p, _ = tax_rows(spark, sf_dir)
+    said = tax_predictions(spark, sf_dir)
+    value = lambda h: F.max(F.when(F.col("head") == h, F.col("value")))
+    wide = said.groupBy("gstin").agg(
+        value("gst_underwriting_score_model").alias("head_score"),
+        F.max(F.when(F.col("head") == "gst_risk_flag_model", F.col("label"))).alias("head_risk"),
+        value("gst_loan_eligibility_model").alias("head_loan"),
+        value("gst_filing_compliance_model").alias("head_filing"),
+    )
+    judged = stage(p.drop("head_score", "head_risk", "head_loan", "head_filing").join(wide, "gstin"))
+    out = rules.gst_decision(rules.evaluate(judged, rulebook.GST_RULES, key="gstin", detail=False), judged)
+    return out.select("gstin", "head_score", "passed", "failed", "skipped", "serious_fails", "decision")
+
+
+def _fitted_decision(analysis, rulelist, final, rows, domain, feature_rows):
+    """Rule results with the closing rule, decided on the predicted risk band and stability."""
+    risk, _, _, stability = _heads(domain, feature_rows)
+    said = _predicted(rows, [risk, stability], "account_id")
+    scored = said.groupBy("account_id").agg(
+        F.max(F.when(F.col("head") == risk.id, F.col("label"))).alias("risk_label"),
+        F.max(F.when(F.col("head") == stability.id, F.col("value"))).alias("stability"),
+    )
+    results = rules.with_final_signal(rules.evaluate(analysis, rulelist), final)
+    return rules.head_decision(results, scored).select("account_id", "risk_label", "stability", "passed", "failed", "skipped", "serious_fails", "decision")
+
+
+@query("k08_upi_fitted_decision")
+def upi_fitted_decision(spark, sf_dir):
+    """Payment rules decided on the predictions of the fitted heads."""
+    a = upi.analysis(payments(spark, sf_dir))
+    return _fitted_decision(a, rulebook.UPI_RULES, rulebook.UPI_FINAL, payment_rows(spark, sf_dir), "upi", payment_features(spark, sf_dir))
+
+
+@query("k07_bbps_fitted_decision")
+def bbps_fitted_decision(spark, sf_dir):
+    """Bill rules decided on the predictions of the fitted heads."""
+    a = bbps.analysis(bbps.by_type(bank(spark, sf_dir)))
+    return _fitted_decision(a, rulebook.BBPS_RULES, rulebook.BBPS_FINAL, utility_rows(spark, sf_dir), "bbps", utility_features(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ registry
 
 
