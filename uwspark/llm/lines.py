@@ -1,26 +1,27 @@
 """Line deduplication by a log-template tree of fixed depth.
 
-A line is a list of tokens in which every token with a digit is a variable.  The
-tree sends it by its token count and its first DEPTH tokens to a leaf.  In a leaf,
-a token is constant at its place if at least two and at least half of the
-different lines of the leaf have it there; all other places generalise to
-variables.  Lines of one leaf with the same constants, CONSTANT of the tokens or
-more, share a template; so do lines that are equal once masked.  In the strict form
-lines of fewer constants are compared unmasked and share no template with others, and
-a template has a constant beyond the first DEPTH tokens.  A template that recurs
-stays in the document with the smallest id and is dropped from all others.
-
-Only one narrow row per document and different line is shuffled first, and equal
-lines are summed before that, so a line that a third of all documents have is one
-row per task.  The tokens of a line are looked at place by place only in leaves
-with two different lines, and once per different line.
+A line is a list of tokens in which every token with a digit is a variable.  A line of
+which CONSTANT per cent of the tokens or more are constants equals another if both are
+equal with their variables masked; any other line, such as a row of numbers, is compared
+as it is and shares no template with lines that differ.  The tree sends a line by its
+token count and its first DEPTH tokens to a leaf.  In a leaf, a place beyond these
+becomes a variable as soon as two different lines agree in all other tokens; a template
+made so becomes a line of its own for a second free word.  What it takes is the support
+of these lines alone, so a template found in a small corpus is found in any larger one.
+A template keeps CONSTANT per cent of constants and at least one beyond the first DEPTH
+tokens; a word among the first DEPTH tokens is never generalised.  A template that
+recurs stays in the document with the smallest id and is dropped from all others.
+
+Two lines that differ in one place agree in the whole first or in the whole second half
+of their tokens.  One narrow row per line is written with the hashes of both halves;
+only lines that share a half with a different line are looked at place by place, once
+per different line.  Line numbers come back, so a text is masked once.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,136 +32,167 @@ from uwspark.staging import stage
 
 from .common import attach_spread, query, table, whole
 
-DEPTH = 5
+DEPTH = 3
 SHORT = 3  # lines of fewer tokens always stay; lines of up to DEPTH tokens share a template only if equal
-CONSTANT = 0.6
+CONSTANT = 60
 LAST = np.iinfo(np.int64).max
-DIGIT = re.compile(rb"[^ \t\n\x0b\x0c\r]*[0-9][^ \t\n\x0b\x0c\r]*")
+DIGIT = re.compile(rb"[0-9]")
+VARIABLE = b"<*>"
 
+digest = xxhash.xxh64_intdigest
 
-def masked(line: bytes) -> list[bytes]:
-    return DIGIT.sub(b"<*>", line).split()
 
-
-def line_hash(tokens: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(tokens)) - (1 << 63)
-
-
-def leaf_hash(tokens: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b"%d %s" % (len(tokens), b" ".join(tokens[:DEPTH]))) - (1 << 63)
+def compared(line: bytes) -> tuple[list[bytes], bool]:
+    """Tokens by which a line equals another, and whether it may share a template with lines that differ."""
+    tokens = line.split()
+    if DIGIT.search(line):
+        masked = [VARIABLE if DIGIT.search(t) else t for t in tokens]
+    elif VARIABLE in line:
+        masked = tokens
+    else:
+        return tokens, True
+    general = 100 * (len(masked) - masked.count(VARIABLE)) >= CONSTANT * len(masked)
+    return (masked if general else tokens), general
 
 
 def _ranked(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
+    """Rows with rank and `_own`, the hash of the text: rows equal in both are alike, so null ids are apart."""
     rank = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))
     more = (F.col(c).alias(f"_c{i}") for i, c in enumerate(carry))
-    return docs.select(F.col(id_col).alias("_id"), rank.alias("_rank"), whole(text_col).cast("binary").alias("_bytes"), *more)
+    text = whole(text_col)
+    return docs.select(F.col(id_col).alias("_id"), rank.alias("_rank"), F.xxhash64(text).alias("_own"), text.cast("binary").alias("_bytes"), *more)
 
 
-def _compared(line: bytes, strict: bool) -> tuple[list[bytes], bool]:
-    """Tokens by which a line equals another, and whether it may share a template with lines that differ."""
-    tokens = masked(line)
-    if strict and sum(t != b"<*>" for t in tokens) < CONSTANT * len(tokens):
-        return line.split(), False
-    return tokens, True
+def _batch(columns: dict[str, list[int]], unsigned: set[str]) -> pa.RecordBatch:
+    arrays = [pa.array(np.array(v, np.uint64).view(np.int64) if c in unsigned else np.array(v, np.int64)) for c, v in columns.items()]
+    return pa.RecordBatch.from_arrays(arrays, [*columns])
+
 
+LINES = "_rank bigint, _own bigint, _no bigint, _line bigint, _first_half bigint, _second_half bigint, _general bigint"
 
-def _lines(batches: Iterator[pa.RecordBatch], strict: bool = False) -> Iterator[pa.RecordBatch]:
-    """(_rank, _line, _leaf, _count) of every different line of a document."""
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per line of SHORT tokens or more; the halves count only where `_general` is 1."""
+    hashes = {"_line", "_first_half", "_second_half"}
     for b in batches:
-        out = []
-        for who, raw in zip(b.column("_rank").to_pylist(), b.column("_bytes").to_pylist()):
-            seen = set()
-            for line in raw.split(b"\n"):
-                tokens, general = _compared(line, strict)
-                if len(tokens) >= SHORT and (h := line_hash(tokens)) not in seen:
-                    seen.add(h)
-                    out.append((who, h, leaf_hash(tokens), len(tokens) if general else 0))
-        if out:
-            columns = zip(*out)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["_rank", "_line", "_leaf", "_count"])
-
-
-def _places(batches: Iterator[pa.RecordBatch], strict: bool = False) -> Iterator[pa.RecordBatch]:
-    """(_line, _slot, _members) of the wanted lines of a document; a slot is a constant token at a place of a leaf.
-
-    The strict form adds _beyond: whether the place is beyond the leading tokens.
-
-    Rows repeated with one id meet in one task, so a line answered once is left alone.
+        out = {c.split()[0]: [] for c in LINES.split(", ")}
+        ranks, owns, nos, lines, firsts, seconds, generals = out.values()
+        for rank, own, raw in zip(b.column("_rank").to_pylist(), b.column("_own").to_pylist(), b.column("_bytes").to_pylist()):
+            for no, line in enumerate(raw.split(b"\n")):
+                tokens, general = compared(line)
+                n = len(tokens)
+                if n < SHORT:
+                    continue
+                ranks.append(rank)
+                owns.append(own)
+                nos.append(no)
+                lines.append(digest(b" ".join(tokens)))
+                general = general and n > DEPTH
+                generals.append(general)
+                if general:
+                    half = max(DEPTH, n // 2)
+                    firsts.append(digest(b" ".join(tokens[:half]), n))
+                    seconds.append(digest(b" ".join([*tokens[:DEPTH], VARIABLE, *tokens[half:]]), n))
+                else:
+                    firsts.append(0)
+                    seconds.append(0)
+        yield _batch(out, hashes)
+
+
+PLACES = "_line bigint, _place bigint, _whole bigint, _flip bigint, _again bigint"
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for every place of the wanted lines that may become a variable.
+
+    `_whole` ^ `_flip` is the template with the place open; `_again` says whether a second one may be opened.
     """
-    answered: set[int] = set()
-    digest = xxhash.xxh64_intdigest
     for b in batches:
-        lines, slots, members, beyond = [], [], [], []
+        out = {c.split()[0]: [] for c in PLACES.split(", ")}
+        lines, places, wholes, flips, agains = out.values()
         for raw, want in zip(b.column("_bytes").to_pylist(), b.column("_want").to_pylist()):
-            want = {w["_line"]: w for w in want if w["_line"] not in answered}
-            for line in raw.split(b"\n") if want else ():
-                tokens, general = _compared(line, strict)
-                if general and len(tokens) > DEPTH and (w := want.pop(h := line_hash(tokens), None)):
-                    answered.add(h)
-                    leaf = w["_leaf"] + (1 << 63)
-                    own = [digest(b"%d %s" % (i, t), leaf) - (1 << 63) for i, t in enumerate(tokens) if t != b"<*>"]
-                    lines += [h] * len(own)
-                    slots += own
-                    members += [w["_members"]] * len(own)
-                    if strict:
-                        beyond += [int(i >= DEPTH) for i, t in enumerate(tokens) if t != b"<*>"]
-        for lo in range(0, len(lines), 1 << 18):
-            cut = slice(lo, lo + (1 << 18))
-            columns = {"_line": lines, "_slot": slots, "_members": members} | ({"_beyond": beyond} if strict else {})
-            yield pa.RecordBatch.from_arrays([pa.array(x[cut], pa.int64()) for x in columns.values()], [*columns])
-
-
-def _rewritten(batches: Iterator[pa.RecordBatch], strict: bool = False) -> Iterator[pa.RecordBatch]:
+            texts = raw.split(b"\n")
+            for w in want:
+                tokens, _ = compared(texts[w["_no"]])
+                n = len(tokens)
+                leaf = digest(b" ".join(tokens[:DEPTH]), n)
+                own = [(i, digest(t, leaf + i & (1 << 64) - 1)) for i, t in enumerate(tokens[DEPTH:]) if t != VARIABLE]
+                fixed = n - tokens.count(VARIABLE)
+                if 100 * (fixed - 1) < CONSTANT * n or len(own) < 2:
+                    continue
+                total = leaf
+                for _, h in own:
+                    total ^= h
+                again = 100 * (fixed - 2) >= CONSTANT * n and len(own) > 2
+                for i, h in own:
+                    lines.append(w["_line"])
+                    places.append(i)
+                    wholes.append(total)
+                    flips.append(h ^ digest(b"%d" % i, leaf))
+                    agains.append(again)
+            if len(lines) >= 1 << 18:
+                yield _batch(out, {"_whole", "_flip"})
+                for c in out.values():
+                    c.clear()
+        yield _batch(out, {"_whole", "_flip"})
+
+
+def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         total, dropped, kept = [], [], []
         for raw, drop in zip(b.column("_bytes").to_pylist(), b.column("_drop").to_pylist()):
-            lines = raw.split(b"\n") if raw else []
+            count = raw.count(b"\n") + 1 if raw else 0
             if drop:
-                drop = set(drop)
-                left = [x for x in lines if len(t := _compared(x, strict)[0]) < SHORT or line_hash(t) not in drop]
-                raw = b"\n".join(left)
-            else:
-                left = lines
-            total.append(len(lines))
-            dropped.append(len(lines) - len(left))
+                gone = set(drop)
+                raw = b"\n".join([x for i, x in enumerate(raw.split(b"\n")) if i not in gone])
+            total.append(count)
+            dropped.append(len(drop or ()))
             kept.append(raw.decode())
         same = {c: b.column(c) for c in b.schema.names if c not in ("_bytes", "_drop")}
         new = [pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())]
         yield pa.RecordBatch.from_arrays([*same.values(), *new], [*same, "n_lines", "n_dropped", "kept_text"])
 
 
-def templates(docs: DataFrame, lines: DataFrame, strict: bool = False) -> DataFrame:
-    """(_line, _least, _docs): of every recurring line, the smallest rank that has its template and its documents."""
-    each = stage(lines.groupBy("_line", "_leaf", "_count").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_docs")))
-    leaves = each.where(F.col("_count") > DEPTH).groupBy("_leaf").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1")
-    wanted = stage(each.where(F.col("_count") > DEPTH).join(leaves, "_leaf"))
+def templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(_line, _least, _rows): of every line that recurs or shares a template, the smallest rank of either and its rows."""
+    each = stage(
+        lines.groupBy("_line", "_first_half", "_second_half", "_general")
+        .agg(F.min(F.struct("_rank", "_own", "_no")).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    )
+    halves = stage(each.where("_general = 1").select("_line", "_first", F.explode(F.array("_first_half", "_second_half")).alias("_half")))
+    shared = stage(halves.groupBy("_half").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    wanted = attach_spread(halves, shared, "_half", "_n").groupBy("_line").agg(F.first("_first").alias("_first"))
     # a merge join, whatever the size of the request: the plan is the same at every size
-    ask = wanted.groupBy(F.col("_first").alias("_rank")).agg(F.collect_list(F.struct("_line", "_leaf", "_members")).alias("_want"))
-    found = docs.hint("merge").join(ask, "_rank").select("_bytes", "_want")
-    spread = stage(found.mapInArrow(partial(_places, strict=strict), "_line bigint, _slot bigint, _members bigint" + ", _beyond bigint" * strict))
-    constant = (
-        spread.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"), F.max("_members").alias("_members"))
-        .where("_n > 1 and 2 * _n >= _members").select("_slot")
+    ask = wanted.groupBy("_first._rank", "_first._own").agg(F.collect_list(F.struct("_line", F.col("_first._no").alias("_no"))).alias("_want"))
+    found = docs.hint("merge").join(ask, ["_rank", "_own"]).select("_bytes", "_want")
+    # equal rows under one id answer alike, so templates count different lines, not rows
+    open_ = stage(
+        found.mapInArrow(_places, PLACES)
+        .join(each.select("_line", F.col("_first._rank").alias("_least")), "_line")
+        .withColumn("_key", F.col("_whole").bitwiseXOR(F.col("_flip"))).drop("_whole")
     )
-    shape = spread.drop("_members").join(constant, "_slot").groupBy("_line").agg(
-        F.count(F.lit(1)).alias("_fixed"), F.bit_xor("_slot").alias("_shape"), *([F.max("_beyond").alias("_beyond")] if strict else [])
+    recurring = lambda rows, of, key: (
+        rows.groupBy(key).agg(F.min(of).alias(of), F.max(of).alias("_other"), F.min("_least").alias("_least"), F.max("_place").alias("_place"), F.count(F.lit(1)).alias("_n"))
+        .where(F.col(of) != F.col("_other")).drop("_other")
     )
-    if strict:
-        shape = shape.where("_beyond = 1")
-    of = wanted.join(shape, "_line").where(F.col("_fixed") >= CONSTANT * F.col("_count"))
-    least = of.groupBy("_leaf", "_shape", "_fixed").agg(F.min("_first").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    general = of.join(least, ["_leaf", "_shape", "_fixed"]).select("_line", "_least")
+    one = stage(recurring(open_, "_line", "_key"))
+    # a second free word: one line stands for its template
+    slots = open_.where("_again = 1").select("_line", F.col("_place").alias("_second"), "_flip").distinct()
+    second = F.xxhash64(F.col("_key").bitwiseXOR(F.col("_flip")), "_second").alias("_pair")
+    twice = stage(one.join(slots, "_line").where("_place != _second").select("_key", "_place", "_least", second))
+    two = stage(recurring(twice, "_key", "_pair").select("_pair", "_least", "_n"))
+    lower = attach_spread(twice.select("_key", "_pair"), two, "_pair", "_n").groupBy("_key").agg(F.min("_least").alias("_lower"))
+    best = stage(one.join(lower, "_key", "left").select("_key", F.least("_least", "_lower").alias("_least"), "_n"))
+    general = attach_spread(open_.select("_line", "_key"), best, "_key", "_n").groupBy("_line").agg(F.min("_least").alias("_least"))
+    first = F.col("_first._rank")
     return (
         each.join(general, "_line", "left")
-        .select("_line", F.least("_first", F.coalesce("_least", "_first")).alias("_least"), "_docs", "_first")
-        .where("_docs > 1 or _least < _first").drop("_first")
+        .select("_line", F.least(first, "_least").alias("_least"), "_rows", first.alias("_own_first"))
+        .where("_rows > 1 or _least < _own_first").drop("_own_first")
     )
 
 
-def deduplicated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), strict: bool = False
-) -> DataFrame:
+def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: id, n_lines, n_dropped, kept_text, and the columns to `carry` along.
 
     Lines end at line feeds; those of fewer than SHORT tokens always stay, and so does
@@ -170,16 +202,16 @@ def deduplicated_lines(
     not read.
     """
     base = _ranked(docs, id_col, text_col, carry)
-    lines = stage(base.select("_rank", "_bytes").mapInArrow(partial(_lines, strict=strict), "_rank bigint, _line bigint, _leaf bigint, _count int"))
-    recurring = stage(templates(base.select("_rank", "_bytes"), lines, strict))
+    lines = stage(base.select("_rank", "_own", "_bytes").mapInArrow(_lines, LINES))
+    recurring = stage(templates(base.select("_rank", "_own", "_bytes"), lines))
     drop = (
-        attach_spread(lines.select("_rank", "_line"), recurring, "_line", "_docs").where("_rank > _least")
-        .groupBy("_rank").agg(F.collect_set("_line").alias("_drop"))
+        attach_spread(lines.select("_rank", "_own", "_no", "_line"), recurring, "_line", "_rows").where("_rank > _least")
+        .groupBy("_rank", "_own").agg(F.collect_set("_no").alias("_drop"))
     )
     own = ["_id", *(f"_c{i}" for i in range(len(carry)))]
     kinds = dict(base.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in own) + ", n_lines bigint, n_dropped bigint, kept_text string"
-    out = base.join(drop, "_rank", "left").select(*own, "_bytes", "_drop").mapInArrow(partial(_rewritten, strict=strict), schema)
+    out = base.join(drop, ["_rank", "_own"], "left").select(*own, "_bytes", "_drop").mapInArrow(_rewritten, schema)
     return out.select(
         F.col("_id").alias(id_col), "n_lines", "n_dropped", "kept_text", *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry))
     )
@@ -191,25 +223,35 @@ with raw as (
          unnest(range(case when text is null or text = '' then 0 else len(string_split(text, chr(10))) end)) as no
   from documents),
 tok as (
-  select doc_id, no, line, list_transform(
-    list_filter(regexp_split_to_array(line, '[ \t\x0b\x0c\r]+'), lambda t: t <> ''),
-    lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as t from raw),
-l as (select doc_id, no, line, t, array_to_string(t, ' ') as m, len(t) as n, array_to_string(t[1:5], ' ') as lead from tok),
-each as (select m, any_value(t) as t, n, lead, min(doc_id) as first_id, count(distinct doc_id) as docs from l where n >= 3 group by m, n, lead),
-leaves as (select n, lead, count(*) as members from each where n > 5 group by n, lead having count(*) > 1),
+  select doc_id, no, line, list_filter(regexp_split_to_array(line, '[ \t\x0b\x0c\r]+'), lambda t: t <> '') as w from raw),
+mask as (select *, list_transform(w, lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as t from tok),
+l as (
+  select doc_id, no, line, len(t) as n, len(list_filter(t, lambda x: x <> '<*>')) as c, t,
+         100 * len(list_filter(t, lambda x: x <> '<*>')) >= 60 * len(t) as general,
+         array_to_string(case when 100 * len(list_filter(t, lambda x: x <> '<*>')) >= 60 * len(t) then t else w end, ' ') as m
+  from mask),
+each as (select m, any_value(t) as t, n, c, general, min(doc_id) as first_id from l where n >= 3 group by m, n, c, general),
 spread as (
-  select m, n, lead, members, unnest(range(n)) as place, unnest(t) as token from each join leaves using (n, lead)),
-vary as (select * from spread where token <> '<*>'),
-const as (
-  select n, lead, place, token from vary group by n, lead, members, place, token having count(*) > 1 and 2 * count(*) >= members),
-shape as (
-  select m, n, lead, count(*) as fixed, string_agg(place || '=' || token, ' ' order by place) as shape
-  from vary join const using (n, lead, place, token) group by m, n, lead having count(*) >= 0.6 * n),
-least_of as (
-  select n, lead, shape, min(first_id) as least_id from shape join each using (m, n, lead) group by n, lead, shape having count(*) > 1),
-rule as (
-  select each.m, least(first_id, coalesce(least_id, first_id)) as least_id
-  from each left join shape using (m) left join least_of on least_of.n = shape.n and least_of.lead = shape.lead and least_of.shape = shape.shape),
+  select m, n, c, first_id, unnest(range(1, n + 1)) as place, unnest(t) as token from each where general and n > 3),
+slot as (
+  select *, hash(place || '=' || token)::hugeint as h, sum(hash(place || '=' || token)::hugeint) over (partition by m) as total,
+         sum((place > 3 and token <> '<*>')::int) over (partition by m) as beyond
+  from spread),
+opened as (
+  select m, n, c, beyond, first_id, place, h, total - h as rest from slot
+  where place > 3 and token <> '<*>' and 100 * (c - 1) >= 60 * n and beyond > 1),
+one as (select n, place, rest, min(m) as m, min(first_id) as least_id from opened group by n, place, rest having count(*) > 1),
+twice as (
+  select one.n, one.place, one.rest, one.least_id, o.place as other, one.rest - o.h as left_over
+  from one join opened o on o.m = one.m and o.place <> one.place and 100 * (o.c - 2) >= 60 * o.n and o.beyond > 2),
+two as (select n, place, other, left_over, min(least_id) as least_id from twice group by n, place, other, left_over having count(*) > 1),
+lower_ as (
+  select twice.n, twice.place, twice.rest, min(two.least_id) as least_id from twice join two using (n, place, other, left_over)
+  group by twice.n, twice.place, twice.rest),
+best as (
+  select n, place, rest, least(one.least_id, coalesce(lower_.least_id, one.least_id)) as least_id from one left join lower_ using (n, place, rest)),
+shared as (select m, min(best.least_id) as least_id from opened join best using (n, place, rest) group by m),
+rule as (select each.m, least(first_id, coalesce(least_id, first_id)) as least_id from each left join shared using (m)),
 marked as (select l.doc_id, no, line, coalesce(l.doc_id > rule.least_id, false) as gone from l left join rule on l.n >= 3 and rule.m = l.m),
 kept as (
   select doc_id, count(*) as n_lines, sum(gone::int)::bigint as n_dropped,
