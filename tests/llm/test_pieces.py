@@ -66,6 +66,20 @@ def test_samples_follow_the_law_without_replacement(encoder):
         assert abs(sum(hit) / n - p) < 0.03
 
 
+def test_values_do_not_depend_on_the_batch(encoder):
+    """Bit by bit: ids, log-probability, perturbed value and inclusion of a text alone, in a batch, in another order."""
+    rng = np.random.default_rng(5)
+    words = ["the", "cat", "aaaa", "läuft", "漢字", "x▁é", "internationalisation", "0xff", "…", "sat"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(120)] + ["", "word " * 3000]
+    keys = rng.integers(0, 1 << 63, len(texts)).astype(np.uint64)
+    bits = lambda own: [(s[0].tolist(), *(float(v).hex() for v in s[1:])) for s in own]
+    batch = [bits(x) for x in P.sample(encoder, texts, keys, 4)]
+    assert batch == [bits(P.sample(encoder, [t], keys[i : i + 1], 4)[0]) for i, t in enumerate(texts)]
+    order = rng.permutation(len(texts))
+    other = P.sample(encoder, [texts[i] for i in order], keys[order], 4)
+    assert all(bits(x) == batch[i] for x, i in zip(other, order))
+
+
 def test_rows(spark, encoder):
     long = "word▁ é😀 " * 4000
     rows = [(1, "hello world"), (2, None), (3, ""), (None, "null key"), (1, "hello world"), (4, long), (5, " "), (6, "x" * 3000), (7, "漢字" * 400)]

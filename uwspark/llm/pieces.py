@@ -178,9 +178,8 @@ class Lattice:
             mass[s] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, d)), group))
         self.log_q = np.minimum(weight + np.where(ended, 0.0, mass[target]) - mass[state], 0.0)
         self.q = np.exp(self.log_q)
-        total = np.cumsum(self.q)
-        self.upto = total - np.repeat(total[self.first] - self.q[self.first], degree)
-        self.upto[np.r_[self.first[1:], len(state)] - 1] = 2.0  # the last edge of a state takes what is left
+        self.take = self.q.copy()
+        self.take[np.r_[self.first[1:], len(state)] - 1] = 2.0  # the last edge of a state takes what is left
         self.q[np.repeat(degree, degree) == 1] = 1.0
         self.degree = degree
         self.next = np.where(ended, -1, target)
@@ -229,10 +228,12 @@ def walk(lattice: Lattice, state: np.ndarray, key: np.ndarray, unit: np.ndarray,
     while len(live):
         u = uniform(key[live], unit[live], step[live] + len(taken), salt)
         e = lattice.first[state]
-        beyond = np.flatnonzero(u >= lattice.upto[e])
+        # the shares of a state are taken off one by one: no sum runs over other states or texts
+        beyond = np.flatnonzero(u >= lattice.take[e])
         while len(beyond):
+            u[beyond] -= lattice.take[e[beyond]]
             e[beyond] += 1
-            beyond = beyond[u[beyond] >= lattice.upto[e[beyond]]]
+            beyond = beyond[u[beyond] >= lattice.take[e[beyond]]]
         taken.append((live, e))
         count[live] += 1
         state = lattice.next[e]
@@ -260,10 +261,11 @@ class Path:
 def _finish(lattice: Lattice, keys: np.ndarray, top: np.ndarray, doc, unit, step, edge, fresh, rest, salt: int) -> Path:
     """`fresh` marks decisions whose rest belongs to this path; `rest` is its mass, negative for all but the edge."""
     log_q = lattice.log_q[edge]
-    total = np.cumsum(log_q)
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    sizes = np.diff(np.r_[starts, len(doc)])
-    prefix = total - log_q - np.repeat((total - log_q)[starts], sizes)
+    prefix = np.empty(len(doc))
+    for lo, hi in zip(starts.tolist(), np.r_[starts[1:], len(doc)].tolist()):  # text by text, so that a batch changes no value
+        np.cumsum(log_q[lo:hi], out=prefix[lo:hi])
+    prefix -= log_q
     left = np.full(len(doc), -np.inf)
     rest = np.where(rest < 0, 1.0 - lattice.q[edge], rest)
     some = np.flatnonzero(fresh & (rest > 0))
