@@ -20,6 +20,8 @@ def brute(docs, items):
         for j, u in items:
             q = words(u)
             if len(q) < D.SPAN:
+                if q and any(d[k : k + len(q)] == q for k in range(len(d))):
+                    out.add((str(i), str(j), len(q), len(q)))
                 continue
             w = min(D.WINDOW, len(q))
             need = D.WINDOW - D.SUBSTITUTIONS if w == D.WINDOW else w
@@ -59,3 +61,16 @@ def test_against_brute_force(spark):
         got = {(str(r.doc_id), str(r.item_id), r.window, r.matched) for r in D.contaminated(df, bench, broadcast_seeds=limit).collect()}
         assert got == want, (sorted(got - want)[:5], sorted(want - got)[:5], limit)
     assert D.contaminated(df.limit(0), bench).count() == 0 and D.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    """Fixed expectations; null ids of many rows are one id in the report, as stated."""
+    docs = [
+        (1, "He said: To be, or not to be!"), (2, "to be or not two be"), (3, "not to be or to"), (4, None),
+        (5, "前言 天地玄黃宇宙洪荒日月盈昃辰宿列張 後記"), (6, "天地玄黃宇宙洪荒日月滿昃辰宿列張"), (7, "天地玄黃"), (8, "สวัสดีครับ"),
+    ] + [(None, "to be or not to be")] * 50
+    items = [(1, "to be or not to be"), (2, "天地玄黃宇宙洪荒日月盈昃辰宿列張"), (3, "玄黃"), (4, "สวัสดี"), (5, ""), (6, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.item_id, r.window, r.matched) for r in D.contaminated(df, bench).collect())
+    assert got == [(0, 1, 6, 6), (1, 1, 6, 6), (5, 2, 13, 13), (5, 3, 2, 2), (6, 2, 13, 12), (6, 3, 2, 2), (7, 3, 2, 2), (8, 4, 6, 6)]
