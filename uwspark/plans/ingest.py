@@ -299,6 +299,50 @@ def training_validation(spark, sf_dir):
     return monitor.reason_counts(monitor.validate_training_rows(t, "id"))
 
 
+# (column, lowest, highest, multiplier of the order key), then the label columns with theirs
+_RANGED = [
+    ("bounce_count", 0, 100, 3), ("overdraft_count", 0, 100, 5), ("negative_balance_days", 0, 366, 7), ("emi_to_credit_ratio", 0, 5, 11),
+    ("existing_debt_burden", 0, 5, 13), ("income_consistency_score", 0, 1, 17), ("credit_regularity_score", 0, 1, 19),
+    ("cash_flow_stability_score", 0, 1, 23), ("monthly_net_cash_flow", -5, 5, 29), ("credit_debit_ratio", 0, 100, 31),
+    ("average_monthly_balance", -100000000, 1000000000, 37), ("monthly_income", 0, 1000000000, 41), ("age", 18, 100, 43),
+]
+_LABELLED = [("default", 47), ("is_default", 53), ("target", 59), ("label", 61)]
+_NUMBER = "((o_orderkey * {m} + o_custkey) % 1013)"
+
+
+def _ranged(c: str, lo: int, hi: int, m: int) -> str:
+    """Values from a little under the range to a little over it, some null; the same text for both engines."""
+    n = _NUMBER.format(m=m)
+    return f"CASE WHEN o_orderkey % 97 <> 0 AND {n} <> 500 THEN CAST({lo} AS DOUBLE) + CAST({hi - lo} AS DOUBLE) * (CAST({n} - 6 AS DOUBLE) / CAST(1000 AS DOUBLE)) END AS {c}"
+
+
+def _labelled(c: str, m: int) -> str:
+    n = _NUMBER.format(m=m)
+    return f"CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN {n} < 8 THEN 'n/a' WHEN {n} < 16 THEN '2' ELSE CAST({n} % 2 AS VARCHAR(9)) END AS v_{c}"
+
+
+_TRAINING = [_ranged(*r) for r in _RANGED] + [_labelled(*r) for r in _LABELLED]
+_NAMES = [c for c, *_ in _RANGED] + [f"v_{c}" for c, _ in _LABELLED]
+
+
+@query(
+    "b12_training_ranges",
+    f"""WITH t AS (SELECT o_orderkey AS id, {", ".join(_TRAINING)} FROM orders),
+      twice AS (SELECT * FROM t UNION ALL SELECT id + 1000000000, {", ".join(_NAMES)} FROM t WHERE id % 10 = 0),
+      n AS (SELECT *, row_number() OVER (PARTITION BY {", ".join(_NAMES)} ORDER BY id) AS rn FROM twice)
+    SELECT id, CASE WHEN coalesce({", ".join(f"CAST({c} AS VARCHAR)" for c in _NAMES)}) IS NULL THEN 'empty row' WHEN rn > 1 THEN 'exact duplicate'
+      {" ".join(f"WHEN {c} < {lo} OR {c} > {hi} THEN '{c} out of range'" for c, lo, hi, _ in _RANGED)}
+      {" ".join(f"WHEN v_{c} IS NULL OR v_{c} NOT IN ('0', '1') THEN '{c} not 0/1'" for c, _ in _LABELLED)} ELSE 'accepted' END AS reason
+    FROM n""",
+)
+def training_ranges(spark, sf_dir):
+    """Every range and every label column, row by row, with repeated and empty rows."""
+    t = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", *_TRAINING)
+    t = t.withColumnsRenamed({f"v_{c}": c for c, _ in _LABELLED})
+    twice = t.unionByName(t.where("id % 10 = 0").withColumn("id", F.col("id") + 1000000000))
+    return monitor.validate_training_rows(twice, "id").select("id", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+
+
 @query(
     "b17_completeness",
     """SELECT account_id, round(avg(CASE WHEN amount IS NOT NULL AND balance IS NOT NULL AND txn_date IS NOT NULL AND narration IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS complete_rows,
