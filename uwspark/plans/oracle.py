@@ -841,12 +841,53 @@ FROM (SELECT *, round_even(0.6745 * abs(value - med) / mad2, 2) AS z FROM
    FROM x_long_{domain} l JOIN x_decl_{domain} d USING (metric) LEFT JOIN x_prof_{domain} p USING (metric)))"""
 
 
-def typology_sql(source: str, domain: str, key: str = "account_id") -> str:
-    from ..operators.patterns import TYPOLOGIES
+# Signatures of the twins, written apart from the implementation: (name, hard, match, elevated, figure shown, unit).
+SIGNATURES = {
+    "aa": [
+        ("Money in, then straight back out", True, "same_day_inout >= 1", "same_day_ratio > 0.15", "same_day_inout", "time(s)"),
+        ("Money moving in circles", True, "same_day_ratio > 0.30", "same_day_ratio > 0.15", "100 * same_day_ratio", "% of deposits left"),
+        ("One oversized deposit", True, "largest_credit_pct > 2", "largest_credit_pct > 1", "largest_credit_pct", "x one month's income"),
+        ("Cash kept just under ₹50,000", False, "structuring_credits >= 3", "structuring_credits >= 1", "structuring_credits", "cash deposit(s)"),
+        ("Same payment repeated fast", False, "rapid_dup >= 3", "rapid_dup >= 2", "rapid_dup", "repeated payment(s)"),
+        ("Many payments reversed", False, "reversal_count > 5", "reversal_count > 3", "reversal_count", "reversed payment(s)"),
+        ("Too many round-number deposits", False, "round_credits >= 4", "round_credits >= 2", "round_credits", "round deposit(s)"),
+    ],
+    "upi": [
+        ("Money received then moved straight out", True, "rapid_pass_through_count >= 3", "rapid_pass_through_count >= 1", "rapid_pass_through_count", "event(s)"),
+        ("Transfers just under a reporting threshold", True, "structuring_count >= 3", "structuring_count >= 1", "structuring_count", "transfer(s)"),
+        ("High-risk merchant spend", True, "high_risk_mcc_spend_pct > 20", "high_risk_mcc_spend_pct > 8", "high_risk_mcc_spend_pct", "% high-risk"),
+        ("One counterparty dominates P2P flow", False, "single_counterparty_dominance_pct > 85", "single_counterparty_dominance_pct > 60", "single_counterparty_dominance_pct", "% with one party"),
+        ("Sudden transaction spike", False, "sudden_spike_ratio > 6", "sudden_spike_ratio > 3", "sudden_spike_ratio", "x the daily average"),
+        ("Many failed transactions", False, "failed_ratio > 0.15", "failed_ratio > 0.08", "100 * failed_ratio", "% failed"),
+        ("Too many round-number transfers", False, "round_amount_ratio > 0.4", "round_amount_ratio > 0.25", "100 * round_amount_ratio", "% round"),
+    ],
+    "bbps": [
+        ("Duplicate bill payments", True, "duplicate_payment_count >= 2", "duplicate_payment_count >= 1", "duplicate_payment_count", "duplicate(s)"),
+        ("Same bill paid twice fast", True, "rapid_repeat_count >= 2", "rapid_repeat_count >= 1", "rapid_repeat_count", "rapid repeat(s)"),
+        ("One bill far above normal", True, "bill_spike_ratio > 4", "bill_spike_ratio > 2.5", "bill_spike_ratio", "x the average bill"),
+        ("Almost all spend on one utility", False, "single_utility_dominance_pct > 90", "single_utility_dominance_pct > 75", "single_utility_dominance_pct", "% on one utility"),
+        ("Too many round-number payments", False, "round_amount_ratio > 0.5", "round_amount_ratio > 0.3", "100 * round_amount_ratio", "% round"),
+        ("Vague / unclassified bill narrations", False, "vague_narration_ratio > 0.4", "vague_narration_ratio > 0.2", "100 * vague_narration_ratio", "% unclassified"),
+        ("Missed utility payments piling up", False, "missed_payment_count >= 4", "missed_payment_count >= 2", "missed_payment_count", "missed payment(s)"),
+    ],
+    "gst": [
+        ("Sales figures don't match", True, "gstr1_vs_gstr3b_mismatch_pct > 15", "gstr1_vs_gstr3b_mismatch_pct > 8", "gstr1_vs_gstr3b_mismatch_pct", "% gap"),
+        ("Claiming more tax credit than allowed", True, "itc_claim_ratio > 1.10", "itc_claim_ratio > 1.02", "itc_claim_ratio", "x available"),
+        ("Skipped GST filings", True, "missed_return_count >= 2", "missed_return_count >= 1", "missed_return_count", "return(s) never filed"),
+        ("Sales falling sharply", False, "turnover_decline_percentage > 40 OR consecutive_declining_quarters >= 3", "turnover_decline_percentage > 20", "turnover_decline_percentage", "% down"),
+        ("Sales jumped unrealistically", False, "turnover_growth_yoy > 200", "turnover_growth_yoy > 120", "turnover_growth_yoy", "% up in a year"),
+        ("Depends on a single customer", False, "top_buyer_sales_percentage > 70", "top_buyer_sales_percentage > 50", "top_buyer_sales_percentage", "% of sales"),
+    ],
+}
 
+
+def typology_sql(source: str, domain: str, key: str = "account_id") -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
     return " UNION ALL ".join(
-        f"SELECT {key}, {i} AS ord, '{t.name.replace(chr(39), chr(39) * 2)}' AS typology, {str(t.hard).lower()} AS hard, {t.verdict_sql()} AS verdict FROM {source}"
-        for i, t in enumerate(TYPOLOGIES[domain])
+        f"SELECT {key}, {i} AS ord, {quoted(name)} AS typology, {str(hard).lower()} AS hard, "
+        f"CASE WHEN {match} THEN 'match' WHEN {elevated} THEN 'elevated' ELSE 'none' END AS verdict, "
+        f"format('{{:,.2f}}', CAST({shown} AS DOUBLE)) || {quoted(' ' + unit)} AS evidence FROM {source}"
+        for i, (name, hard, match, elevated, shown, unit) in enumerate(SIGNATURES[domain])
     )
 
 

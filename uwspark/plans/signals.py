@@ -82,12 +82,20 @@ def compared(metrics, domain, key):
 
 ID = {"aa": "k11", "gst": "k12", "bbps": "k13", "upi": "k14"}
 
+# Limits of the twins, written apart from the implementation.
+UNUSUAL_FIGURES = {
+    "aa": "neg_points > 0 OR bounce_count > 0 OR reversal_count > 3 OR largest_credit_pct > 1 OR inflow_cv > 0.6 OR cash_deposit_ratio > 0.4",
+    "upi": "sudden_spike_ratio > 3 OR failed_ratio > 0.08 OR round_amount_ratio > 0.25 OR single_counterparty_dominance_pct > 60",
+    "bbps": "missed_payment_count >= 2 OR bill_spike_ratio > 2.5 OR single_utility_dominance_pct > 75 OR vague_narration_ratio > 0.2",
+    "gst": "late_return_count >= 2 OR consecutive_declining_quarters >= 2 OR turnover_decline_percentage > 20",
+}
+
 for _d, (_src, _key) in oracle.PATTERN_SOURCES.items():
 
-    @query(f"{ID[_d]}_{_d}_typologies", f"SELECT {_key}, typology, hard, verdict FROM x_typ_{_d}")
+    @query(f"{ID[_d]}_{_d}_typologies", f"SELECT {_key}, typology, hard, verdict, evidence FROM x_typ_{_d}")
     def typologies(spark, sf_dir, d=_d):
         m, key = metrics_of(spark, sf_dir, d)
-        return patterns.typologies(m, d, key).select(key, "typology", "hard", "verdict")
+        return patterns.typologies(m, d, key).select(key, "typology", "hard", "verdict", "evidence")
 
     @query(
         f"c07_{_d}_baseline_compare",
@@ -106,15 +114,15 @@ for _d, (_src, _key) in oracle.PATTERN_SOURCES.items():
 
     @query(
         f"d26_f04_{_d}_corpus_typologies",
-        f"""SELECT CAST(row_number() OVER (ORDER BY matched DESC, elevated DESC, ord) AS BIGINT) AS position, typology, matched, elevated, clear FROM
-          (SELECT ord, typology, CAST(count(*) FILTER (verdict = 'match') AS BIGINT) AS matched, CAST(count(*) FILTER (verdict = 'elevated') AS BIGINT) AS elevated,
+        f"""SELECT CAST(row_number() OVER (ORDER BY matched DESC, elevated DESC, ord) AS BIGINT) AS position, typology, matched, elevated, clear, worst_evidence FROM
+          (SELECT ord, typology, coalesce(arg_min(evidence, {_key}) FILTER (verdict = 'match'), arg_min(evidence, {_key}) FILTER (verdict = 'elevated'), '') AS worst_evidence, CAST(count(*) FILTER (verdict = 'match') AS BIGINT) AS matched, CAST(count(*) FILTER (verdict = 'elevated') AS BIGINT) AS elevated,
              CAST(count(*) FILTER (verdict = 'none') AS BIGINT) AS clear FROM x_typ_{_d} GROUP BY ord, typology)""",
     )
     def corpus(spark, sf_dir, d=_d):
         m, key = metrics_of(spark, sf_dir, d)
         t = patterns.corpus_typologies(patterns.typologies(m, d, key), key)
         out = patterns.ranked(t, F.col("matched").desc(), F.col("elevated").desc(), F.col("ord"))
-        return out.select("position", "typology", "matched", "elevated", "clear")
+        return out.select("position", "typology", "matched", "elevated", "clear", "worst_evidence")
 
     @query(
         f"d27_{_d}_corpus_metrics",
@@ -128,8 +136,8 @@ for _d, (_src, _key) in oracle.PATTERN_SOURCES.items():
 
     @query(
         f"l05_{_d}_pattern_labels",
-        f"""SELECT {_key}, CAST(coalesce({' OR '.join('(' + t.match + ')' for t in patterns.TYPOLOGIES[_d] if t.hard)}, false) AS INTEGER) AS fraud_label,
-          CAST(coalesce({patterns.ANOMALY_LIMITS[_d]}, false) AS INTEGER) AS anomaly_label FROM {_src}""",
+        f"""SELECT {_key}, CAST(coalesce({' OR '.join(f'({match})' for _, hard, match, *_ in oracle.SIGNATURES[_d] if hard)}, false) AS INTEGER) AS fraud_label,
+          CAST(coalesce({UNUSUAL_FIGURES[_d]}, false) AS INTEGER) AS anomaly_label FROM {_src}""",
     )
     def labels(spark, sf_dir, d=_d):
         m, key = metrics_of(spark, sf_dir, d)
