@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bank", "rules", "sources", "cleaning", "signals", "history", "ingest", "learning", "models", "folder", "portfolio", "wide", "policy"]
+MODULES = ["bank", "rules", "sources", "cleaning", "signals", "history", "ingest", "learning", "models", "folder", "portfolio", "wide", "policy", "stored"]
 
 
 def load_all() -> None:

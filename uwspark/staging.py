@@ -58,6 +58,13 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(table)
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder of this session, deleted with it; for sinks that write several tables."""
+    where, files, path = _session_dir(spark)
+    files.deleteOnExit(path)
+    return f"{where}/{uuid.uuid4().hex}"
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the staged tables of this session."""
     forget()
