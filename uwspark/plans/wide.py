@@ -87,3 +87,32 @@ def payload_vector(spark, sf_dir):
     led = prepared(spark, sf_dir)
     out = rules.payload(scores(led), features.statement_summary(led)).select("account_id", "status", "feature_vector.*")
     return out.select("account_id", "status", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in _VECTOR))
+
+
+@query(
+    "k28_business_view_flat",
+    f"""SELECT gstin, monthly_turnover, CAST(head_score AS DOUBLE) AS head_score, head_risk, metrics, label_text, round(metric_sum, 4) AS metric_sum, months, first_period, last_period, on_time, turnover
+    FROM x_gst_heads JOIN (SELECT gstin, count(*) AS months, min(period) AS first_period, max(period) AS last_period,
+        count(*) FILTER (days_late <= 0) AS on_time, round(sum(round_even(turnover, 2)), 2) AS turnover FROM x_gst_p GROUP BY gstin) USING (gstin)
+    JOIN (SELECT gstin, CAST({len(present.CURATED)} AS BIGINT) AS metrics, upper(buyer_concentration_level) || ',' || upper(gst_status) AS label_text,
+        {" + ".join(f"CAST({f} AS DOUBLE)" for f, _, k in present.CURATED if k != "text").replace("total_taxable_turnover", "monthly_turnover")} AS metric_sum FROM x_gst_profile) USING (gstin)""",
+)
+def business_view_flat(spark, sf_dir):
+    """The nested document of every business, its lists laid flat."""
+    r = returns(spark, sf_dir)
+    profile = gst.policy_heads(gst.profiles(r, AS_OF))
+    heads = profile.select("gstin", "head_score", "head_risk")
+    plain = profile.drop("head_score", "head_risk", "head_loan", "head_filing")
+    view = present.business_view(plain, heads, gst.monthly_series(gst.periods(r)))
+    total = lambda c, of: F.aggregate(F.transform(c, of), F.lit(0.0), lambda a, x: a + x)
+    return view.select(
+        "gstin", "profile.monthly_turnover", "prediction.head_score", "prediction.head_risk",
+        F.size("metrics").cast("bigint").alias("metrics"),
+        F.array_join(F.array_compact(F.transform("metrics", lambda m: m["text_value"])), ",").alias("label_text"),
+        F.round(total("metrics", lambda m: F.coalesce(m["value"], F.lit(0.0))), 4).alias("metric_sum"),
+        F.size("series").cast("bigint").alias("months"),
+        F.array_min(F.transform("series", lambda p: p["period"])).alias("first_period"),
+        F.array_max(F.transform("series", lambda p: p["period"])).alias("last_period"),
+        F.size(F.filter("series", lambda p: p["on_time"])).cast("bigint").alias("on_time"),
+        F.round(total("series", lambda p: p["turnover"]), 2).alias("turnover"),
+    )
