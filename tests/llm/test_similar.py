@@ -93,3 +93,18 @@ def test_stage_finds_pairs_at_the_limit(spark):
     assert all(jaccard(shingles(rows[i][1]), shingles(rows[i + 1][1])) == 0.8 for i in range(0, 800, 2))
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(r.doc_id for r in C.keep_one_of_each(spark, df, "").collect()) == list(range(0, 800, 2))
+
+
+def test_near_copies_meet_by_fingerprint(spark):
+    """Without any min-hash band: copies within three bits have a key in common, other texts have not."""
+    rng = random.Random(14)
+    rows = []
+    for i in range(40):
+        base = ["%x" % rng.getrandbits(40) for _ in range(800)]
+        rows += [(f"a{i}", " ".join(base)), (f"b{i}", " ".join([*base, "%x" % rng.getrandbits(40)]))]
+    prints = {n: similar.simhash.fingerprint(t) for n, t in rows}
+    df = spark.createDataFrame([(n.encode(), f - (f >> 63 << 64)) for n, f in prints.items()], "_set binary, _fp bigint")
+    keys = {bytes(r._set).decode(): r._key for r in similar.met_by_fingerprint(df).collect()}
+    close = [i for i in range(40) if bin(prints[f"a{i}"] ^ prints[f"b{i}"]).count("1") <= similar.RADIUS]
+    assert len(close) > 20 and all((keys[f"a{i}"] == keys[f"b{i}"]) == (i in close) for i in range(40))
+    assert len({keys[f"a{i}"] for i in range(40)}) == 40

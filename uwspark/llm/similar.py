@@ -1,9 +1,11 @@
-"""Near copies by Jaccard similarity: min-hash bands find candidates, the shingle sets confirm them.
+"""Near copies by SimHash fingerprints and, for what those leave, min-hash bands; the shingle sets confirm them.
 
 Two texts are near copies when their sets of word shingles (64-bit hashes) have a
-Jaccard similarity of 0.8 or more.  BANDS keys of ROWS minima each find candidates:
-a pair at 0.8 meets in no band in 3 of a million cases, at every length of text,
-and less often above.  No candidate is linked before its sets are compared.
+Jaccard similarity of 0.8 or more.  Texts whose fingerprints are connected by the links
+of `simhash.near_links` meet; it misses no pair within its radius.  Copies further apart
+than that meet in one of BANDS keys of ROWS minima each: a pair at 0.8 meets in no band
+in 3 of a million cases, at every length of text, and less often above.  No candidate is
+linked before its sets are compared.
 
 Equal sets are one member.  A large group is not compared pair by pair: each member
 is first compared with the most central member it meets, the one with the most
@@ -25,11 +27,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from uwspark.staging import stage
 
+from . import simhash
 from .common import whole
 from .components import components
 
 SEED = 42
 BANDS, ROWS = 32, 5
+#: Differing bits of fingerprints that meet; `op1_simhash` links at the same.
+RADIUS = 3
 LANES = 512
 _RNG = np.random.default_rng(SEED)
 _ODD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,16 +68,18 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 def _sketches(words: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, sets, keys, ends = [], [], [np.zeros(0, np.uint64)], [0]
+            texts, sets, prints, keys, ends = [], [], [], [np.zeros(0, np.uint64)], [0]
             for t in b.column("_text").to_pylist():
                 own = shingles(t, words)
                 texts.append(hashlib.md5(t.encode()).digest())
                 sets.append(xxhash.xxh3_128_digest(own.tobytes()))
+                prints.append(simhash.fingerprint(t))
                 keys.append(band_keys(own))
                 ends.append(ends[-1] + len(keys[-1]))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), pa.array(texts, pa.binary()), pa.array(sets, pa.binary()), lists], ["_id", "_digest", "_set", "_keys"]
+                [b.column("_id"), pa.array(texts, pa.binary()), pa.array(sets, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists],
+                ["_id", "_digest", "_set", "_fp", "_keys"],
             )
 
     return of
@@ -87,6 +94,13 @@ def _sets(words: int):
     return of
 
 
+def met_by_fingerprint(prints: DataFrame) -> DataFrame:
+    """(_set, _key): sets whose fingerprints (_set, _fp) are connected by links within the radius have a key in common."""
+    forest = components(simhash.near_links(prints.select("_fp").distinct(), RADIUS))
+    rooted = prints.join(forest, prints["_fp"] == forest["u"], "left")
+    return rooted.select("_set", F.xxhash64(F.coalesce("v", "_fp")).alias("_key")).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets have a similarity of 0.8 or more, in whole numbers."""
     a, b = (sets.select(F.col("_set").alias(n), F.col("_shingles").alias(f"_{n}")) for n in "uv")
@@ -183,11 +197,12 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     base = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
     kind = dict(base.dtypes)["_id"]
-    rows = base.mapInArrow(_sketches(words), f"_id {kind}, _digest binary, _set binary, _keys array<bigint>")
-    texts = rows.groupBy("_id", "_digest", "_set").agg(F.count(F.lit(1)).alias("_n"), F.first("_keys").alias("_keys"))
+    rows = base.mapInArrow(_sketches(words), f"_id {kind}, _digest binary, _set binary, _fp bigint, _keys array<bigint>")
+    texts = stage(rows.groupBy("_id", "_digest", "_set", "_fp").agg(F.count(F.lit(1)).alias("_n"), F.first("_keys").alias("_keys")))
     least = F.min(F.struct(F.col("_id").isNull().alias("_last"), "_id", "_digest", "_n")).alias("_least")
     nodes = stage(texts.groupBy("_set").agg(least, F.first("_keys").alias("_keys")))
-    members = nodes.select("_set", F.explode("_keys").alias("_key"))
+    prints = stage(texts.select("_set", "_fp").distinct())
+    members = met_by_fingerprint(prints).unionByName(nodes.select("_set", F.explode("_keys").alias("_key")))
     shared = members.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     meet = stage(members.join(shared, "_key"))
     wanted = nodes.join(meet.select("_set").distinct(), "_set").select("_set", F.col("_least._id").alias("_who"), F.col("_least._digest").alias("_what"))
