@@ -135,7 +135,8 @@ def return_files(spark, sf_dir) -> DataFrame:
     names = list(RETURN_HEAD.values())
     # a printed number keeps all its digits
     line = F.struct(*[F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names])
-    files = r.groupBy("k").agg(F.sort_array(F.collect_list(line)).alias("all"))
+    # the returns move as numbers and are printed where their file is made
+    files = r.repartition("k").groupBy("k").agg(F.sort_array(F.collect_list(line)).alias("all"))
     return _binary(files, *_file(F.col("k"), F.col("k") % 6, list(RETURN_HEAD), names, F.col("all"), "returns"))
 
 
