@@ -1,8 +1,10 @@
-"""Detail texts of rules on small context rows."""
+"""Detail texts of rules on small context rows; tags of narrations."""
 
-from uwspark.functions import figures, rulebook
+from pyspark.sql import functions as F
+
+from uwspark.functions import columns, figures, fixed, rulebook
 from uwspark.functions.rulebook import Rule
-from uwspark.operators import rules
+from uwspark.operators import ledger, rules
 
 
 def test_details_print_measured_figures(spark):
@@ -42,3 +44,27 @@ def test_every_rule_with_a_limit_prints_a_figure():
         for r in rules_of:
             if r.computable and r.fail != "no":
                 assert figures.shown(r)[1], r.id
+
+
+def test_tags_are_those_of_their_patterns(spark):
+    texts = [
+        None, "", "ECS RETURN 12", "ecs  ret", "Dishonoured cheque", "insufficient Funds", "ATM", "batman", "cash\twithdrawal", "CASH WD", "cash deposit",
+        "car loan", "instament", "InstalMent 3", "standing instr", "auto debit", "x si y", "single", "repay", "GSTPMT", "gstin 1", "goods and  services tax",
+        "Self assessment tax", "taxi", "itns 280", "sal-cr", "sal cr", "Sale", "wages", "payrolls", "rent", "parent", "lease payment", "water bill", "water", "mobilebill",
+        "DTH", "bbps", "pay@ybl", "UPI/1", "cupid", "charge back", "txn  reversed", "reversals", "ſalary", "Iſ si", "taxİ RENT", "ﬁ nach", "straße emi",
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq long, narration string")
+    whole = rows.select("seq", *[F.expr(f"narration rlike {columns.sql_text(p)}").alias(n) for n, p in fixed.TAG_PATTERNS.items()])
+    tags = list(fixed.TAG_PATTERNS)
+    want = whole.orderBy("seq").collect()
+    assert ledger.tagged(rows).select("seq", *tags).orderBy("seq").collect() == want
+    assert rows.select("seq", *[c.alias(n) for n, c in columns.narration_tags().items()]).orderBy("seq").collect() == want
+    for tag in tags:
+        assert any(r[tag] for r in want), tag
+
+
+def test_a_pattern_is_tried_only_on_texts_with_one_of_its_words(spark):
+    # capitals without a word: no pattern may be asked, so none answers
+    rows = spark.createDataFrame([("ATM RENT UPI GST EMI TDS SALARY DTH RETURN REVERSAL", "")], "narration string, capitals string")
+    got = rows.select(*[c.alias(n) for n, c in columns.narration_tags("narration", "capitals").items()]).first()
+    assert set(got) == {False}
