@@ -95,3 +95,19 @@ def test_rows(spark, encoder):
     other = {(r.doc_id, r.sample): r.ids for r in P.encoded(df.repartition(5), samples=3).collect()}
     assert all(other[r.doc_id, r.sample] == r.ids for r in got)
     assert P.encoded(df.limit(0)).count() == 0
+
+
+def test_rows_do_not_depend_on_the_characters_walked_together(spark):
+    texts = ["alpha beta gamma", None, "", "delta " * 40, "épsilon 字 zeta", "eta", "alpha beta gamma", " "]
+    docs = spark.createDataFrame([(i if i != 5 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = lambda **how: sorted(map(str, P.encoded(docs, **how).collect()))
+    want = rows()
+    assert len(want) >= len(texts)
+    for chars in (1, 20, 300):
+        assert rows(batch_chars=chars) == want
+        assert rows(batch_chars=chars, digest=True) == rows(digest=True)
+
+
+def test_texts_are_cut_at_the_wanted_characters():
+    assert [*P._cuts([3, 0, 4, 9, 1], 5)] == [(0, 3), (3, 4), (4, 5)]
+    assert [*P._cuts([0, 0], 5)] == [(0, 2)] and not [*P._cuts([], 5)]

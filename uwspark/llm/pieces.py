@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -406,6 +407,16 @@ def _ids(encoder: Encoder, kind: np.ndarray, stops: np.ndarray) -> tuple[np.ndar
     return ids, np.cumsum(size)[stops - 1]
 
 
+def _cuts(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows that have `limit` characters together, or what is left."""
+    lo = size = 0
+    for hi, n in enumerate(sizes, 1):
+        size += n
+        if size >= limit or hi == len(sizes):
+            yield lo, hi
+            lo, size = hi, 0
+
+
 def encoded(
     docs: DataFrame,
     samples: int = SAMPLES,
@@ -414,6 +425,7 @@ def encoded(
     text_col: str = "text",
     model: str = MODEL,
     digest: bool = False,
+    batch_chars: int = BATCH_CHARS,
 ) -> DataFrame:
     """One row per input row and sample: id, sample (from 0, by perturbed value), n_pieces, log_prob, perturbed, inclusion,
     exact (decoding gives the text back), and ids or, with `digest`, ids_sha256 (of 32-bit little-endian ids).
@@ -421,7 +433,9 @@ def encoded(
     A text with fewer segmentations than `samples` has one row for each.  A null text is
     an empty one; it has one segmentation without pieces.  The row key is the id, so rows
     repeated with one id and text are sampled alike; a null id is a key of its own.  An
-    empty table gives an empty result.  Other columns are not read.
+    empty table gives an empty result.  Other columns are not read.  Texts are walked together
+    until they have `batch_chars` characters: fewer take less memory in a task and more time,
+    and give the same rows.
     """
     vocabulary = Vocabulary.load(model)  # of fixed size; travels with the task
     kind = dict(docs.dtypes)[id_col]
@@ -431,16 +445,12 @@ def encoded(
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         for b in batches:
-            texts = b.column("_text").to_pylist()
             keys = np.array([xxhash.xxh64_intdigest("" if k is None else "k" + k, seed) for k in b.column("_key").to_pylist()], np.uint64)
-            lo = size = 0
-            for hi, text in enumerate(texts, 1):
-                size += len(text)
-                if size < BATCH_CHARS and hi < len(texts):
-                    continue
-                found = sample(encoder, texts[lo:hi], keys[lo:hi], samples)
-                flat = [(lo + i, k, *s) for i, own in enumerate(found) for k, s in enumerate(own)]
-                raw = {i: (" " + texts[i]).encode() if texts[i] else b"" for i in range(lo, hi)}  # with the leading space
+            for lo, hi in _cuts(pc.utf8_length(b.column("_text")).to_pylist(), batch_chars):
+                texts = b.column("_text").slice(lo, hi - lo).to_pylist()
+                found = sample(encoder, texts, keys[lo:hi], samples)
+                flat = [(i, k, *s) for i, own in enumerate(found) for k, s in enumerate(own)]
+                raw = [(" " + t).encode() if t else b"" for t in texts]  # with the leading space
                 row, number, ids, log_p, perturbed, inclusion = zip(*flat)
                 if digest:
                     values = pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string())
@@ -456,8 +466,7 @@ def encoded(
                     "exact": pa.array([encoder.decoded_bytes(x.tolist()) == raw[i] for i, x in zip(row, ids)], pa.bool_()),
                     name: values,
                 }
-                yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(row)), *columns.values()], ["_id", *columns])
-                lo, size = hi, 0
+                yield pa.RecordBatch.from_arrays([b.column("_id").slice(lo, hi - lo).take(pa.array(row)), *columns.values()], ["_id", *columns])
 
     schema = f"_id {kind}, sample int, n_pieces bigint, log_prob double, perturbed double, inclusion double, exact boolean, " + (
         "ids_sha256 string" if digest else "ids array<int>"
