@@ -80,6 +80,44 @@ def test_values_do_not_depend_on_the_batch(encoder):
     assert all(bits(x) == batch[i] for x, i in zip(other, order))
 
 
+class Counted:
+    """An array that counts the elements looked up in it."""
+
+    def __init__(self, values):
+        self.values, self.looked_up = values, 0
+
+    def __getitem__(self, at):
+        self.looked_up += len(at)
+        return self.values[at]
+
+
+def test_a_character_is_looked_up_only_while_a_piece_may_begin_like_this(encoder, monkeypatch):
+    """Work per character is that of the pieces there, not of the longest piece of the vocabulary."""
+    units = [" " + "qzxj" * 2000, " internationalisation", "  ", " é漢😀"]
+    want = P.Lattice(encoder, units)
+    counted = Counted(encoder.bucket)
+    monkeypatch.setattr(encoder, "bucket", counted)
+    got = P.Lattice(encoder, units)
+    assert counted.looked_up < 8 * sum(map(len, units)) < 2 * encoder.longest * sum(map(len, units))
+    assert (got.kind == want.kind).all() and (got.q == want.q).all()
+
+
+def test_beginnings_of_all_pieces_are_open(encoder):
+    """No piece is lost: every one is an edge over its own characters."""
+    vocabulary = P.Vocabulary.load()
+    usable = [(i, p) for i, (p, r) in enumerate(zip(vocabulary.pieces, vocabulary.ranks)) if r >= 0]
+    lattice = P.Lattice(encoder, [p.replace("▁", " ") for _, p in usable])
+    first = lattice.first[lattice.start]
+    assert [i for i, _ in usable] == lattice.kind[first].tolist() and (lattice.next[first] == len(lattice.first)).all()
+
+
+def test_decoded_bytes_are_compared_run_by_run(encoder):
+    ids = np.array([encoder.first_byte + b for b in "é😀".encode()], np.int32)
+    assert encoder.decodes(ids, np.array([0, 2, 2, 6]), [b"", "é".encode(), b"", "😀".encode()]) == [True] * 4
+    assert encoder.decodes(ids, np.array([1, 6]), ["é".encode(), "😀".encode()]) == [False, False]
+    assert encoder.decodes(P.NO_IDS, np.array([0, 0]), [b"", b"x"]) == [True, False]
+
+
 def test_rows(spark, encoder):
     long = "word▁ é😀 " * 4000
     rows = [(1, "hello world"), (2, None), (3, ""), (None, "null key"), (1, "hello world"), (4, long), (5, " "), (6, "x" * 3000), (7, "漢字" * 400)]

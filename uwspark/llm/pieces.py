@@ -28,6 +28,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,19 +68,11 @@ class Vocabulary:
         return Vocabulary(tuple(p.id_to_piece(i) for i in range(n)), tuple(rank(i) for i in range(n)), p.piece_to_id("<0x00>"))
 
 
-class Numbered(dict):
-    """Numbers its keys in the order they are first asked for."""
-
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        return n
-
-
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, power: float = POWER):
         usable = [(i, p) for i, (p, r) in enumerate(zip(vocabulary.pieces, vocabulary.ranks)) if r >= 0]
         self.longest = max(len(p) for _, p in usable)
-        hashes = np.array([self._string_hash(p) for _, p in usable], np.uint64)
+        hashes, begun = self._string_hashes([p for _, p in usable])
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.ids = np.array([i for i, _ in usable], np.int32)[order]
@@ -87,21 +80,32 @@ class Encoder:
         self.weights = -power * np.log(weight + RANK_SHIFT)
         self.byte_weight = -power * np.log(len(vocabulary.pieces) + RANK_SHIFT)
         self.first_byte = vocabulary.first_byte
-        # hashes by their first 18 bits, at most `crowd` of them together
-        self.bucket = np.searchsorted(self.hashes, np.arange((1 << 18) + 1, dtype=np.float64) * 2.0**46).astype(np.int32)
+        # hashes by their first 20 bits, at most `crowd` of them together
+        self.bucket = np.searchsorted(self.hashes >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
         self.crowd = int(np.diff(self.bucket).max())
         self.hashes = np.r_[self.hashes, np.zeros(self.crowd, np.uint64)]
-        self.powers = np.cumprod(np.r_[np.uint64(1), np.full(self.longest, MULTIPLIER)], dtype=np.uint64)
+        # where a longer piece may begin like this: the first bits of the hashes of all beginnings
+        self.open = np.zeros(1 << 20, bool)
+        self.open[(begun >> np.uint64(44)).astype(np.int64)] = True
         self.bytes_of = [p.replace("▁", " ").encode() for p in vocabulary.pieces]
         for b in range(256):
             self.bytes_of[self.first_byte + b] = bytes([b])
+        self.byte_strings = pa.array(self.bytes_of, pa.large_binary())
 
     @staticmethod
-    def _string_hash(piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = h * int(MULTIPLIER) + ord(c) + 1
-        return h * int(SPREAD) & (1 << 64) - 1
+    def _string_hashes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of pieces, and of their beginnings of one character and more."""
+        sizes = np.array([len(p) for p in pieces])
+        chars = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        start = np.cumsum(sizes) - sizes
+        whole, begun, h, live = np.empty(len(pieces), np.uint64), [], np.zeros(len(pieces), np.uint64), np.arange(len(pieces))
+        for k in range(int(sizes.max())):
+            h = h * MULTIPLIER + chars[start[live] + k]
+            last = sizes[live] == k + 1
+            whole[live[last]] = h[last] * SPREAD
+            live, h = live[~last], h[~last]
+            begun.append(h * SPREAD)
+        return whole, np.concatenate(begun)
 
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids; the space that encoding puts before it is taken away."""
@@ -111,88 +115,101 @@ class Encoder:
     def decoded_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decodes(self, ids: np.ndarray, ends: np.ndarray, raw: list[bytes]) -> list[bool]:
+        """Whether the runs of ids that stop at `ends` have the bytes `raw`."""
+        if not len(ids):
+            return [not x for x in raw]
+        _, offsets, data = self.byte_strings.take(pa.array(ids)).buffers()
+        cuts, view = np.frombuffer(offsets, np.int64)[np.r_[0, ends]].tolist(), memoryview(data)
+        return [bytes(view[lo:hi]) == x for lo, hi, x in zip(cuts, cuts[1:], raw)]
+
 
 class Lattice:
-    """Edges over the characters of different units, state by state, longest piece first."""
+    """Edges over the characters of different units, state by state, longest piece first.
+
+    States are numbered by the characters left in their unit: those with one come first, and
+    every edge leads to a smaller number or, at the end of its unit, to the number of states.
+    """
 
     def __init__(self, encoder: Encoder, units: list[str]):
         chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).copy()
         chars[chars == SPACE] = LITERAL
         chars[chars == 32] = SPACE
-        sizes = np.array([len(u) for u in units])
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
         ends = np.cumsum(sizes)
-        self.start = ends - sizes
         n = len(chars)
         left = np.repeat(ends, sizes) - np.arange(n)  # characters from here to the end of the unit
-        prefix = np.zeros(n + 1, np.uint64)
-        self._prefix(chars, prefix)
-        states, lengths, kinds, weights = [], [], [], []
-        here = np.arange(n)
-        for size in range(1, min(encoder.longest, int(left.max())) + 1):
-            here = here[left[here] >= size] if size > 1 else here
-            at = here
-            h = (prefix[at + size] - prefix[at] * encoder.powers[size]) * SPREAD
-            slot = (h >> np.uint64(46)).astype(np.int64)
+        place = np.argsort(left.astype(np.min_scalar_type(int(left.max()))), kind="stable")  # where a state's character is
+        cut = np.cumsum(np.bincount(left))  # states with so many characters left, or fewer
+        state_at = np.empty(n + 1, np.int64)
+        state_at[place] = np.arange(n)
+        state_at[n] = n
+        self.start = state_at[ends - sizes]
+        code = chars + np.uint64(1)
+        pieces = []  # (states, targets, places in the vocabulary) by length
+        here, at, sums = np.arange(n), place, np.zeros(n, np.uint64)  # where a piece of this length may begin
+        for size in range(1, encoder.longest + 1):
+            sums = sums * MULTIPLIER + code[at + (size - 1)]
+            h = sums * SPREAD
+            slot = (h >> np.uint64(44)).astype(np.int64)
             found = encoder.bucket[slot]
             some = np.flatnonzero(found < encoder.bucket[slot + 1])
-            at, h, found = at[some], h[some], found[some]
+            own, found = h[some], found[some]
             for _ in range(encoder.crowd - 1):
-                other = np.flatnonzero(encoder.hashes[found] != h)
+                other = np.flatnonzero(encoder.hashes[found] != own)
                 if not len(other):
                     break
-                found[other] += encoder.hashes[found[other]] < h[other]
-            hit = encoder.hashes[found] == h
-            at, found = at[hit], found[hit]
-            states.append(at)
-            lengths.append(np.full(len(at), size))
-            kinds.append(encoder.ids[found])
-            weights.append(encoder.weights[found])
+                found[other] += encoder.hashes[found[other]] < own[other]
+            hit = encoder.hashes[found] == own
+            some = some[hit]
+            state, target = here[some], state_at[at[some] + size]
+            target[: np.searchsorted(state, cut[size])] = n
+            pieces.append((state, target, found[hit]))
+            more = encoder.open[slot]
+            more[: np.searchsorted(here, cut[size])] = False
+            more = np.flatnonzero(more)
+            here, at, sums = here[more], at[more], sums[more]
+            if not len(here):
+                break
         none = np.ones(n, bool)
-        none[states[0]] = False
-        for found in (states, lengths, kinds, weights):
-            found.reverse()  # longest first
-        at = np.flatnonzero(none)  # characters without a piece: their bytes
-        code = np.where(chars[at] == LITERAL, SPACE, chars[at]).astype(np.int64)
-        states.append(at)
-        lengths.append(np.ones(len(at), np.int64))
-        kinds.append((-1 - code).astype(np.int32))
-        weights.append(encoder.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)))
-        state, length, kind, weight = (np.concatenate(x) for x in (states, lengths, kinds, weights))
-        order = np.argsort(state, kind="stable")
-        state, length, self.kind, weight = state[order], length[order], kind[order], weight[order]
-        self.first = np.searchsorted(state, np.arange(n))
-        degree = np.diff(np.r_[self.first, len(state)])
-        target = state + length
-        ended = length == left[state]
+        none[pieces[0][0]] = False
+        degree = none.astype(np.int64)
+        for state, _, _ in pieces:
+            degree[state] += 1
+        stop = np.cumsum(degree)
+        self.first, self.degree = stop - degree, degree
+        n_edges = int(stop[-1])
+        self.kind, self.log_q, self.next = np.empty(n_edges, np.int32), np.empty(n_edges), np.empty(n_edges, np.int64)
+        free = self.first.copy()
+        for state, target, found in reversed(pieces):  # longest first
+            e = free[state]
+            free[state] += 1
+            self.kind[e] = encoder.ids[found]
+            self.log_q[e] = encoder.weights[found]
+            self.next[e] = target
+        state = np.flatnonzero(none)  # characters without a piece: their bytes
+        own = chars[place[state]].astype(np.int64)
+        own[own == LITERAL] = SPACE
+        e = free[state]
+        self.kind[e] = -1 - own
+        self.log_q[e] = encoder.byte_weight * (1 + (own > 0x7F) + (own > 0x7FF) + (own > 0xFFFF))
+        self.next[e] = np.where(state < cut[1], n, state_at[place[state] + 1])
         mass = np.zeros(n + 1)  # log of the summed weights of all paths from a state to the end of its unit
-        by_left = np.argsort(left, kind="stable")
-        cut = np.searchsorted(left[by_left], np.arange(1, int(left.max()) + 2))
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            s = by_left[lo:hi]
-            if not len(s):
-                continue
-            d = degree[s]
-            group = np.cumsum(d) - d
-            e = np.arange(int(d.sum())) + np.repeat(self.first[s] - group, d)
-            x = weight[e] + np.where(ended[e], 0.0, mass[target[e]])
+        edge_cut = np.r_[0, stop][cut].tolist()
+        cut = cut.tolist()
+        for lo, hi, a, b in zip(cut, cut[1:], edge_cut, edge_cut[1:]):
+            x, own = self.log_q[a:b], degree[lo:hi]
+            group = self.first[lo:hi] - a
+            x += mass[self.next[a:b]]
             top = np.maximum.reduceat(x, group)
-            mass[s] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, d)), group))
-        self.log_q = np.minimum(weight + np.where(ended, 0.0, mass[target]) - mass[state], 0.0)
+            top += np.log(np.add.reduceat(np.exp(x - np.repeat(top, own)), group))
+            mass[lo:hi] = top
+            x -= np.repeat(top, own)
+        np.minimum(self.log_q, 0.0, out=self.log_q)
         self.q = np.exp(self.log_q)
         self.take = self.q.copy()
-        self.take[np.r_[self.first[1:], len(state)] - 1] = 2.0  # the last edge of a state takes what is left
-        self.q[np.repeat(degree, degree) == 1] = 1.0
-        self.degree = degree
-        self.next = np.where(ended, -1, target)
-
-    @staticmethod
-    def _prefix(chars: np.ndarray, out: np.ndarray) -> None:
-        """Polynomial prefix hashes modulo 2^64, as a sum over powers of the inverse of the multiplier."""
-        inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
-        n = len(chars)
-        down = np.cumprod(np.full(n, inverse), dtype=np.uint64)
-        up = np.cumprod(np.full(n, MULTIPLIER), dtype=np.uint64)
-        out[1:] = np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * down, dtype=np.uint64) * up
+        self.take[stop - 1] = 2.0  # the last edge of a state takes what is left
+        self.q[self.first[degree == 1]] = 1.0
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -204,13 +221,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def uniform(key: np.ndarray, unit: np.ndarray, step: np.ndarray, salt: int) -> np.ndarray:
-    """Numbers in (0, 1), one per (key, unit, step, salt)."""
-    x = key + unit.astype(np.uint64) * MULTIPLIER + step.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+def counter(key: np.ndarray, unit: np.ndarray, step: np.ndarray, salt: int) -> np.ndarray:
+    """A number per (key, unit, step, salt); the next step is SPREAD further."""
+    x = key + unit.astype(np.uint64) * MULTIPLIER
+    x += step.astype(np.uint64) * SPREAD
     x += np.uint64(salt * 0x8CB92BA72F3D8DD7 & (1 << 64) - 1)
+    return x
+
+
+def fraction(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) of counters."""
     return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def uniform(key: np.ndarray, unit: np.ndarray, step: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers in (0, 1), one per (key, unit, step, salt)."""
+    return fraction(counter(key, unit, step, salt))
+
+
 def gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(u))
 
@@ -226,8 +254,9 @@ def walk(lattice: Lattice, state: np.ndarray, key: np.ndarray, unit: np.ndarray,
     n = len(state)
     live, taken = np.arange(n), []
     count = np.zeros(n, np.int64)
+    x = counter(key, unit, step, salt)
     while len(live):
-        u = uniform(key[live], unit[live], step[live] + len(taken), salt)
+        u = fraction(x)
         e = lattice.first[state]
         # the shares of a state are taken off one by one: no sum runs over other states or texts
         beyond = np.flatnonzero(u >= lattice.take[e])
@@ -238,8 +267,8 @@ def walk(lattice: Lattice, state: np.ndarray, key: np.ndarray, unit: np.ndarray,
         taken.append((live, e))
         count[live] += 1
         state = lattice.next[e]
-        on = state >= 0
-        live, state = live[on], state[on]
+        on = state < len(lattice.first)
+        live, state, x = live[on], state[on], x[on] + SPREAD
     at = np.cumsum(count) - count
     edges = np.empty(int(count.sum()), np.int64)
     for depth, (who, e) in enumerate(taken):
@@ -271,8 +300,9 @@ def _finish(lattice: Lattice, keys: np.ndarray, top: np.ndarray, doc, unit, step
     rest = np.where(rest < 0, 1.0 - lattice.q[edge], rest)
     some = np.flatnonzero(fresh & (rest > 0))
     if len(some):
-        g = prefix[some] + np.log(rest[some]) + gumbel(uniform(keys[doc[some]], unit[some], step[some], salt + 1))
-        left[some] = truncated(g, top[doc[some]])
+        own = doc[some]
+        g = prefix[some] + np.log(rest[some]) + gumbel(uniform(keys[own], unit[some], step[some], salt + 1))
+        left[some] = truncated(g, top[own])
     return Path(doc, unit, step, edge, left, prefix)
 
 
@@ -291,18 +321,15 @@ def _segment_best(path: Path, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sample(encoder: Encoder, texts: list[str], keys: np.ndarray, samples: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Of every text, distinct segmentations in the order of their perturbed values: (ids, log-probability, perturbed, inclusion)."""
-    index = Numbered()
-    words, per_doc = [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        if text:
-            units = UNIT.findall(" " + text)
-            per_doc[i] = len(units)
-            words.append(np.fromiter(map(index.__getitem__, units), np.int64, len(units)))
+    units = [UNIT.findall(" " + text) if text else [] for text in texts]
+    per_doc = np.array([len(u) for u in units], np.int64)
     n = len(texts)
-    if not words:
+    if not per_doc.any():
         return [[(NO_IDS, 0.0, 0.0, 1.0)] for _ in texts]
+    index = {u: i for i, u in enumerate(dict.fromkeys(chain.from_iterable(units)))}
     lattice = Lattice(encoder, list(index))
-    word = np.concatenate(words)
+    word = np.fromiter(map(index.__getitem__, chain.from_iterable(units)), np.int64, int(per_doc.sum()))
+    del units, index
     doc = np.repeat(np.arange(n), per_doc)
     base = np.cumsum(per_doc) - per_doc
     unit = np.arange(len(word)) - base[doc]
@@ -346,7 +373,7 @@ def sample(encoder: Encoder, texts: list[str], keys: np.ndarray, samples: int) -
             u = int(p.unit[at])
             later = np.arange(base[d] + u + 1, base[d] + per_doc[d])
             state, step_, units = start[later], np.zeros(len(later), np.int64), unit[later]
-            if lattice.next[new] >= 0:
+            if lattice.next[new] < len(lattice.first):
                 state, step_, units = (
                     np.concatenate(x) for x in (([lattice.next[new]], state), ([p.step[at] + 1], step_), ([u], units))
                 )
@@ -395,16 +422,16 @@ def sample(encoder: Encoder, texts: list[str], keys: np.ndarray, samples: int) -
 
 def _ids(encoder: Encoder, kind: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids with bytes spelled out, and where every text ends in them."""
-    if not (kind < 0).any():
+    spelt = np.flatnonzero(kind < 0)
+    if not len(spelt):
         return kind, stops
-    code = np.where(kind < 0, -1 - kind.astype(np.int64), 0)
-    size = np.where(kind < 0, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF), 1)
+    code = -1 - kind[spelt].astype(np.int64)
+    size = np.ones(len(kind), np.int64)
+    size[spelt] = own = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
     ids = np.repeat(kind, size)
-    at = np.cumsum(size) - size
-    for i in np.flatnonzero(kind < 0).tolist():
-        raw = chr(code[i]).encode()
-        ids[at[i] : at[i] + len(raw)] = np.frombuffer(raw, np.uint8) + encoder.first_byte
-    return ids, np.cumsum(size)[stops - 1]
+    raw = np.frombuffer("".join(map(chr, code.tolist())).encode(), np.uint8)
+    ids[np.arange(len(raw)) + np.repeat(spelt - np.arange(len(spelt)), own)] = raw.astype(np.int32) + encoder.first_byte
+    return ids, stops + np.r_[0, np.cumsum(own - 1)][np.searchsorted(spelt, stops)]
 
 
 def _cuts(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
@@ -452,18 +479,18 @@ def encoded(
                 flat = [(i, k, *s) for i, own in enumerate(found) for k, s in enumerate(own)]
                 raw = [(" " + t).encode() if t else b"" for t in texts]  # with the leading space
                 row, number, ids, log_p, perturbed, inclusion = zip(*flat)
+                flat_ids, ends = np.concatenate(ids), np.cumsum([*map(len, ids)])
                 if digest:
                     values = pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string())
                 else:
-                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+                    values = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat_ids.astype(np.int32)))
                 columns = {
                     "sample": pa.array(number, pa.int32()),
                     "n_pieces": pa.array([len(x) for x in ids], pa.int64()),
                     "log_prob": pa.array(log_p, pa.float64()),
                     "perturbed": pa.array(perturbed, pa.float64()),
                     "inclusion": pa.array(inclusion, pa.float64()),
-                    "exact": pa.array([encoder.decoded_bytes(x.tolist()) == raw[i] for i, x in zip(row, ids)], pa.bool_()),
+                    "exact": pa.array(encoder.decodes(flat_ids, ends, [raw[i] for i in row]), pa.bool_()),
                     name: values,
                 }
                 yield pa.RecordBatch.from_arrays([b.column("_id").slice(lo, hi - lo).take(pa.array(row)), *columns.values()], ["_id", *columns])
