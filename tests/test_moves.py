@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from uwspark.operators import context, gst, scale
+from uwspark.operators import context, gst, scale, scoring
 from uwspark.sources import adapters
 
 
@@ -83,3 +83,36 @@ def test_profiles_move_the_returns_once(spark):
         assert bare.where(F.coalesce("legal_name", "trade_name").isNull()).count() == 4
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_flagged_rows_of_a_month_are_counted_where_it_lies(spark):
+    rnd = random.Random(7)
+    nan = float("nan")
+    rows = []
+    for a in range(4):
+        for i in range(400):
+            month = f"m{i // 40}"
+            amount = rnd.choice([9000.0 * rnd.randrange(1, 9), 40000.0, 2.5e6 * rnd.random(), 30000.0, None, -5.0, nan if a == 3 else 7e5])
+            # the months of accounts 2 and 3 cross blocks of 64 rows; those of 0 and 1 lie in one
+            blk = i // 40 if a < 2 else i // 64
+            word = rnd.choice(["RENT FLAT", "ACME GOODS", "12", "Opening Balance", None])
+            sig = None if word is None else word if word.isalpha() or " " in word else ""
+            rows.append((a, month, i, blk, dt.date(2024, 1, 1), word, rnd.choice(["DEBIT", "DEBIT", "CREDIT", None, "OTHER"]), amount, rnd.random() < 0.05, sig, 1000.0 * rnd.randrange(-1, 30)))
+    rows += [(5, "m0", i, 0, dt.date(2024, 1, 1), "RENT FLAT", "DEBIT", 1e6, False, "RENT FLAT", -1.0) for i in range(7)]  # too few to judge
+    rows += [(6, "m0", i, 0, dt.date(2024, 1, 1), f"X{i}", "DEBIT", 5e6 if i == 10 else 100.0, False, f"X{i}", 5.0) for i in range(11)]
+    led = spark.createDataFrame(rows, "account_id long, bucket string, seq long, blk long, txn_date date, narration string, txn_type string, amount double, is_bounce boolean, sig string, running double")
+    keys = ["account_id", "bucket"]
+    want = {(r.account_id, r.bucket): r["count"] for r in scoring.anomaly_rows(led, keys).groupBy(*keys).count().collect()}
+    got = {(r.account_id, r.bucket): r.flagged for r in scoring.anomaly_counts(led, keys).collect() if r.flagged}
+    assert got == want and len(want) > 30 and want[6, "m0"] == 1 and (5, "m0") not in want
+    one = scoring.anomaly_counts(led.where("account_id in (0, 1, 5, 6)"), keys)
+    assert exchanges(one) == 1  # the rows of a block; fences, signatures and counts are taken there
+
+
+def test_monthly_view_moves_rows_few_times(spark):
+    rows = [(a, i, 0, dt.date(2024, 1 + i // 40, 1), "RENT FLAT", "DEBIT" if i % 3 else "CREDIT", 100.0 * i, 5000.0 if i % 5 == 0 else None) for a in range(3) for i in range(200)]
+    txns = spark.createDataFrame(rows, "account_id long, seq long, blk long, txn_date date, narration string, txn_type string, amount double, balance double")
+    openings = spark.createDataFrame([(a, 10.0, "x") for a in range(3)], "account_id long, opening_balance double, account_holder string")
+    view = scoring.monthly_view(txns, openings)
+    assert exchanges(view) <= 9, exchanges(view)  # the balances are written before; sums, duplicates, anomalies
+    assert {(r.account_id, r.bucket, r.volume) for r in view.collect()} == {(a, f"2024-0{m}", 40) for a in range(3) for m in range(1, 6)}
