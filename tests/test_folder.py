@@ -128,3 +128,36 @@ def test_long_and_wide_file(spark, tmp_path):
     text = "date,type,amount,remarks\n" + "".join(f'2024-01-01,D,{i + 1},"{"word " * 50}""{i}"""\n' for i in range(4000))
     rows, _ = folder.payments(folder.read_folder(spark, write(tmp_path, {"long.csv": text})))
     assert rows.count() == 4000 and rows.agg({"amount": "sum"}).first()[0] == sum(range(1, 4001))
+
+
+def test_headers_are_settled_once_a_file(spark, tmp_path):
+    """Repeated, empty and missing headers and keys; the last one of a name counts, also where it is empty."""
+    files = {
+        "twice.csv": "GSTIN,Period,Taxable Value,,taxable-value,B2B Value\nA1,2024-01,1,7,2,3\nA2,2024-02,1,7\n--,:-, ,,-,\nA3,2024-03,1,7,2,3,extra\n",
+        "mixed.json": json.dumps(
+            [
+                {"gstin": "B1", "period": "2024-01", "taxable_value": "1", "b2b_value": "2"},
+                {"gstin": "B2", "period": "2024-02", "Taxable Value": "3", "taxable_value": "4", "b2b_value": "5"},
+                {"b2b_value": "6", "gstin": "B3", "period": "2024-03", "taxable_value": "Rs. 7,000"},
+            ]
+        ),
+        "keys.json": json.dumps({"rows": [{"gst in": "no", "GSTIN": "C0", "gstin": "C1", "period": "2024-01", "!": "x", "taxable_value": "1", "b2b_value": "NaN"}] * 2}),
+        "same.json": '[{"gstin":"D1","period":"2024-01","taxable_value":"1","b2b_value":"nan"},{"gstin":"D2","period":"2024-02","taxable_value":"Infinity","b2b_value":"2%"}]',
+    }
+    found = folder.read_folder(spark, write(tmp_path, files))
+    rows = folder.returns(found)[0].collect()
+    assert sorted((r.gstin, r.rec_no, r.return_type, r.taxable_value, r.b2b_value) for r in rows) == [
+        ("A1", 0, "GSTR1", 2.0, 3.0),
+        ("A2", 1, "GSTR1", None, None),
+        ("A3", 3, "GSTR1", 2.0, 3.0),
+        ("B1", 0, "GSTR1", 1.0, 2.0),
+        ("B2", 1, "GSTR1", 4.0, 5.0),
+        ("B3", 2, "GSTR1", 7000.0, 6.0),
+        ("C1", 0, "GSTR1", 1.0, None),
+        ("C1", 1, "GSTR1", 1.0, None),
+        ("D1", 0, "GSTR1", 1.0, None),
+        ("D2", 1, "GSTR1", float("inf"), 2.0),
+    ]
+    texts = folder.sniffed(found).where("form = 'delimited'")
+    # no line looks for the names of its cells
+    assert "map_from_entries" not in folder.delimited_records(texts)._jdf.queryExecution().executedPlan().toString()

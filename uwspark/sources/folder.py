@@ -59,9 +59,12 @@ def sniffed(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     Bytes that are no UTF-8 are left out of the text, and so is a byte order mark.
     """
     checked = sources.admission(files, max_bytes=max_bytes)
-    decoded = F.translate(F.make_valid_utf8(F.col("content").cast("string")), "�", "")
-    text = F.regexp_replace(decoded, "^﻿", "")
-    out = checked.withColumn("text", F.when(F.col("reason").isNull(), text))
+    valid = F.make_valid_utf8(F.col("content").cast("string"))
+    out = checked.withColumn("text", F.when(F.col("reason").isNull(), valid))
+    # most texts hold neither, and a look for them is cheaper than a pass over all characters
+    decoded = F.when(F.contains("text", F.lit("�")), F.translate("text", "�", "")).otherwise(F.col("text"))
+    out = out.withColumn("text", decoded)
+    out = out.withColumn("text", F.when(F.startswith("text", F.lit("﻿")), F.regexp_replace("text", "^﻿", "")).otherwise(F.col("text")))
     is_json = (F.col("ext") == "json") | F.ltrim("text").substr(1, 1).isin("[", "{")
     other = F.col("ext").isin("pdf", "html", "htm", "xlsx", "xls", "png", "jpg", "jpeg", "docx", "zip")
     out = out.withColumn("reason", F.coalesce("reason", F.when(other, "no table in a file of this kind")))
@@ -74,7 +77,7 @@ def cells(record: Column, sep: Column) -> Column:
     """Fields of one record as an array, quotes taken off."""
     pattern = F.replace(F.lit(f"[§]({FIELD})"), F.lit("§"), sep)
     unquoted = lambda x: F.when(
-        x.rlike('(?s)^".*"$'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+        x.startswith('"') & x.rlike('(?s)^".*"$'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
     ).otherwise(x)
     return F.transform(F.regexp_extract_all(F.concat(sep, record), pattern, F.lit(1)), unquoted)
 
@@ -93,10 +96,16 @@ def delimited_records(texts: DataFrame, key: str = "file") -> DataFrame:
         "sep",
         F.inline(F.array(bound(lines, lambda x: F.struct(F.try_element_at(x, F.lit(1)).alias("_top"), F.slice(x, 2, F.size(x) + 1).alias("_lines"))))),
     )
-    rows = opened.select(key, bound(cells(F.col("_top"), F.col("sep")), lambda h: F.transform(h, parsing.slug)).alias("_head"), "sep", F.posexplode("_lines").alias("rec_no", "_line"))
-    pairs = F.arrays_zip(F.col("_head").alias("key"), cells(F.col("_line"), F.col("sep")).alias("value"))
-    kept = lambda p: F.exists(p, lambda x: ~F.coalesce(x["value"], F.lit("")).rlike(r"^[-:\s]*$"))
-    found = F.array_compact(F.array(bound(pairs, lambda p: F.when(kept(p), _mapped(p)))))
+    # which cells make the record is settled once a file: the last one of a header that is not empty
+    headed = opened.select(key, bound(cells(F.col("_top"), F.col("sep")), lambda h: F.transform(h, parsing.slug)).alias("_head"), "sep", "_lines")
+    last = lambda h, i: (h != "") & ~F.array_contains(F.slice(F.col("_head"), i + 2, F.size("_head")), h)
+    spots = F.filter(F.sequence(F.lit(1), F.size("_head")), lambda i: last(F.element_at("_head", i), i - 1))
+    headed = headed.withColumn("_spots", F.when(F.size("_head") > 0, spots).otherwise(F.array().cast("array<int>")))
+    headed = headed.withColumn("_keys", F.transform("_spots", lambda i: F.element_at("_head", i)))
+    rows = headed.select(key, "sep", "_spots", "_keys", F.posexplode("_lines").alias("rec_no", "_line"))
+    rule = lambda x: F.coalesce(x, F.lit("")).rlike(r"^[-:\s]*$")
+    record = lambda c: F.map_from_arrays("_keys", F.transform("_spots", lambda i: F.try_element_at(c, i)))
+    found = F.array_compact(F.array(bound(cells(F.col("_line"), F.col("sep")), lambda c: F.when(F.exists(c, lambda x: ~rule(x)), record(c)))))
     return rows.select(key, "rec_no", F.explode(found).alias("record"))
 
 
@@ -110,10 +119,21 @@ def records(files: DataFrame, wrappers: Sequence[str], max_bytes: int | None = N
     """(file, rec_no, record) of all files, and the sniffed files; record keys are slugs of the headers."""
     seen = sniffed(files, max_bytes)
     table = delimited_records(seen.where("form = 'delimited'"))
-    objects = sources.json_records(seen.where("form = 'json'"), wrappers)
-    entries = F.transform(F.map_entries("record"), lambda e: F.struct(parsing.slug(e["key"]).alias("key"), e["value"].alias("value")))
-    objects = objects.where("record is not null").select("file", "rec_no", bound(entries, _mapped).alias("record"))
-    return table.unionByName(objects), seen
+    return table.unionByName(_objects(seen.where("form = 'json'"), wrappers)), seen
+
+
+def _objects(texts: DataFrame, wrappers: Sequence[str]) -> DataFrame:
+    """(file, rec_no, record) of JSON files; the keys of the first record are turned into slugs once a file, for all records that have the same."""
+    own = lambda r: F.struct(r.alias("_records"), F.map_keys(F.try_element_at(r, F.lit(1))).alias("_own"))
+    opened = texts.select("file", F.inline(F.array(bound(sources.json_arrays("text", wrappers), own))))
+    opened = opened.withColumn("_slugs", F.transform("_own", parsing.slug))
+    plain = (F.size(F.array_distinct("_slugs")) == F.size("_slugs")) & ~F.array_contains("_slugs", F.lit(""))
+    rows = opened.withColumn("_plain", plain).select("file", "_own", "_slugs", "_plain", F.posexplode("_records").alias("rec_no", "_record"))
+    rows = rows.where("_record is not null")
+    entries = F.transform(F.map_entries("_record"), lambda e: F.struct(parsing.slug(e["key"]).alias("key"), e["value"].alias("value")))
+    alike = F.col("_plain") & (F.map_keys("_record") == F.col("_own"))
+    record = F.when(alike, F.map_from_arrays("_slugs", F.map_values("_record"))).otherwise(bound(entries, _mapped))
+    return rows.select("file", "rec_no", record.alias("record"))
 
 
 def _text(value: Column) -> Column:
@@ -155,28 +175,33 @@ def return_rows(recs: DataFrame) -> DataFrame:
 
     Dates stay text cells until `tax_date` reads them; amounts are numbers or null.
     """
-    r = F.col("record")
-    at = lambda k: F.try_element_at(r, F.lit(k))
+    at = lambda r, k: F.try_element_at(r, F.lit(k))
     blank = lambda v: F.trim(v).isin("", "nan", "NA", "None")
-    filled = lambda *names: F.coalesce(*[F.nullif(at(n), F.lit("")) for n in names])
+    filled = lambda r, *names: F.coalesce(*[F.nullif(at(r, n), F.lit("")) for n in names])
+
+    def head(r: Column) -> Column:
+        return F.struct(
+            F.upper(F.trim(filled(r, "gstin", "gst_number", "gstn"))).alias("gstin"),
+            parsing.tax_period(filled(r, "period", "tax_period", "return_period")).alias("period"),
+            parsing.return_type(F.map_keys(r), at(r, "return_type")).alias("return_type"),
+        )
+
+    # bound: written out side by side they make a method so long that the JVM does not compile it;
+    # the head is an array of one struct, so that the filter does not work it out a second time
+    typed = recs.select("file", "rec_no", "record", F.inline(F.array(bound(F.col("record"), head)))).where(
+        "gstin is not null and period is not null and return_type is not null"
+    )
+    r = F.col("record")
     fields = sorted({f for fs in parsing.RETURN_FIELDS.values() for f in fs})
-    typed = recs.select(
-        "file",
-        "rec_no",
-        F.upper(F.trim(filled("gstin", "gst_number", "gstn"))).alias("gstin"),
-        parsing.tax_period(filled("period", "tax_period", "return_period")).alias("period"),
-        parsing.return_type(F.map_keys(r), at("return_type")).alias("return_type"),
-        "record",
-    ).where("gstin is not null and period is not null and return_type is not null")
     owners = {f: [t for t, fs in parsing.RETURN_FIELDS.items() if f in fs] for f in fields}
-
-    def cell(f: str) -> Column:
-        raw = F.when(F.col("return_type").isin(owners[f]) & ~blank(at(f)), at(f))
-        return raw if f.endswith("_date") else parsing.number(raw)
-
-    dated = typed.select(
-        "file", "rec_no", "gstin", "period", "return_type", *[cell(f).alias(f) for f in fields], *[filled(x).alias(x) for x in RETURN_EXTRAS]
-    )
+    raw = typed.select(
+        "file", "rec_no", "gstin", "period", "return_type",
+        *[F.when(F.col("return_type").isin(owners[f]), at(r, f)).alias(f) for f in fields], *[filled(r, x).alias(x) for x in RETURN_EXTRAS],
+    )
+
+    text = lambda v: F.when(~blank(v), v)
+    amount = lambda v: F.when(~blank(v), parsing.number(v))
+    dated = raw.withColumns({f: bound(F.col(f), text if f.endswith("_date") else amount) for f in fields})
     return dated.withColumns({f: parsing.tax_date(f) for f in fields if f.endswith("_date")})
 
 
