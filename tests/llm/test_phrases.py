@@ -82,3 +82,25 @@ def test_exact_beyond_64_bits(spark):
         F.call_function("div", wide(a) * wide(a) * F.lit(1_000_000).cast("decimal(7,0)"), wide(b) * wide(c)).alias("x")
     )
     assert row.first().x == 1_000_000 * a * a // (b * c)
+
+
+def test_beyond_the_limit_rows_stay_and_relations_go(spark):
+    import os
+
+    from uwspark.staging import shared_dir
+
+    counts = [(i, 10**6 if i < 3 else 40 if i < 13 else 10 + i) for i in range(40)]  # (id, n)
+    items = spark.createDataFrame([(f"w{i}", i, n) for i, n in counts], "word string, id long, n long")
+    top = lambda limit: {i for i, n in counts if n >= phrases._broadcast_from(items, limit)}
+    assert len(top(3)) == 3 and len(top(8)) == 8 and len(top(19)) == 12 and len(top(30)) == 30  # eleven items of one count come together
+    assert top(0) == {i for i, n in counts if 256 * n >= sum(n for _, n in counts)}
+    rows = spark.createDataFrame([(r, a, f"w{(r * 7 + a) % 50}") for r in range(60) for a in range(0, 40, 3)], "row long, at int, word string")
+    for limit in (0, 19):
+        got = phrases._attached(rows.repartition(4, "row"), items, ["word"], limit)
+        assert sorted(map(tuple, got.collect())) == sorted((r.row, r.at, int(r.word[1:])) for r in rows.collect() if int(r.word[1:]) < 40)
+    where = f"{shared_dir(spark)}/uwspark-{spark.sparkContext.applicationId}"
+    before = set(os.listdir(where)) if os.path.isdir(where) else set()
+    assert phrases.collocations(frame(spark, ROWS), limit=4).count()
+    kept = [f for f in set(os.listdir(where)) - before if f.startswith("uwspark_")]
+    assert not kept  # relations, which the counts have used up
+    assert all("_key" not in spark.read.parquet(f"{where}/{f}").columns for f in set(os.listdir(where)) - before)  # occurrences with their texts
